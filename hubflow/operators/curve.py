@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from hubflow.functions.clock import label_clock, minutes_between
 from hubflow.operators.filters import drop_label
 
-ONE_DAY = F.expr("INTERVAL 1 DAY")
+
+def _one_day() -> Column:
+    return F.make_dt_interval(F.lit(1))
 
 
 def overnight_start(ts, label) -> Column:
@@ -20,7 +22,7 @@ def overnight_start(ts, label) -> Column:
     end hour): hours before the start hour move one day later."""
     ts = F.col(ts) if isinstance(ts, str) else ts
     sh, eh = label_clock(label, "start_hour"), label_clock(label, "end_hour")
-    return F.when(sh > eh, F.when(F.hour(ts) >= sh, ts).otherwise(ts + ONE_DAY)).otherwise(ts)
+    return F.when(sh > eh, F.when(F.hour(ts) >= sh, ts).otherwise(ts + _one_day())).otherwise(ts)
 
 
 def overnight_end(ts, label) -> Column:
@@ -28,7 +30,7 @@ def overnight_end(ts, label) -> Column:
     move one day earlier."""
     ts = F.col(ts) if isinstance(ts, str) else ts
     sh, eh = label_clock(label, "start_hour"), label_clock(label, "end_hour")
-    return F.when(sh > eh, F.when(F.hour(ts) <= eh, ts).otherwise(ts - ONE_DAY)).otherwise(ts)
+    return F.when(sh > eh, F.when(F.hour(ts) <= eh, ts).otherwise(ts - _one_day())).otherwise(ts)
 
 
 def curve_stats(

@@ -199,7 +199,9 @@ def _dispatch_columns():
     ]
 
 
-DISPATCH_OPERATORS = F.coalesce(F.col("od.operators"), F.lit(0))
+def _dispatch_operators():
+    """Operators in the dispatch window; 0 also when no dispatch row matched."""
+    return F.coalesce(F.col("od.operators"), F.lit(0))
 
 
 def shift_report(f: ShiftFrames) -> DataFrame:
@@ -214,8 +216,8 @@ def shift_report(f: ShiftFrames) -> DataFrame:
         + _dispatch_columns()
         + [
             rate_per_hour("pd.window_total", "cd.real_minutes").alias("produtividade_dispatch"),
-            DISPATCH_OPERATORS.alias("operadores_dispatch"),
-            rate_per_operator("pd.window_total", DISPATCH_OPERATORS).alias("produtividade_por_operador_dispatch"),
+            _dispatch_operators().alias("operadores_dispatch"),
+            rate_per_operator("pd.window_total", _dispatch_operators()).alias("produtividade_por_operador_dispatch"),
             F.col("c.real_minutes").alias("total_minutos_real_received_debug"),
         ]
     )
@@ -235,7 +237,7 @@ def curve_report(f: ShiftFrames) -> DataFrame:
         + [
             rate_per_hour("cd.curve_volume", "cd.curve_minutes").alias("produtividade_curva_dispatch"),
             rate_per_hour("pd.window_total", "cd.real_minutes").alias("produtividade_real_dispatch"),
-            DISPATCH_OPERATORS.alias("operadores_dispatch"),
+            _dispatch_operators().alias("operadores_dispatch"),
         ]
     )
     return (
