@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hubflow.functions.clock import label_clock, label_instant
 from hubflow.operators.filters import first_attempt
-from hubflow.operators.joins import MAX_INTERVAL_ROWS, bounded_broadcast
+from hubflow.operators.joins import MAX_INTERVAL_ROWS, row_bound_holds
 
 
 def operator_scans(scans: DataFrame) -> DataFrame:
@@ -78,26 +78,51 @@ def window_intervals(windows: DataFrame, label_col: str, next_day: bool = True)
     )
 
 
-def _scans_in(scans: DataFrame, intervals: DataFrame, max_rows: int) -> DataFrame:
-    iv = bounded_broadcast(intervals, max_rows)
-    return scans.join(iv, ["station_id", "scan_date"]).filter(
+def _scans_in(scans: DataFrame, intervals: DataFrame) -> DataFrame:
+    return scans.join(intervals, ["station_id", "scan_date"]).filter(
         F.col("scan_at").between(F.col("lo"), F.col("hi"))
     )
 
 
+def count_operators(
+    windows: DataFrame,
+    label_col: str,
+    group_keys: list[str],
+    next_day: bool,
+    scans: DataFrame,
+    max_windows: int = MAX_INTERVAL_ROWS,
+) -> tuple[DataFrame, bool]:
+    """Distinct operators per ``group_keys`` among scans that fall in the
+    interval(s) of each row of ``windows`` (station_id, window_date, label).
+
+    Returns ``(counts, bounded)``. ``bounded`` is True when ``windows`` has at
+    most ``max_windows`` rows; then the intervals (at most two per window)
+    are broadcast, and ``counts`` (at most one row per window) may be too."""
+    bounded = row_bound_holds(windows, max_windows)
+    iv = window_intervals(windows, label_col, next_day)
+    if bounded:
+        iv = F.broadcast(iv)
+    counts = (
+        _scans_in(scan_rows(scans), iv)
+        .groupBy(*group_keys)
+        .agg(F.count_distinct("operator_name").alias("operators"))
+    )
+    return counts, bounded
+
+
 def operators_per_window(
     shares: DataFrame, scans: DataFrame, max_intervals: int = MAX_INTERVAL_ROWS
 ) -> DataFrame:
     """Distinct operators per (station, window day, expanded label) during the
     planned receive window (both cases). Planned windows sharing an expanded
     label pool their operators; windows without operators get no row."""
+    return receive_operators(shares, scans, max_intervals)[0]
+
+
+def receive_operators(shares: DataFrame, scans: DataFrame, max_intervals: int = MAX_INTERVAL_ROWS):
     wins = shares.select("station_id", "window_date", "window_label", "receive_planned").distinct()
-    iv = window_intervals(wins, "receive_planned", next_day=True)
-    return (
-        _scans_in(scan_rows(scans), iv, max_intervals)
-        .groupBy("station_id", "window_date", "window_label")
-        .agg(F.count_distinct("operator_name").alias("operators"))
-    )
+    keys = ["station_id", "window_date", "window_label"]
+    return count_operators(wins, "receive_planned", keys, True, scans, max_intervals)
 
 
 def operators_in_dispatch(
@@ -106,12 +131,14 @@ def operators_in_dispatch(
     """Distinct operators scanning on the window day between the planned
     dispatch start and end (no next-day case), per (station, window day,
     planned dispatch label); 0 when none."""
+    return dispatch_operators(dispatch_shares, scans, max_intervals)[0]
+
+
+def dispatch_operators(dispatch_shares: DataFrame, scans: DataFrame, max_intervals: int = MAX_INTERVAL_ROWS):
     keys = ["station_id", "window_date", "dispatch_planned"]
     wins = dispatch_shares.select(*keys).distinct()
-    iv = window_intervals(wins, "dispatch_planned", next_day=False)
-    counts = (
-        _scans_in(scan_rows(scans), iv, max_intervals)
-        .groupBy(*keys)
-        .agg(F.count_distinct("operator_name").alias("operators"))
-    )
-    return wins.join(counts, keys, "left").select(*keys, F.coalesce("operators", F.lit(0)).alias("operators"))
+    counts, bounded = count_operators(wins, "dispatch_planned", keys, False, scans, max_intervals)
+    if bounded:
+        counts = F.broadcast(counts)
+    out = wins.join(counts, keys, "left").select(*keys, F.coalesce("operators", F.lit(0)).alias("operators"))
+    return out, bounded

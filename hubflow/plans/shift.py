@@ -45,7 +45,7 @@ from hubflow.operators.classify import (
 from hubflow.operators.curve import curve_stats
 from hubflow.operators.joins import MAX_DIMENSION_ROWS, MAX_INTERVAL_ROWS, bounded_broadcast
 from hubflow.operators.profile import hour_profile, hour_shares, window_totals
-from hubflow.operators.staffing import operators_in_dispatch, operators_per_window
+from hubflow.operators.staffing import dispatch_operators, receive_operators
 from hubflow.operators.windows import window_table
 from hubflow.sources.testdata import Inputs
 
@@ -90,21 +90,26 @@ def shift_frames(
     max_windows: int = MAX_DIMENSION_ROWS,
     max_intervals: int = MAX_INTERVAL_ROWS,
 ) -> ShiftFrames:
-    windows = window_table(inputs.planning)
-    win_b = bounded_broadcast(windows, max_windows)
-    r_shares = receipt_share_frame(inputs, win_b, as_of, share_scale)
-    d_shares = dispatch_share_frame(inputs, win_b, share_scale)
+    """The frames behind both reports. Size checks run here (a few bounded
+    jobs on small frames); where a bound holds, the frame is broadcast
+    wherever it is joined later, so the report itself has no shuffle join."""
+    windows = bounded_broadcast(window_table(inputs.planning), max_windows)
+    r_shares = receipt_share_frame(inputs, windows, as_of, share_scale)
+    d_shares = dispatch_share_frame(inputs, windows, share_scale)
     if persist:
         r_shares = r_shares.persist(StorageLevel.MEMORY_AND_DISK)
         d_shares = d_shares.persist(StorageLevel.MEMORY_AND_DISK)
+    r_ops, r_small = receive_operators(r_shares, inputs.scans, max_intervals)
+    d_ops, _ = dispatch_operators(d_shares, inputs.scans, max_intervals)
+    # one row per checked window-day at most, so the same bound covers them
     return ShiftFrames(
         windows=windows,
         receipt_shares=r_shares,
         receipt_curve=curve_stats(r_shares, RECEIPT_KEYS, volume_pct, span_pct),
-        receipt_operators=operators_per_window(r_shares, inputs.scans, max_intervals),
+        receipt_operators=F.broadcast(r_ops) if r_small else r_ops,
         dispatch_shares=d_shares,
         dispatch_curve=curve_stats(d_shares, DISPATCH_KEYS, volume_pct, span_pct, shift_label="dispatch_planned"),
-        dispatch_operators=operators_in_dispatch(d_shares, inputs.scans, max_intervals),
+        dispatch_operators=d_ops,
         stations=bounded_broadcast(station_dim(inputs.stations), max_windows),
     )
 
