@@ -36,6 +36,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("hubflow-bench")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

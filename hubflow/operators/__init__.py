@@ -10,13 +10,18 @@ from hubflow.operators.backlog import (  # noqa: F401
     status_pivot,
 )
 from hubflow.operators.classify import (  # noqa: F401
+    DISPATCH,
     DISPATCH_KEYS,
+    EVENT_KEYS,
     RECEIPT_KEYS,
+    RECEIVE,
     all_receipts,
     classify_dispatches,
     classify_receipts,
     dispatch_rows,
     dispatches_inside,
+    events_inside,
+    fact_events,
     receipt_rows,
     receipts_inside,
     receipts_outside,
@@ -33,8 +38,9 @@ from hubflow.operators.filters import (  # noqa: F401
     status_in,
 )
 from hubflow.operators.joins import bounded_broadcast, row_bound_holds  # noqa: F401
-from hubflow.operators.profile import hour_profile, hour_shares, window_totals  # noqa: F401
+from hubflow.operators.profile import hour_profile, hour_shares, window_shares, window_totals  # noqa: F401
 from hubflow.operators.staffing import (  # noqa: F401
+    count_operators,
     operator_scans,
     operators_in_dispatch,
     operators_per_window,

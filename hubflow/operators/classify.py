@@ -114,3 +114,70 @@ def receipts_outside(receipts: DataFrame, inside: DataFrame) -> DataFrame:
 def all_receipts(inside: DataFrame, outside: DataFrame) -> DataFrame:
     """Inside and outside receipts, one frame (UNION ALL)."""
     return inside.unionByName(outside)
+
+
+# --- both directions in one pass ---------------------------------------------
+RECEIVE, DISPATCH = "receive", "dispatch"
+EVENT_KEYS = ["direction", "station_id", "window_date", "window_label", "planned", "expanded"]
+
+
+def fact_events(shipments: DataFrame, as_of=None, first: int = 30, last: int = 1) -> DataFrame:
+    """Receipts and dispatches of the shipment facts from one scan: each fact
+    row gives a 'receive' event (first receive attempt, ``data`` within the
+    rolling range) and/or a 'dispatch' event (first delivery attempt, no date
+    limit)."""
+    day = F.col("data")
+    as_of_day = F.current_date() if as_of is None else F.to_date(F.lit(str(as_of)))
+    receive_ok = (F.col("received_attempt") == 1) & day.between(
+        F.date_sub(as_of_day, first), F.date_sub(as_of_day, last)
+    )
+    dispatch_ok = F.col("delivering_attempt") == 1
+    events = F.array(
+        F.when(receive_ok, F.struct(F.lit(RECEIVE).alias("direction"), F.col("datetime_received").alias("at"))),
+        F.when(dispatch_ok, F.struct(F.lit(DISPATCH).alias("direction"), F.col("datetime_delivering").alias("at"))),
+    )
+    return (
+        shipments.filter(receive_ok | dispatch_ok)
+        .select(
+            F.col("station_id").cast("string").alias("station_id"),
+            "shipment_id",
+            F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"),
+        )
+        .select(
+            "e.direction", "station_id", "shipment_id",
+            F.col("e.at").alias("event_at"),
+            clock_int("e.at").alias("event_hhmm"),
+        )
+    )
+
+
+def events_inside(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """Events inside a window of their station, both directions at once.
+    Receipts use the expanded receive window (no date outside the two parts
+    of a wrapping window); dispatches use the planned dispatch window and keep
+    their own date outside the parts. Both group under the receive expanded
+    label."""
+    w = windows.select(
+        "station_id", "receive_open", "receive_close", "receive_planned", "receive_expanded",
+        "dispatch_start", "dispatch_end", "dispatch_planned", "dispatch_expanded",
+    )
+    is_r = F.col("direction") == RECEIVE
+    hm = F.col("event_hhmm")
+    lo = F.when(is_r, F.col("receive_open")).otherwise(F.col("dispatch_start"))
+    hi = F.when(is_r, F.col("receive_close")).otherwise(F.col("dispatch_end"))
+    day = F.to_date("event_at")
+    window_date = F.when(is_r, base_date(day, hm, lo, hi)).otherwise(
+        base_date(day, hm, lo, hi, default_own_day=True)
+    )
+    return (
+        events.join(w, "station_id")
+        .filter(inside_cyclic(hm, lo, hi) == 1)
+        .select(
+            "direction", "station_id", "shipment_id",
+            window_date.alias("window_date"),
+            "event_at",
+            F.col("receive_expanded").alias("window_label"),
+            F.when(is_r, F.col("receive_planned")).otherwise(F.col("dispatch_planned")).alias("planned"),
+            F.when(is_r, F.col("receive_expanded")).otherwise(F.col("dispatch_expanded")).alias("expanded"),
+        )
+    )

@@ -39,14 +39,18 @@ def curve_stats(
     volume_pct: float = 5,
     span_pct: float = 5,
     shift_label: str | None = None,
+    shift_if: Column | None = None,
 ) -> DataFrame:
     """One row per window. Real start/end are the first and last hourly first
-    instants (``shift_label`` applies the overnight shift to them first);
+    instants (``shift_label`` applies the overnight shift to them first, on
+    the rows where ``shift_if`` holds, default all);
     ``curve_*`` use only hours whose share exceeds ``span_pct``."""
     ts = F.col("first_at")
     start, end = ts, ts
     if shift_label is not None:
         start, end = overnight_start(ts, F.col(shift_label)), overnight_end(ts, F.col(shift_label))
+        if shift_if is not None:
+            start, end = F.when(shift_if, start).otherwise(ts), F.when(shift_if, end).otherwise(ts)
     above_span = F.col("share") > span_pct
     return (
         drop_label(shares)

@@ -33,15 +33,36 @@ def window_totals(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
     return drop_label(profile).groupBy(*keys).agg(F.sum("shipments").alias("window_total"))
 
 
-def hour_shares(profile: DataFrame, totals: DataFrame, share_scale: int | None = None) -> DataFrame:
+def window_shares(
+    profile: DataFrame,
+    keys: Sequence[str],
+    join_keys: list[str] = JOIN_KEYS,
+    share_scale: int | None = None,
+) -> DataFrame:
+    """Totals and shares in one step. The profile is hash-partitioned once on
+    ``join_keys``; the totals (grouped by ``keys``, a superset), the
+    totals-to-hours join and any later grouping on a superset of
+    ``join_keys`` reuse that partitioning instead of shuffling again. A
+    partition key holds at most 24 hours x a few windows of one station-day,
+    so this exchange cannot be skewed."""
+    part = profile.repartition(*join_keys)
+    return hour_shares(part, window_totals(part, keys), share_scale, join_keys)
+
+
+def hour_shares(
+    profile: DataFrame,
+    totals: DataFrame,
+    share_scale: int | None = None,
+    join_keys: list[str] = JOIN_KEYS,
+) -> DataFrame:
     """Each hour's share (0-100, 2 decimals) of its window total.
 
     Totals are grouped by the full window keys but matched on station, day
     and expanded label only, as in the source job: two planned windows with the
     same expanded label each see both totals."""
-    t = totals.select(*JOIN_KEYS, "window_total")
+    t = totals.select(*join_keys, "window_total")
     return (
         drop_label(profile)
-        .join(t, JOIN_KEYS)
+        .join(t, join_keys)
         .withColumn("share", share_pct("shipments", "window_total", share_scale))
     )

@@ -44,11 +44,13 @@ def scan_rows(scans: DataFrame) -> DataFrame:
     )
 
 
-def window_intervals(windows: DataFrame, label_col: str, next_day: bool = True) -> DataFrame:
+def window_intervals(windows: DataFrame, label_col: str, next_day=True) -> DataFrame:
     """(station_id, window_date, label, ...) -> one row per scan interval:
     ``scan_date``, ``lo``, ``hi``. Same day: the label's start..end on the
     window day. Next day (when the start hour is after the end hour):
-    midnight..end on the following day. Unparsable labels give no row."""
+    midnight..end on the following day. Unparsable labels give no row.
+    ``next_day`` may be a Column: the next-day case then applies to the rows
+    where it holds."""
     day = F.col("window_date")
     label = F.col(label_col)
     same = F.struct(
@@ -57,9 +59,11 @@ def window_intervals(windows: DataFrame, label_col: str, next_day: bool = True)
         label_instant(day, label, "end").alias("hi"),
     )
     parts = [same]
-    if next_day:
+    if next_day is not False:
         nxt = F.date_add(day, 1)
         wraps = label_clock(label, "start_hour") > label_clock(label, "end_hour")
+        if next_day is not True:
+            wraps = wraps & next_day
         parts.append(
             F.when(
                 wraps,

@@ -1,19 +1,26 @@
 """Shift productivity (Q1) and curve productivity (Q2).
 
-Both jobs share one chain of frames: windows -> classified receipts and
-dispatches -> hour profiles -> shares -> curves and staffing, then one report
-at window grain. Only the hour profiles aggregate the facts; everything after
-works on (station, day, window[, hour]) rows.
-
-Scale notes:
-* the facts meet the windows in a broadcast join (windows size-checked), so
-  receipts and dispatches are not shuffled before their profile aggregation;
-* the two share frames feed curves, staffing and the report; they are
-  persisted (memory and disk; lost blocks are recomputed from lineage) so the
-  facts are aggregated once per job;
-* the report keeps only the share columns it selects, deduplicated, before
-  joining: its rows are then at window grain instead of hour grain (exact,
-  since the report is DISTINCT and selects no hour column).
+Both jobs share one chain, and both directions (receive, dispatch) travel it
+together in one frame keyed by ``direction``:
+
+  shipment facts --(one scan)--> receive and dispatch events
+     --(broadcast join, windows size-checked)--> events inside a window
+     --> hour profile (the only aggregation over the facts)
+     --> window totals --> hourly shares [persisted]
+  shares --> curves (one aggregation)
+  shares --> window-days --> scan intervals --(scan log read once,
+     broadcast when the window-days are size-checked)--> distinct operators
+  shares + curves + operators --> window summary --> report
+
+So the facts and the scan log are each read once per job, and the profile's
+distinct count is planned as a partial dedupe on (keys, shipment id), a
+shuffle on those keys, then a count: one very large station/day/hour group
+spreads over many tasks. Everything after the profile is at (direction,
+station, day, window[, hour]) grain.
+
+The report keeps only the share columns it selects, deduplicated, before
+joining: its rows are at window grain instead of hour grain. That is exact,
+since the report is DISTINCT and selects no hour column.
 """
 
 from __future__ import annotations
@@ -33,19 +40,24 @@ from hubflow.functions.rates import (
 )
 from hubflow.operators.backlog import station_dim
 from hubflow.operators.classify import (
+    DISPATCH,
     DISPATCH_KEYS,
+    EVENT_KEYS,
     RECEIPT_KEYS,
+    RECEIVE,
     classify_dispatches,
     classify_receipts,
     dispatch_rows,
     dispatches_inside,
+    events_inside,
+    fact_events,
     receipt_rows,
     receipts_inside,
 )
 from hubflow.operators.curve import curve_stats
 from hubflow.operators.joins import MAX_DIMENSION_ROWS, MAX_INTERVAL_ROWS, bounded_broadcast
-from hubflow.operators.profile import hour_profile, hour_shares, window_totals
-from hubflow.operators.staffing import dispatch_operators, receive_operators
+from hubflow.operators.profile import JOIN_KEYS, hour_profile, window_shares
+from hubflow.operators.staffing import count_operators
 from hubflow.operators.windows import window_table
 from hubflow.sources.testdata import Inputs
 
@@ -54,30 +66,55 @@ VOLUME_PCT = 5          # hours counted in the curve volume, both jobs
 SHIFT_SPAN_PCT = 0.05   # hours spanning the curve, shift job (Q1)
 CURVE_SPAN_PCT = 5      # hours spanning the curve, curve job (Q2)
 
-
-@dataclass(frozen=True)
-class ShiftFrames:
-    windows: DataFrame
-    receipt_shares: DataFrame
-    receipt_curve: DataFrame
-    receipt_operators: DataFrame
-    dispatch_shares: DataFrame
-    dispatch_curve: DataFrame
-    dispatch_operators: DataFrame
-    stations: DataFrame
+DIRECTION_JOIN = ["direction"] + JOIN_KEYS
+CURVE_COLUMNS = ["real_start", "real_end", "real_minutes", "curve_volume", "curve_start", "curve_end", "curve_minutes"]
 
 
+# --- one direction at a time (used by the operator queries) -------------------
 def receipt_share_frame(inputs: Inputs, windows: DataFrame, as_of=None, share_scale=None) -> DataFrame:
     """Hourly shares of inside receipts (outside receipts never reach a share)."""
     inside = receipts_inside(classify_receipts(receipt_rows(inputs.shipments, as_of), windows))
     profile = hour_profile(inside, "received_at", RECEIPT_KEYS)
-    return hour_shares(profile, window_totals(profile, RECEIPT_KEYS), share_scale)
+    return window_shares(profile, RECEIPT_KEYS, JOIN_KEYS, share_scale)
 
 
 def dispatch_share_frame(inputs: Inputs, windows: DataFrame, share_scale=None) -> DataFrame:
     inside = dispatches_inside(classify_dispatches(dispatch_rows(inputs.shipments), windows))
     profile = hour_profile(inside, "delivered_at", DISPATCH_KEYS)
-    return hour_shares(profile, window_totals(profile, DISPATCH_KEYS), share_scale)
+    return window_shares(profile, DISPATCH_KEYS, JOIN_KEYS, share_scale)
+
+
+# --- both directions together (used by the jobs) ------------------------------
+def event_share_frame(inputs: Inputs, windows: DataFrame, as_of=None, share_scale=None) -> DataFrame:
+    """Hourly shares of receipts and dispatches, keyed by ``direction``."""
+    inside = events_inside(fact_events(inputs.shipments, as_of), windows)
+    profile = hour_profile(inside, "event_at", EVENT_KEYS)
+    return window_shares(profile, EVENT_KEYS, DIRECTION_JOIN, share_scale)
+
+
+def event_operators(shares: DataFrame, scans: DataFrame, max_windows: int = MAX_INTERVAL_ROWS):
+    """Distinct operators per window-day, both directions from one pass over
+    the scans. Receive: pooled per expanded label, same day and next day.
+    Dispatch: per planned label, same day only. Returns (counts, bounded)."""
+    is_r = F.col("direction") == RECEIVE
+    wins = (
+        shares.select(
+            "direction", "station_id", "window_date", "window_label", "planned",
+            F.when(is_r, F.col("window_label")).otherwise(F.col("planned")).alias("group_label"),
+        )
+        .distinct()
+    )
+    keys = ["direction", "station_id", "window_date", "group_label"]
+    return count_operators(wins, "planned", keys, is_r, scans, max_windows)
+
+
+@dataclass(frozen=True)
+class ShiftFrames:
+    windows: DataFrame    # expanded planned windows (broadcast when checked)
+    shares: DataFrame     # hourly shares, both directions
+    curves: DataFrame     # curve statistics per window, both directions
+    operators: DataFrame  # distinct operators per window-day group, both directions
+    stations: DataFrame   # clean station dimension
 
 
 def shift_frames(
@@ -90,74 +127,68 @@ def shift_frames(
     max_windows: int = MAX_DIMENSION_ROWS,
     max_intervals: int = MAX_INTERVAL_ROWS,
 ) -> ShiftFrames:
-    """The frames behind both reports. Size checks run here (a few bounded
-    jobs on small frames); where a bound holds, the frame is broadcast
-    wherever it is joined later, so the report itself has no shuffle join."""
+    """The frames behind both reports. The size checks run here (bounded jobs
+    on small frames); where a bound holds, the frame is broadcast wherever it
+    is joined later."""
     windows = bounded_broadcast(window_table(inputs.planning), max_windows)
-    r_shares = receipt_share_frame(inputs, windows, as_of, share_scale)
-    d_shares = dispatch_share_frame(inputs, windows, share_scale)
+    shares = event_share_frame(inputs, windows, as_of, share_scale)
     if persist:
-        r_shares = r_shares.persist(StorageLevel.MEMORY_AND_DISK)
-        d_shares = d_shares.persist(StorageLevel.MEMORY_AND_DISK)
-    r_ops, r_small = receive_operators(r_shares, inputs.scans, max_intervals)
-    d_ops, _ = dispatch_operators(d_shares, inputs.scans, max_intervals)
-    # one row per checked window-day at most, so the same bound covers them
+        # used by curves, operators and the report; lost blocks are recomputed
+        shares = shares.persist(StorageLevel.MEMORY_AND_DISK)
+    ops, bounded = event_operators(shares, inputs.scans, max_intervals)
+    curves = curve_stats(
+        shares, EVENT_KEYS, volume_pct, span_pct,
+        shift_label="planned", shift_if=F.col("direction") == DISPATCH,
+    )
     return ShiftFrames(
         windows=windows,
-        receipt_shares=r_shares,
-        receipt_curve=curve_stats(r_shares, RECEIPT_KEYS, volume_pct, span_pct),
-        receipt_operators=F.broadcast(r_ops) if r_small else r_ops,
-        dispatch_shares=d_shares,
-        dispatch_curve=curve_stats(d_shares, DISPATCH_KEYS, volume_pct, span_pct, shift_label="dispatch_planned"),
-        dispatch_operators=d_ops,
+        shares=shares,
+        curves=curves,
+        # at most one row per checked window-day, so the same bound covers them
+        operators=F.broadcast(ops) if bounded else ops,
         stations=bounded_broadcast(station_dim(inputs.stations), max_windows),
     )
 
 
-def _joined(f: ShiftFrames) -> DataFrame:
-    """All report inputs side by side, one row per (window row, dispatch
-    window row, fan-out) before DISTINCT."""
-    p = (
-        f.receipt_shares.filter(F.col("receive_planned").isNotNull())
-        .select("station_id", "window_date", "window_label", "receive_planned", "receive_expanded", "window_total")
-        .distinct()
-        .alias("p")
-    )
-    c = f.receipt_curve.alias("c")
-    o = f.receipt_operators.alias("o")
-    je = f.windows.select("station_id", "receive_planned", "dispatch_planned").alias("je")
-    pd = (
-        f.dispatch_shares.select(
-            "station_id", "window_date", "window_label", "dispatch_planned", "dispatch_expanded", "window_total"
-        )
-        .distinct()
-        .alias("pd")
+def window_summary(f: ShiftFrames) -> DataFrame:
+    """One row per (window-day, matched totals row, matched curve row), both
+    directions: total, curve statistics (matched on station, day and expanded
+    label, so windows sharing that label see each other's curves) and
+    operators."""
+    base = f.shares.select(*EVENT_KEYS, "window_total").distinct()
+    curves = f.curves.select(*DIRECTION_JOIN, *CURVE_COLUMNS)
+    is_r = F.col("direction") == RECEIVE
+    group_label = F.when(is_r, F.col("window_label")).otherwise(F.col("planned"))
+    ops = f.operators.withColumnRenamed("group_label", "_group_label")
+    return (
+        base.join(curves, DIRECTION_JOIN, "left")
+        .withColumn("_group_label", group_label)
+        .join(ops, ["direction", "station_id", "window_date", "_group_label"], "left")
+        .drop("_group_label")
     )
-    cd = f.dispatch_curve.alias("cd")
-    od = f.dispatch_operators.alias("od")
-    sc = f.stations.alias("sc")
 
-    def same(a, b, cols):
-        cond = None
-        for col in cols:
-            x = F.col(f"{a}.{col}") == F.col(f"{b}.{col}")
-            cond = x if cond is None else cond & x
-        return cond
 
-    window_keys = ["station_id", "window_date", "window_label"]
+def _joined(f: ShiftFrames) -> DataFrame:
+    """Receive rows, their planned dispatch windows, the dispatch rows of the
+    same day and the station, before DISTINCT."""
+    summary = window_summary(f)
+    p = summary.filter((F.col("direction") == RECEIVE) & F.col("planned").isNotNull()).alias("p")
+    d = summary.filter(F.col("direction") == DISPATCH).alias("d")
+    je = f.windows.select("station_id", "receive_planned", "dispatch_planned").alias("je")
+    sc = f.stations.alias("sc")
     return (
-        p.join(c, same("p", "c", window_keys), "left")
-        .join(o, same("p", "o", window_keys), "left")
-        .join(je, same("p", "je", ["station_id", "receive_planned"]), "left")
+        p.join(
+            je,
+            (F.col("p.station_id") == F.col("je.station_id")) & (F.col("p.planned") == F.col("je.receive_planned")),
+            "left",
+        )
         .join(
-            pd,
-            (F.col("je.station_id") == F.col("pd.station_id"))
-            & (F.col("p.window_date") == F.col("pd.window_date"))
-            & (F.col("je.dispatch_planned") == F.col("pd.dispatch_planned")),
+            d,
+            (F.col("je.station_id") == F.col("d.station_id"))
+            & (F.col("p.window_date") == F.col("d.window_date"))
+            & (F.col("je.dispatch_planned") == F.col("d.planned")),
             "left",
         )
-        .join(cd, same("pd", "cd", window_keys), "left")
-        .join(od, same("pd", "od", ["station_id", "window_date", "dispatch_planned"]), "left")
         .join(sc, F.col("p.station_id") == F.col("sc.station_id").cast("string"), "left")
     )
 
@@ -170,43 +201,43 @@ def _receive_columns():
         F.col("sc.station_name").alias("station_name"),
         F.col("sc.code_name").alias("code_name"),
         F.col("p.window_date").alias("data_base_janela"),
-        F.col("p.receive_planned").alias("janela_programada_received"),
-        F.col("p.receive_expanded").alias("janela_expandida_received"),
+        F.col("p.planned").alias("janela_programada_received"),
+        F.col("p.expanded").alias("janela_expandida_received"),
         F.col("p.window_total").alias("total_da_janela_received"),
-        F.col("c.curve_volume").alias("total_da_curva_received"),
-        instant_text("c.real_start").alias("datetime_inicio_real_received"),
-        instant_text("c.real_end").alias("datetime_fim_real_received"),
-        F.col("c.real_minutes").alias("total_minutos_real_received"),
-        hours("c.real_minutes").alias("duracao_horas_received"),
-        instant_text("c.curve_start").alias("datetime_inicio_curva_received"),
-        instant_text("c.curve_end").alias("datetime_fim_curva_received"),
-        F.col("c.curve_minutes").alias("duracao_minutos_curva_received"),
-        hours("c.curve_minutes").alias("duracao_horas_curva_received"),
-        duration_gap("c.curve_minutes", "c.real_minutes").alias("diferenca_duracao_curva_received"),
+        F.col("p.curve_volume").alias("total_da_curva_received"),
+        instant_text("p.real_start").alias("datetime_inicio_real_received"),
+        instant_text("p.real_end").alias("datetime_fim_real_received"),
+        F.col("p.real_minutes").alias("total_minutos_real_received"),
+        hours("p.real_minutes").alias("duracao_horas_received"),
+        instant_text("p.curve_start").alias("datetime_inicio_curva_received"),
+        instant_text("p.curve_end").alias("datetime_fim_curva_received"),
+        F.col("p.curve_minutes").alias("duracao_minutos_curva_received"),
+        hours("p.curve_minutes").alias("duracao_horas_curva_received"),
+        duration_gap("p.curve_minutes", "p.real_minutes").alias("diferenca_duracao_curva_received"),
     ]
 
 
 def _dispatch_columns():
     return [
-        F.col("pd.dispatch_planned").alias("janela_programada_dispatch"),
-        F.col("pd.dispatch_expanded").alias("janela_expandida_dispatch"),
-        F.col("pd.window_total").alias("total_da_janela_dispatch"),
-        F.col("cd.curve_volume").alias("total_da_curva_dispatch"),
-        instant_text("cd.real_start").alias("datetime_inicio_real_dispatch"),
-        instant_text("cd.real_end").alias("datetime_fim_real_dispatch"),
-        F.col("cd.real_minutes").alias("total_minutos_real_dispatch"),
-        hours("cd.real_minutes").alias("duracao_horas_dispatch"),
-        instant_text("cd.curve_start").alias("datetime_inicio_curva_dispatch"),
-        instant_text("cd.curve_end").alias("datetime_fim_curva_dispatch"),
-        F.col("cd.curve_minutes").alias("duracao_curva_dispatch"),
-        hours("cd.curve_minutes").alias("duracao_horas_curva_dispatch"),
-        duration_gap("cd.curve_minutes", "cd.real_minutes").alias("diferenca_duracao_curva_dispatch"),
+        F.col("d.planned").alias("janela_programada_dispatch"),
+        F.col("d.expanded").alias("janela_expandida_dispatch"),
+        F.col("d.window_total").alias("total_da_janela_dispatch"),
+        F.col("d.curve_volume").alias("total_da_curva_dispatch"),
+        instant_text("d.real_start").alias("datetime_inicio_real_dispatch"),
+        instant_text("d.real_end").alias("datetime_fim_real_dispatch"),
+        F.col("d.real_minutes").alias("total_minutos_real_dispatch"),
+        hours("d.real_minutes").alias("duracao_horas_dispatch"),
+        instant_text("d.curve_start").alias("datetime_inicio_curva_dispatch"),
+        instant_text("d.curve_end").alias("datetime_fim_curva_dispatch"),
+        F.col("d.curve_minutes").alias("duracao_curva_dispatch"),
+        hours("d.curve_minutes").alias("duracao_horas_curva_dispatch"),
+        duration_gap("d.curve_minutes", "d.real_minutes").alias("diferenca_duracao_curva_dispatch"),
     ]
 
 
 def _dispatch_operators():
     """Operators in the dispatch window; 0 also when no dispatch row matched."""
-    return F.coalesce(F.col("od.operators"), F.lit(0))
+    return F.coalesce(F.col("d.operators"), F.lit(0))
 
 
 def shift_report(f: ShiftFrames) -> DataFrame:
@@ -214,16 +245,16 @@ def shift_report(f: ShiftFrames) -> DataFrame:
     cols = (
         _receive_columns()
         + [
-            rate_per_hour("p.window_total", "c.real_minutes").alias("produtividade_received"),
-            F.col("o.operators").alias("total_operadores_received"),
-            rate_per_operator("p.window_total", "o.operators").alias("produtividade_por_operador_received"),
+            rate_per_hour("p.window_total", "p.real_minutes").alias("produtividade_received"),
+            F.col("p.operators").alias("total_operadores_received"),
+            rate_per_operator("p.window_total", "p.operators").alias("produtividade_por_operador_received"),
         ]
         + _dispatch_columns()
         + [
-            rate_per_hour("pd.window_total", "cd.real_minutes").alias("produtividade_dispatch"),
+            rate_per_hour("d.window_total", "d.real_minutes").alias("produtividade_dispatch"),
             _dispatch_operators().alias("operadores_dispatch"),
-            rate_per_operator("pd.window_total", _dispatch_operators()).alias("produtividade_por_operador_dispatch"),
-            F.col("c.real_minutes").alias("total_minutos_real_received_debug"),
+            rate_per_operator("d.window_total", _dispatch_operators()).alias("produtividade_por_operador_dispatch"),
+            F.col("p.real_minutes").alias("total_minutos_real_received_debug"),
         ]
     )
     return _joined(f).select(*cols).distinct()
@@ -234,14 +265,14 @@ def curve_report(f: ShiftFrames) -> DataFrame:
     cols = (
         _receive_columns()
         + [
-            rate_per_hour("c.curve_volume", "c.curve_minutes").alias("produtividade_curva_received"),
-            rate_per_hour("p.window_total", "c.real_minutes").alias("produtividade_real_received"),
-            F.col("o.operators").alias("total_operadores_received"),
+            rate_per_hour("p.curve_volume", "p.curve_minutes").alias("produtividade_curva_received"),
+            rate_per_hour("p.window_total", "p.real_minutes").alias("produtividade_real_received"),
+            F.col("p.operators").alias("total_operadores_received"),
         ]
         + _dispatch_columns()
         + [
-            rate_per_hour("cd.curve_volume", "cd.curve_minutes").alias("produtividade_curva_dispatch"),
-            rate_per_hour("pd.window_total", "cd.real_minutes").alias("produtividade_real_dispatch"),
+            rate_per_hour("d.curve_volume", "d.curve_minutes").alias("produtividade_curva_dispatch"),
+            rate_per_hour("d.window_total", "d.real_minutes").alias("produtividade_real_dispatch"),
             _dispatch_operators().alias("operadores_dispatch"),
         ]
     )
