@@ -50,10 +50,12 @@ def latest_per_key(rows: DataFrame, key: str, order: str, within: DataFrame | No
 
 
 def latest_snapshot(df: DataFrame, date_col: str = "grass_date") -> DataFrame:
-    """Rows of a dated dimension at its latest date. The global MAX is one row,
-    broadcast into an equi semi-join; nothing goes through the driver."""
-    mx = df.agg(F.max(date_col).alias("_max_date"))
-    return df.join(F.broadcast(mx), df[date_col] == mx["_max_date"], "left_semi")
+    """Rows of a dated dimension at its latest date: a filter on the global
+    MAX, given as an uncorrelated scalar subquery (one value, computed once
+    by its own small aggregation job; no join and nothing collected by the
+    caller)."""
+    latest = df.agg(F.max(date_col)).scalar()
+    return df.filter(F.col(date_col) == latest)
 
 
 def hub_rows(dim: DataFrame) -> DataFrame:
