@@ -1,0 +1,8 @@
+"""Streaming: none.
+
+The source jobs are batch refreshes over dated facts (a 30-day rolling range,
+a latest-snapshot filter, a full delete-and-insert of the target). They have
+no watermark, no event-time window over an unbounded input and no state kept
+between runs, so no Structured Streaming operator is provided. Run the jobs
+on a schedule and write with :func:`hubflow.sources.sinks.full_refresh`.
+"""
