@@ -7,7 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_source(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the session's cores when its scan yields fewer
+    splits than that (a small file written as one row group is read by one
+    task). Large inputs have many splits and are returned unchanged, so this
+    adds no shuffle at scale. Filters and column pruning still reach the scan:
+    Catalyst pushes them through the repartition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def read_source(
+    spark: SparkSession, name: str, columns: Sequence[str] | None = None, spread_small: bool = True
+) -> DataFrame:
     """Scan a catalog table (``db.table``) or a parquet path, keeping only
     ``columns``. Selecting early lets the scan read just those columns; filters
     applied afterwards are pushed into the parquet reader by Catalyst."""
@@ -15,4 +29,5 @@ def read_source(spark: SparkSession, name: str, columns: Sequence[str] | None =
         df = spark.read.parquet(name)
     else:
         df = spark.table(name)
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if spread_small else df

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from hubflow.sources.tables import spread
 
 # --- fixed values of the test mapping --------------------------------------
 AS_OF = "2024-01-31"                 # the events span 2024-01-01 .. 2024-01-30
@@ -77,8 +78,12 @@ SOURCE_SCHEMAS = {
 }
 
 
+BIG_TABLES = {"events", "lineitem"}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in BIG_TABLES else df
 
 
 def shipment_facts(events: DataFrame) -> DataFrame:
@@ -104,9 +109,15 @@ def scan_log(events: DataFrame) -> DataFrame:
     )
 
 
+def _sql_text(v) -> str:
+    return "CAST(NULL AS STRING)" if v is None else "'" + v.replace("'", "''") + "'"
+
+
 def planning_sheet(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in PLANNING_COLUMNS])
-    return spark.createDataFrame(PLANNING_ROWS, schema)
+    """The planning rows as an inline table: a local relation of known size,
+    read in the JVM (no Python worker)."""
+    rows = ", ".join("(" + ", ".join(_sql_text(v) for v in row) + ")" for row in PLANNING_ROWS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS planning({', '.join(PLANNING_COLUMNS)})")
 
 
 def station_dimension(nation: DataFrame, region: DataFrame) -> DataFrame:
