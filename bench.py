@@ -28,25 +28,18 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
-    from pyspark.sql import SparkSession
-
     from hubflow.plans.queries import QUERIES
+    from hubflow.session import local_session
 
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("hubflow-bench")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
-    spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up
+    spark = local_session(cpus, "hubflow-bench", **{"spark.driver.memory": "8g"})
+    # JVM warm-up (JIT, codegen) on the smallest scale factor, if present;
+    # nothing is cached across runs: the cache is cleared before each run
+    warm_dir = os.path.join(os.path.dirname(sf_dir), "sf0.001")
+    warmup = os.path.isdir(warm_dir) and warm_dir != sf_dir
+    if warmup:
+        for name in HEADLINE:
+            QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+    spark.range(1000).selectExpr("sum(id)").collect()
 
     times = {}
     for name in HEADLINE:
@@ -68,6 +61,8 @@ def main() -> None:
                 "queries": times,
                 "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
                 "cpus": cpus,
+                "runs": f"best of {repeat}",
+                "warmup": "sf0.001" if warmup else "none",
             }
         )
     )

@@ -13,10 +13,12 @@ def spread(df: DataFrame) -> DataFrame:
     task). Large inputs have many splits and are returned unchanged, so this
     adds no shuffle at scale. Filters and column pruning still reach the scan:
     Catalyst pushes them through the repartition."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()  # plans the scan; runs no job
+    except Exception:  # no RDD access (e.g. a remote session): leave as is
         return df
-    return df.repartition(cores)
+    return df if splits >= cores else df.repartition(cores)
 
 
 def read_source(
