@@ -65,7 +65,7 @@ from hubflow.plans.shift import (
     receipt_share_frame,
     shift_productivity,
 )
-from hubflow.sources.sinks import full_refresh, shared_dir
+from hubflow.sources.sinks import shared_dir
 from hubflow.sources.tables import read_source
 from hubflow.sources.testdata import AS_OF, AS_OF_TS, Inputs, load_inputs
 
@@ -334,7 +334,7 @@ def _full_refresh(inp):
     """Q1 written with a full refresh into the shared folder, read back."""
     spark = inp.shipments.sparkSession
     target = f"{shared_dir(spark)}/hubflow-tables/shift_report-{uuid.uuid4().hex}"
-    return full_refresh(shift_productivity(inp, AS_OF), target)
+    return shift_productivity(inp, AS_OF, target=target)
 
 
 # --- backlog ----------------------------------------------------------------------

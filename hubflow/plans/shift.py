@@ -59,6 +59,7 @@ from hubflow.operators.joins import MAX_DIMENSION_ROWS, MAX_INTERVAL_ROWS, bound
 from hubflow.operators.profile import JOIN_KEYS, hour_profile, window_shares
 from hubflow.operators.staffing import count_operators
 from hubflow.operators.windows import window_table
+from hubflow.sources.sinks import full_refresh
 from hubflow.sources.testdata import Inputs
 
 # fixed values: share thresholds of the two jobs (percent, 0-100 scale)
@@ -116,6 +117,10 @@ class ShiftFrames:
     operators: DataFrame  # distinct operators per window-day group, both directions
     stations: DataFrame   # clean station dimension
 
+    def release(self) -> None:
+        """Drop the persisted shares once the report has been written."""
+        self.shares.unpersist()
+
 
 def shift_frames(
     inputs: Inputs,
@@ -284,11 +289,21 @@ def curve_report(f: ShiftFrames) -> DataFrame:
     )
 
 
-def shift_productivity(inputs: Inputs, as_of=None, **options) -> DataFrame:
+def shift_productivity(inputs: Inputs, as_of=None, target: str | None = None, **options) -> DataFrame:
     """Q1: shift productivity per station, day and window (curve span above
-    0.05 %, rates per operator)."""
+    0.05 %, rates per operator).
+
+    With ``target`` (a table name or folder), the report replaces the target's
+    contents (full refresh), the persisted intermediate frames are released,
+    and the stored rows are returned."""
     options.setdefault("span_pct", SHIFT_SPAN_PCT)
-    return shift_report(shift_frames(inputs, as_of, **options))
+    frames = shift_frames(inputs, as_of, **options)
+    report = shift_report(frames)
+    if target is None:
+        return report
+    stored = full_refresh(report, target)
+    frames.release()
+    return stored
 
 
 def curve_productivity(inputs: Inputs, as_of=None, **options) -> DataFrame:
