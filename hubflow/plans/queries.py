@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,8 +242,9 @@ def _operator_scans(inp):
 
 @query("operators_per_window")
 def _operators_per_window(inp):
-    """Distinct operators per receive window day."""
-    return operators_per_window(_receipt_shares(inp), inp.scans)
+    """Distinct operators per receive window day. The shares are
+    persisted: the interval size check and the count both read them."""
+    return operators_per_window(_receipt_shares(inp).persist(StorageLevel.MEMORY_AND_DISK), inp.scans)
 
 
 # --- dispatch path --------------------------------------------------------------
@@ -302,7 +304,7 @@ def _dispatch_curve_stats_low(inp):
 @query("operators_in_dispatch")
 def _operators_in_dispatch(inp):
     """Distinct operators in the planned dispatch window, 0 when none."""
-    return operators_in_dispatch(_dispatch_shares(inp), inp.scans)
+    return operators_in_dispatch(_dispatch_shares(inp).persist(StorageLevel.MEMORY_AND_DISK), inp.scans)
 
 
 # --- reports ----------------------------------------------------------------------
