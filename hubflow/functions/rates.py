@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INSTANT_FORMAT = "yyyy-MM-dd HH:mm"  # fixed: report text of an instant
 
 
 def _c(c) -> Column:
@@ -45,5 +44,10 @@ def rate_per_operator(total, operators) -> Column:
 
 
 def instant_text(ts) -> Column:
-    """Instant -> 'YYYY-MM-DD HH:MM'."""
-    return F.date_format(_c(ts), INSTANT_FORMAT)
+    """Instant (timestamp without time zone) -> 'YYYY-MM-DD HH:MM'.
+
+    Cut from the value's own text rather than ``date_format``, which would
+    pass through the session time zone (and shift wall times that fall in a
+    daylight-saving gap of that zone)."""
+    c = _c(ts)
+    return F.when(c.isNotNull(), F.substring(c.cast("timestamp_ntz").cast("string"), 1, len("yyyy-MM-dd HH:mm")))
