@@ -1,0 +1,92 @@
+"""Seeded random batches: the Column expressions against plain-Python
+statements of the same rules (one Spark job per batch)."""
+
+import datetime as dt
+import random
+
+from pyspark.sql import functions as F
+
+from hubflow.functions import base_date, clock_text, expand_close, expand_open, hhmm_from_text, inside_cyclic, label_clock
+from hubflow.operators.curve import overnight_end, overnight_start
+
+
+def py_inside(hm, lo, hi):
+    if lo is None or hi is None:
+        return 0
+    if lo > hi:
+        return 1 if hm >= lo or hm <= hi else 0
+    return 1 if lo <= hm <= hi else 0
+
+
+def py_base(day, hm, lo, hi, own):
+    if lo is not None and hi is not None and lo > hi:
+        if hm >= lo:
+            return day
+        if hm <= hi:
+            return day - dt.timedelta(days=1)
+        return day if own else None
+    return day
+
+
+def test_inside_and_base_date_random(spark):
+    rnd = random.Random(42)
+    clock = lambda: rnd.randrange(24) * 100 + rnd.randrange(60)
+    day = dt.date(2024, 1, 15)
+    rows = [(clock(), None if rnd.random() < 0.05 else clock(), clock()) for _ in range(600)]
+    df = spark.createDataFrame([(day, *r) for r in rows], "d date, hm int, lo int, hi int")
+    got = df.select(
+        "hm", "lo", "hi",
+        inside_cyclic("hm", "lo", "hi").alias("i"),
+        base_date("d", "hm", "lo", "hi").alias("r"),
+        base_date("d", "hm", "lo", "hi", default_own_day=True).alias("o"),
+    ).collect()
+    for g in got:
+        assert g.i == py_inside(g.hm, g.lo, g.hi), g
+        assert g.r == py_base(day, g.hm, g.lo, g.hi, False), g
+        assert g.o == py_base(day, g.hm, g.lo, g.hi, True), g
+
+
+def py_clock_text(raw):
+    padded = raw.rjust(8, "0")[:8]
+    return padded[:5]
+
+
+def test_clock_text_and_expansion_random(spark):
+    rnd = random.Random(7)
+    texts = []
+    for _ in range(300):
+        h, m = rnd.randrange(24), rnd.randrange(60)
+        texts.append(rnd.choice([f"{h:02d}:{m:02d}:00", f"{h}:{m:02d}:00", f"{h:02d}:{m:02d}"]))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", clock_text("t").alias("c")).select(
+        "t", "c", hhmm_from_text("c").alias("n"),
+        expand_open(hhmm_from_text("c")).alias("o"), expand_close(hhmm_from_text("c")).alias("x"),
+    ).collect()
+    for g in got:
+        c = py_clock_text(g.t)
+        n = int(c.replace(":", ""))
+        assert (g.c, g.n) == (c, n), g
+        assert g.o == (2330 if n < 100 else n - 100)
+        assert g.x == (2359 if n > 2259 else n + 100)
+
+
+def test_labels_and_overnight_random(spark):
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(400):
+        sh, sm, eh, em = rnd.randrange(24), rnd.randrange(60), rnd.randrange(24), rnd.randrange(60)
+        ts = dt.datetime(2024, 1, 15, rnd.randrange(24), rnd.randrange(60))
+        rows.append((f"{sh:02d}:{sm:02d} às {eh:02d}:{em:02d}", ts, sh, sm, eh, em))
+    df = spark.createDataFrame(rows, "l string, t timestamp_ntz, sh int, sm int, eh int, em int")
+    got = df.select(
+        "*",
+        *[label_clock("l", p).alias(p) for p in ("start_hour", "start_minute", "end_hour", "end_minute")],
+        overnight_start("t", F.col("l")).alias("s"),
+        overnight_end("t", F.col("l")).alias("e"),
+    ).collect()
+    day = dt.timedelta(days=1)
+    for g in got:
+        assert (g.start_hour, g.start_minute, g.end_hour, g.end_minute) == (g.sh, g.sm, g.eh, g.em)
+        wraps = g.sh > g.eh
+        assert g.s == (g.t if not wraps or g.t.hour >= g.sh else g.t + day)
+        assert g.e == (g.t if not wraps or g.t.hour <= g.eh else g.t - day)
