@@ -15,7 +15,7 @@ from hubflow.functions.clock import load_stamp
 from hubflow.functions.codes import prefix_any, trim_marker
 from hubflow.operators.backlog import hub_lookup, hub_rows, latest_per_key, latest_snapshot, station_dim, status_pivot
 from hubflow.operators.filters import slice_dim, status_in
-from hubflow.operators.joins import MAX_DIMENSION_ROWS, bounded_broadcast
+from hubflow.operators.joins import MAX_DIMENSION_ROWS, bounded_broadcast, row_bound_holds
 from hubflow.sources.testdata import Inputs
 
 # --- fixed values of the backlog report ------------------------------------
@@ -61,10 +61,13 @@ def backlog_candidates(tracking: DataFrame) -> DataFrame:
 def backlog_rows(inputs: Inputs, max_dim_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
     """The rows that the backlog counts, before grouping."""
     dim = station_dim(inputs.stations)
-    regional = bounded_broadcast(
-        dim.select(F.col("station_id").alias("r_station_id"), "superior_code_hub"), max_dim_rows
-    )
-    hubs = bounded_broadcast(hub_rows(dim), max_dim_rows)
+    # the regional lookup is a projection of the dimension and the hub rows a
+    # subset of it, so one row check bounds both
+    small_dim = row_bound_holds(dim, max_dim_rows)
+    regional = dim.select(F.col("station_id").alias("r_station_id"), "superior_code_hub")
+    hubs = hub_rows(dim)
+    if small_dim:
+        regional, hubs = F.broadcast(regional), F.broadcast(hubs)
     snap = slice_dim(latest_snapshot(inputs.snapshot), **SNAPSHOT_SLICE).select(
         F.col("station_name").alias("snap_name")
     )
