@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hubflow.functions.clock import OUTSIDE_LABEL, base_date, clock_int, inside_cyclic
 from hubflow.operators.filters import first_attempt, rolling_days
+from hubflow.operators.joins import HOT_KEY_ROWS, anti_join_split_hot
 
 RECEIPT_KEYS = ["station_id", "window_date", "window_label", "receive_planned", "receive_expanded"]
 DISPATCH_KEYS = ["station_id", "window_date", "window_label", "dispatch_planned", "dispatch_expanded"]
@@ -96,12 +97,12 @@ def dispatches_inside(classified: DataFrame) -> DataFrame:
     )
 
 
-def receipts_outside(receipts: DataFrame, inside: DataFrame) -> DataFrame:
+def receipts_outside(receipts: DataFrame, inside: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Receipts whose shipment id is inside no window at all (any station,
-    any window), labelled ``'fora da janela'``. A left-anti join on the id:
-    the inside ids are deduplicated map-side before the shuffle."""
-    inside_ids = inside.select("shipment_id").distinct()
-    return receipts.join(inside_ids, "shipment_id", "left_anti").select(
+    any window), labelled ``'fora da janela'``. A left-anti join on the id
+    (inside ids deduplicated map-side), with NULL and hot ids kept out of the
+    shuffle (``anti_join_split_hot``)."""
+    return anti_join_split_hot(receipts, inside, "shipment_id", hot_rows).select(
         "station_id", "shipment_id",
         F.col("received_date").alias("window_date"),
         "received_at",
