@@ -39,7 +39,7 @@ from hubflow.operators.classify import (
 from hubflow.operators.curve import curve_stats, overnight_end, overnight_start
 from hubflow.operators.filters import drop_label, first_attempt, rolling_days, status_in
 from hubflow.operators.joins import bounded_broadcast
-from hubflow.operators.profile import hour_profile, hour_shares, window_totals
+from hubflow.operators.profile import hour_profile, window_totals
 from hubflow.operators.staffing import (
     operator_scans,
     operators_in_dispatch,

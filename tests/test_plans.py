@@ -62,3 +62,14 @@ def test_shares_sum_to_100_without_collisions(spark):
         "station_id", "window_date", "receive_planned"
     ).agg(F.sum("share").alias("s"))
     assert sums.filter(F.abs(F.col("s") - 100) > 0.05 * 24).count() == 0
+
+
+def test_curve_is_inside_the_real_span(spark):
+    """The curve hours are a subset of the window's hours: its volume and (on
+    the receive side, without the overnight shift) its span cannot exceed the
+    window's."""
+    for key in ("curve_stats", "curve_stats_low"):
+        c = entry.queries()[key](spark, SF_SMALL)
+        assert c.filter(F.col("curve_volume") > F.col("volume")).count() == 0
+        assert c.filter(F.col("curve_minutes") > F.col("real_minutes")).count() == 0
+        assert c.filter(F.col("curve_start") < F.col("real_start")).count() == 0
