@@ -165,8 +165,10 @@ def window_summary(f: ShiftFrames) -> DataFrame:
     is_r = F.col("direction") == RECEIVE
     group_label = F.when(is_r, F.col("window_label")).otherwise(F.col("planned"))
     ops = f.operators.withColumnRenamed("group_label", "_group_label")
+    # base and curves are both hash-partitioned on DIRECTION_JOIN (they come
+    # from the shares), so a shuffled hash join needs no exchange at all
     return (
-        base.join(curves, DIRECTION_JOIN, "left")
+        base.join(curves.hint("shuffle_hash"), DIRECTION_JOIN, "left")
         .withColumn("_group_label", group_label)
         .join(ops, ["direction", "station_id", "window_date", "_group_label"], "left")
         .drop("_group_label")
