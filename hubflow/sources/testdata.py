@@ -11,6 +11,7 @@ nature. The planning rows are also used by the DuckDB oracle
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -200,14 +201,47 @@ def station_snapshot(nation: DataFrame) -> DataFrame:
     return rows.unionByName(extra)
 
 
-def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    events = _table(spark, sf_dir, "events")
-    nation = _table(spark, sf_dir, "nation")
-    return Inputs(
-        shipments=shipment_facts(events),
-        scans=scan_log(events),
-        planning=planning_sheet(spark),
-        stations=station_dimension(nation, _table(spark, sf_dir, "region")),
-        tracking=tracking_log(_table(spark, sf_dir, "lineitem")),
-        snapshot=station_snapshot(nation),
-    )
+class DriverTables:
+    """The six inputs over the test tables in ``sf_dir``, each derived on
+    first use: a query that touches two of them does not build the others.
+    Has the same attributes as :class:`Inputs`."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def _events(self) -> DataFrame:
+        return _table(self.spark, self.sf_dir, "events")
+
+    @cached_property
+    def _nation(self) -> DataFrame:
+        return _table(self.spark, self.sf_dir, "nation")
+
+    @cached_property
+    def shipments(self) -> DataFrame:
+        return shipment_facts(self._events)
+
+    @cached_property
+    def scans(self) -> DataFrame:
+        return scan_log(self._events)
+
+    @cached_property
+    def planning(self) -> DataFrame:
+        return planning_sheet(self.spark)
+
+    @cached_property
+    def stations(self) -> DataFrame:
+        return station_dimension(self._nation, _table(self.spark, self.sf_dir, "region"))
+
+    @cached_property
+    def tracking(self) -> DataFrame:
+        return tracking_log(_table(self.spark, self.sf_dir, "lineitem"))
+
+    @cached_property
+    def snapshot(self) -> DataFrame:
+        return station_snapshot(self._nation)
+
+
+def load_inputs(spark: SparkSession, sf_dir: str) -> DriverTables:
+    """The job inputs over the test tables in ``sf_dir`` (built lazily)."""
+    return DriverTables(spark, sf_dir)
