@@ -25,8 +25,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> Data
     return F.broadcast(df) if row_bound_holds(df, max_rows) else df
 
 
-# Rows per key above which a key is treated as hot and kept out of shuffles.
+# Rows per key above which a key is treated as hot and kept out of shuffles,
+# and how many such keys at most are looked up by broadcast.
 HOT_KEY_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
 
 
 def anti_join_split_hot(
@@ -34,30 +36,35 @@ def anti_join_split_hot(
     right: DataFrame,
     key: str,
     hot_rows: int = HOT_KEY_ROWS,
-    max_hot_keys: int = MAX_INTERVAL_ROWS,
+    max_hot_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Rows of ``left`` whose ``key`` does not occur in ``right`` (LEFT ANTI),
     safe when one key holds a large share of ``left``.
 
     * NULL keys never match, so those rows bypass the join.
     * ``right`` is deduplicated map-side before its shuffle.
-    * Keys with more than ``hot_rows`` rows in ``left`` (found by a partially
-      aggregated count; at most rows / ``hot_rows`` of them, and checked
-      against ``max_hot_keys`` before broadcasting) are decided by broadcast
-      lookups, so their rows are never shuffled.
-    * The remaining keys go through the ordinary shuffle anti-join, whose
-      partitions then hold no hot key.
+    * The heaviest keys with more than ``hot_rows`` rows in ``left`` (found by
+      a partially aggregated count; at most ``max_hot_keys`` of them, so the
+      broadcast is bounded by construction) are decided by broadcast lookups,
+      and their rows are never shuffled.
+    * Every other key, including hot keys beyond that many, goes through the
+      ordinary shuffle anti-join. Both paths are exact; the cap only decides
+      which path a key takes.
 
     The split is needed because the deduplicated side is already partitioned
     by ``key``, a shape in which AQE cannot split a skewed partition."""
     k = F.col(key)
     ids = right.select(key).distinct()
     keyed = left.filter(k.isNotNull())
-    hot = keyed.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
-    if not row_bound_holds(hot, max_hot_keys):  # cannot happen below rows = hot_rows * max_hot_keys
-        return left.join(ids, key, "left_anti")
-    hot = F.broadcast(hot)
-    hot_present = F.broadcast(ids.join(hot, key, "left_semi"))  # at most |hot| rows
+    hot = F.broadcast(
+        keyed.groupBy(key)
+        .count()
+        .filter(F.col("count") > hot_rows)
+        .orderBy(F.col("count").desc())
+        .limit(max_hot_keys)
+        .select(key)
+    )
+    hot_present = F.broadcast(ids.join(hot, key, "left_semi"))  # at most max_hot_keys rows
     hot_part = keyed.join(hot, key, "left_semi").join(hot_present, key, "left_anti")
     cold_part = keyed.join(hot, key, "left_anti").join(ids, key, "left_anti")
     return left.filter(k.isNull()).unionByName(hot_part).unionByName(cold_part)

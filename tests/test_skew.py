@@ -85,3 +85,15 @@ def test_outside_receipts_keep_hot_and_null_ids_out_of_the_shuffle(spark):
     assert sorted((r.shipment_id or -1) for r in rows) == sorted((r.shipment_id or -1) for r in expected.collect())
     assert any(r.shipment_id is None for r in rows) and any(r.shipment_id == 7 for r in rows)
     assert not any(r.shipment_id == 8 for r in rows)
+
+
+def test_hot_keys_beyond_the_cap_stay_exact(spark):
+    from hubflow.operators.joins import anti_join_split_hot
+
+    left = spark.range(3000).select(
+        (F.col("id") % 4).alias("k"), F.col("id").alias("v")
+    )  # four keys, 750 rows each: all hot at hot_rows=100
+    right = spark.createDataFrame([(1,), (3,)], "k long")
+    got = anti_join_split_hot(left, right, "k", hot_rows=100, max_hot_keys=1)  # one by broadcast, three by shuffle
+    want = left.join(right, "k", "left_anti")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
