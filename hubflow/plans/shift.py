@@ -6,7 +6,7 @@ together in one frame keyed by ``direction``:
   shipment facts --(one scan)--> receive and dispatch events
      --(broadcast join, windows size-checked)--> events inside a window
      --> hour profile (the only aggregation over the facts)
-     --> window totals --> hourly shares [persisted]
+     --> window totals --> hourly shares [checkpointed]
   shares --> curves (one aggregation)
   shares --> window-days --> scan intervals --(scan log read once,
      broadcast when the window-days are size-checked)--> distinct operators
@@ -27,7 +27,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +58,7 @@ from hubflow.operators.joins import MAX_DIMENSION_ROWS, MAX_INTERVAL_ROWS, bound
 from hubflow.operators.profile import JOIN_KEYS, hour_profile, window_shares
 from hubflow.operators.staffing import count_operators
 from hubflow.operators.windows import window_table
-from hubflow.sources.sinks import full_refresh
+from hubflow.sources.sinks import full_refresh, shared_dir
 from hubflow.sources.testdata import Inputs
 
 # fixed values: share thresholds of the two jobs (percent, 0-100 scale)
@@ -118,7 +117,10 @@ class ShiftFrames:
     stations: DataFrame   # clean station dimension
 
     def release(self) -> None:
-        """Drop the persisted shares once the report has been written."""
+        """Let go of the materialised shares once the report has been written
+        (a persisted frame is dropped; checkpoint files are removed by Spark's
+        cleaner when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is
+        on, as in ``hubflow.session``)."""
         self.shares.unpersist()
 
 
@@ -128,7 +130,7 @@ def shift_frames(
     span_pct: float = SHIFT_SPAN_PCT,
     volume_pct: float = VOLUME_PCT,
     share_scale: int | None = None,
-    persist: bool = True,
+    materialize: bool = True,
     max_windows: int = MAX_DIMENSION_ROWS,
     max_intervals: int = MAX_INTERVAL_ROWS,
 ) -> ShiftFrames:
@@ -137,9 +139,13 @@ def shift_frames(
     is joined later."""
     windows = bounded_broadcast(window_table(inputs.planning), max_windows)
     shares = event_share_frame(inputs, windows, as_of, share_scale)
-    if persist:
-        # used by curves, operators and the report; lost blocks are recomputed
-        shares = shares.persist(StorageLevel.MEMORY_AND_DISK)
+    if materialize:
+        # Used by curves, operators and the report. A reliable checkpoint in
+        # the shared folder computes the shares once, survives the loss of an
+        # executor, and cuts the lineage so every later plan is small to
+        # analyse and optimise (its partitioning is kept).
+        shared_dir(shares.sparkSession)
+        shares = shares.checkpoint(eager=True)
     ops, bounded = event_operators(shares, inputs.scans, max_intervals)
     curves = curve_stats(
         shares, EVENT_KEYS, volume_pct, span_pct,
@@ -296,7 +302,7 @@ def shift_productivity(inputs: Inputs, as_of=None, target: str | None = None, **
     0.05 %, rates per operator).
 
     With ``target`` (a table name or folder), the report replaces the target's
-    contents (full refresh), the persisted intermediate frames are released,
+    contents (full refresh), the materialised intermediate frames are released,
     and the stored rows are returned."""
     options.setdefault("span_pct", SHIFT_SPAN_PCT)
     frames = shift_frames(inputs, as_of, **options)
