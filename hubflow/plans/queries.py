@@ -12,7 +12,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +65,7 @@ from hubflow.plans.shift import (
     receipt_share_frame,
     shift_productivity,
 )
-from hubflow.sources.sinks import shared_dir
+from hubflow.sources.sinks import materialize, shared_dir
 from hubflow.sources.tables import read_source
 from hubflow.sources.testdata import AS_OF, AS_OF_TS, Inputs, load_inputs
 
@@ -243,8 +242,8 @@ def _operator_scans(inp):
 @query("operators_per_window")
 def _operators_per_window(inp):
     """Distinct operators per receive window day. The shares are
-    persisted: the interval size check and the count both read them."""
-    return operators_per_window(_receipt_shares(inp).persist(StorageLevel.MEMORY_AND_DISK), inp.scans)
+    materialised once: the interval size check and the count both read them."""
+    return operators_per_window(materialize(_receipt_shares(inp)), inp.scans)
 
 
 # --- dispatch path --------------------------------------------------------------
@@ -304,7 +303,7 @@ def _dispatch_curve_stats_low(inp):
 @query("operators_in_dispatch")
 def _operators_in_dispatch(inp):
     """Distinct operators in the planned dispatch window, 0 when none."""
-    return operators_in_dispatch(_dispatch_shares(inp).persist(StorageLevel.MEMORY_AND_DISK), inp.scans)
+    return operators_in_dispatch(materialize(_dispatch_shares(inp)), inp.scans)
 
 
 # --- reports ----------------------------------------------------------------------

@@ -58,7 +58,7 @@ from hubflow.operators.joins import MAX_DIMENSION_ROWS, MAX_INTERVAL_ROWS, bound
 from hubflow.operators.profile import JOIN_KEYS, hour_profile, window_shares
 from hubflow.operators.staffing import count_operators
 from hubflow.operators.windows import window_table
-from hubflow.sources.sinks import full_refresh, shared_dir
+from hubflow.sources.sinks import full_refresh, materialize
 from hubflow.sources.testdata import Inputs
 
 # fixed values: share thresholds of the two jobs (percent, 0-100 scale)
@@ -130,7 +130,7 @@ def shift_frames(
     span_pct: float = SHIFT_SPAN_PCT,
     volume_pct: float = VOLUME_PCT,
     share_scale: int | None = None,
-    materialize: bool = True,
+    checkpoint_shares: bool = True,
     max_windows: int = MAX_DIMENSION_ROWS,
     max_intervals: int = MAX_INTERVAL_ROWS,
 ) -> ShiftFrames:
@@ -139,13 +139,12 @@ def shift_frames(
     is joined later."""
     windows = bounded_broadcast(window_table(inputs.planning), max_windows)
     shares = event_share_frame(inputs, windows, as_of, share_scale)
-    if materialize:
+    if checkpoint_shares:
         # Used by curves, operators and the report. A reliable checkpoint in
         # the shared folder computes the shares once, survives the loss of an
         # executor, and cuts the lineage so every later plan is small to
         # analyse and optimise (its partitioning is kept).
-        shared_dir(shares.sparkSession)
-        shares = shares.checkpoint(eager=True)
+        shares = materialize(shares)
     ops, bounded = event_operators(shares, inputs.scans, max_intervals)
     curves = curve_stats(
         shares, EVENT_KEYS, volume_pct, span_pct,

@@ -37,3 +37,12 @@ def full_refresh(df: DataFrame, target: str, fmt: str = "parquet") -> DataFrame:
         return spark.read.format(fmt).load(target)
     writer.saveAsTable(target)
     return spark.table(target)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared folder and continue from there:
+    a reliable checkpoint (it survives the loss of an executor, unlike a
+    local checkpoint) that cuts the lineage, so later plans stay small.
+    The frame's partitioning is kept."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
