@@ -146,3 +146,9 @@ def test_codes(spark):
 def test_load_stamp(spark):
     r = spark.range(1).select(load_stamp("2024-01-31 12:00:00").alias("s")).first()
     assert r.s == dt.datetime(2024, 1, 31, 1, 0)
+
+
+def test_share_scale_option(spark):
+    df = spark.createDataFrame([(1, 3), (2, 3), (1, 32)], "n long, t long")
+    got = [r.s for r in df.select(share_pct("n", "t", scale=1).alias("s")).collect()]
+    assert got == [33.3, 66.7, 3.1]
