@@ -49,5 +49,4 @@ def instant_text(ts) -> Column:
     Cut from the value's own text rather than ``date_format``, which would
     pass through the session time zone (and shift wall times that fall in a
     daylight-saving gap of that zone)."""
-    c = _c(ts)
-    return F.when(c.isNotNull(), F.substring(c.cast("timestamp_ntz").cast("string"), 1, len("yyyy-MM-dd HH:mm")))
+    return F.substring(_c(ts).cast("timestamp_ntz").cast("string"), 1, len("yyyy-MM-dd HH:mm"))
