@@ -36,3 +36,7 @@ def test_entry_flagship(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 38
     assert df.count() > 0
+
+
+def test_entry_schema_is_stable(spark):
+    assert entry.entry(spark).schema == entry.entry(spark).schema
