@@ -19,16 +19,12 @@ DEFAULT = ["shift_report", "curve_report", "backlog_report", "operators_per_wind
 
 
 def _events(log_dir):
+    """All JSON events of the (uncompressed) event logs under ``log_dir``."""
     out = []
     for path in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True):
-        if os.path.isfile(path) and "events" in os.path.basename(path) or (os.path.isfile(path) and path.endswith("-0")):
+        if os.path.isfile(path):
             with open(path) as fh:
-                out += [json.loads(line) for line in fh if line.strip().startswith("{")]
-    if not out:
-        for path in glob.glob(os.path.join(log_dir, "*")):
-            if os.path.isfile(path):
-                with open(path) as fh:
-                    out += [json.loads(line) for line in fh if line.strip().startswith("{")]
+                out += [json.loads(line) for line in fh if line.startswith("{")]
     return out
 
 
