@@ -64,6 +64,9 @@ def curve_stats(
             F.min(F.when(above_span, ts)).alias("curve_start"),
             F.max(F.when(above_span, ts)).alias("curve_end"),
         )
-        .withColumn("real_minutes", minutes_between("real_start", "real_end"))
-        .withColumn("curve_minutes", minutes_between("curve_start", "curve_end"))
+        .select(
+            "*",
+            minutes_between("real_start", "real_end").alias("real_minutes"),
+            minutes_between("curve_start", "curve_end").alias("curve_minutes"),
+        )
     )
