@@ -64,5 +64,5 @@ def hour_shares(
     return (
         drop_label(profile)
         .join(t, join_keys)
-        .withColumn("share", share_pct("shipments", "window_total", share_scale))
+        .select("*", share_pct("shipments", "window_total", share_scale).alias("share"))
     )
