@@ -6,9 +6,15 @@ against brute force."""
 from __future__ import annotations
 
 from .langid import op2_language_id
+from .quality import op9_quality_rules
+from .sharding import op4_shuffled_shards
+from .warc import OP8_SQL, op8_warc
 
 LLM_QUERIES = {
     "op2_language_id": op2_language_id,
+    "op4_shuffled_shards": op4_shuffled_shards,
+    "op8_warc": op8_warc,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-LLM_ORACLE_SQL: dict[str, str] = {}
+LLM_ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL}
