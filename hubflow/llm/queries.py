@@ -6,6 +6,7 @@ against brute force."""
 from __future__ import annotations
 
 from .langid import op2_language_id
+from .mixing import op6_mix
 from .quality import op9_quality_rules
 from .sharding import op4_shuffled_shards
 from .warc import OP8_SQL, op8_warc
@@ -13,6 +14,7 @@ from .warc import OP8_SQL, op8_warc
 LLM_QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_shuffled_shards": op4_shuffled_shards,
+    "op6_mix": op6_mix,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
 }

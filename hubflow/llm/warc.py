@@ -154,7 +154,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                     if out:
                         close()
                     now, n = r["archive"], 0
-                    out = disk.open_output_stream(f"{root}/.{attempt}-{now}")
+                    out = disk.open_output_stream(f"{root}/.{attempt}-{now}", compression=None)
                 out.write(record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["first_id"], r["revisit"]))
                 n += 1
         if out:
@@ -180,7 +180,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str, payload
         for part in batches:
             for path in part.column(0).to_pylist():
                 rows, held = [], 0
-                with disk.open_input_stream(path) as stream:
+                with disk.open_input_stream(path, compression=None) as stream:
                     for h, block in records(stream.read):
                         payload = payload_of(h, block)
                         page, refers = h.get("X-Page-Id"), h.get("X-Refers-To-Page")
