@@ -9,9 +9,11 @@ from .langid import op2_language_id
 from .mixing import op6_mix
 from .quality import op9_quality_rules
 from .sharding import op4_shuffled_shards
+from .simhash import op1_simhash
 from .warc import OP8_SQL, op8_warc
 
 LLM_QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
     "op4_shuffled_shards": op4_shuffled_shards,
     "op6_mix": op6_mix,

@@ -1,0 +1,95 @@
+import numpy as np
+import pytest
+import xxhash
+
+from hubflow.llm import simhash
+from hubflow.llm.components import components
+from hubflow.llm.queries import LLM_QUERIES
+
+DOCS = "doc_id long, text string, fp string, label int"
+
+
+def plain_fingerprint(text, n=4):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    grams = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([b" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(rows):
+    """Smallest id reachable, by comparing all pairs."""
+    ids, code = [r[0] for r in rows], np.array([r[1] for r in rows], np.uint64)
+    group = list(range(len(rows)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(code ^ code[i]) <= 4):
+            a, b = find(i), find(int(j))
+            group[max(a, b)] = min(a, b)
+    names = {}
+    for i, d in enumerate(ids):
+        g = find(i)
+        names[g] = d if names.get(g) is None else min(names[g], d if d is not None else names[g])
+    return [names[find(i)] for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_against_all_pairs(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()
+    rows = [(r.doc_id, plain_fingerprint(r.text)) for r in docs]
+    want = {d: (f"{f:016x}", c) for (d, f), c in zip(rows, plain_groups(rows))}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in LLM_QUERIES["op1_simhash"](spark, f"/root/testdata/{sf}").collect()}
+    assert got == want
+
+
+def clustered(n, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    out = []
+    for _ in range(n):
+        c = int(rng.choice(centres))
+        for bit in rng.integers(0, 64, rng.integers(0, 5)):
+            c ^= 1 << int(bit)
+        out.append(c)
+    return np.unique(np.array(out, np.uint64))
+
+
+@pytest.mark.parametrize("rows", [4096, 40])
+def test_links_lose_nothing_also_in_split_buckets(spark, rows):
+    code = clustered(1500, 5)
+    df = spark.createDataFrame([(int(x),) for x in code.view(np.int64)], "fp long")
+    edges = simhash.links(df, bucket_rows=rows).distinct()
+    for r in edges.collect():
+        assert r.a != r.b  # an edge of a forest joins a class, not always a linked pair
+    labels = {r.node: r.label for r in components(edges).collect()}
+    want = plain_groups([(int(np.int64(x)), int(np.uint64(x))) for x in code.view(np.int64)])
+    for x, g in zip(code.view(np.int64), want):
+        assert labels.get(int(x), int(x)) == g
+
+
+def test_gray_order():
+    codes = np.arange(1 << 10, dtype=np.uint64)
+    by_rank = codes[np.argsort(simhash.gray_rank(codes))]
+    assert (np.bitwise_count(by_rank[1:] ^ by_rank[:-1]) == 1).all()
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 1000 + i) for i in range(50)] + [(3, 3)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(100, 161)} == {100} and {got[1000 + i] for i in range(50)} == {7} and 3 not in got
+
+
+def test_nulls_short_texts_and_one_row_kept(spark):
+    text = "one two three four five six seven eight"
+    rows = [(4, text, "x", 1), (2, text, "y", 1), (2, text, "y", 1), (None, text, "x", 1), (9, None, "x", 1), (8, "", "x", 1), (5, "lone", "x", 1), (None, "other words", "x", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id is None, r.component_id or 0) for r in simhash.near_duplicates(df).collect())
+    assert got == [(False, 2, False, 2), (False, 2, False, 2), (False, 4, False, 2), (False, 5, False, 5), (False, 8, False, 8), (False, 9, False, 8), (True, 0, False, 2), (True, 0, True, 0)]
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id or -1), r.text) for r in kept.collect()) == [(-1, "other words"), (2, text), (5, "lone"), (8, "")]
+    assert simhash.drop_near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
