@@ -5,20 +5,24 @@ against brute force."""
 
 from __future__ import annotations
 
+from .bytesuffix import op5_suffix_dedup
 from .langid import op2_language_id
 from .mixing import op6_mix
 from .quality import op9_quality_rules
 from .sharding import op4_shuffled_shards
 from .simhash import op1_simhash
 from .warc import OP8_SQL, op8_warc
+from .wordtree import op10_substring_dedup
 
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
     "op4_shuffled_shards": op4_shuffled_shards,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix": op6_mix,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 LLM_ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL}
