@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from .bytesuffix import op5_suffix_dedup
 from .langid import op2_language_id
+from .linerun import OP7_SQL, op7_line_runs
 from .mixing import op6_mix
 from .quality import op9_quality_rules
 from .sharding import op4_shuffled_shards
@@ -20,9 +21,10 @@ LLM_QUERIES = {
     "op4_shuffled_shards": op4_shuffled_shards,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix": op6_mix,
+    "op7_line_runs": op7_line_runs,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-LLM_ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL}
+LLM_ORACLE_SQL: dict[str, str] = {"op7_line_runs": OP7_SQL, "op8_warc": OP8_SQL}
