@@ -6,6 +6,7 @@ against brute force."""
 from __future__ import annotations
 
 from .bytesuffix import op5_suffix_dedup
+from .decontaminate import op3_decontaminate
 from .langid import op2_language_id
 from .linerun import OP7_SQL, op7_line_runs
 from .mixing import op6_mix
@@ -18,6 +19,7 @@ from .wordtree import op10_substring_dedup
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op3_decontaminate": op3_decontaminate,
     "op4_shuffled_shards": op4_shuffled_shards,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix": op6_mix,
