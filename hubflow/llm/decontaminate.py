@@ -16,10 +16,12 @@ lower-cased.
 
 Items are grouped by length into classes (``CLASS_RATIO``); windows start at
 every word of every document, once per class. Before they are embedded, windows
-are dropped that can't be within the edits allowed: an edit destroys at most
-two of an item's word pairs, so a window must keep a number of word pairs that
-occur in items. Item pairs are a bitmap of fixed size (``PAIR_BITS``), whatever
-the number of items; it lets some windows through and never loses one.
+are dropped that can't be within the edits allowed: an edit destroys at most two
+of an item's word pairs and three of its triples, so a window must keep a number
+of pairs and triples that occur in items. After that, windows are dropped whose
+signature no item has in any table. Both tests look at bitmaps of fixed size
+(``BITMAP_BITS``), whatever the number of items; these let some windows through
+to the join and never lose one.
 
 Defined cases: null or empty texts and items match nothing; items with fewer
 than ``MIN_ITEM_WORDS`` words are not searched, as they occur everywhere; equal
@@ -48,7 +50,7 @@ SAMPLES = 3
 #: and the recall that the tables together must reach there.
 AGREE = 0.55
 TARGET_RECALL = 0.98
-PAIR_BITS = 1 << 22
+BITMAP_BITS = 1 << 23
 SEED = 20240610
 WINDOWS_AT_ONCE = 4096
 
@@ -73,10 +75,33 @@ def codes(words: list[str]) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
 
 
-def pair_bits(code: np.ndarray) -> np.ndarray:
+def _bits(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = code[:-1] * _U(0x9E3779B97F4A7C15) + code[1:] * _U(0xC2B2AE3D27D4EB4F)
-        return ((h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9) >> _U(64 - PAIR_BITS.bit_length() + 1)).astype(np.int64)
+        return ((h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9) >> _U(64 - BITMAP_BITS.bit_length() + 1)).astype(np.int64)
+
+
+def gram_bits(code: np.ndarray, n: int) -> np.ndarray:
+    """The bits of every ``n`` consecutive words."""
+    m = max(0, len(code) - n + 1)
+    with np.errstate(over="ignore"):
+        h = np.full(m, _U(n))
+        for i in range(n):
+            h = h * _U(0x9E3779B97F4A7C15) + code[i : i + m]
+    return _bits(h)
+
+
+def signature_bits(sigs: np.ndarray) -> np.ndarray:
+    """The bits of (window, table) signatures."""
+    with np.errstate(over="ignore"):
+        return _bits(sigs.view(np.uint64) + np.arange(1, sigs.shape[1] + 1, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F))
+
+
+def bitmap(bits: DataFrame) -> np.ndarray:
+    """A bitmap with the bits of ``bits`` (bit) set, packed: at most
+    ``BITMAP_BITS`` distinct rows reach the driver."""
+    out = np.zeros(BITMAP_BITS, bool)
+    out[bits.distinct().toArrow()["bit"].to_numpy()] = True
+    return np.packbits(out)
 
 
 def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
@@ -92,12 +117,12 @@ def class_lengths(c: int) -> list[int]:
     return [n for n in range(max(low - 1, 1), math.ceil(CLASS_RATIO ** (c + 1)) + 1) if length_class(n) == c]
 
 
-def class_shape(c: int, similarity: float = SIMILARITY) -> tuple[int, int, int, int]:
-    """Of a class: walk steps, words that a window may span, pairs it must
-    keep, and edits allowed at most."""
+def class_shape(c: int, similarity: float = SIMILARITY) -> tuple[int, int, dict[int, int], int]:
+    """Of a class: walk steps, words that a window may span, pairs and triples
+    it must keep, and edits allowed at most."""
     lengths = class_lengths(c)
     spans = max(n + edits_allowed(n, similarity) for n in lengths)
-    keep = min(n - 1 - 2 * edits_allowed(n, similarity) for n in lengths)
+    keep = {g: min(n - g + 1 - g * edits_allowed(n, similarity) for n in lengths) for g in (2, 3)}
     return math.ceil(1.6 * lengths[0]), spans, keep, edits_allowed(lengths[-1], similarity)
 
 
@@ -151,7 +176,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     part.column(0).take(took),
                     pa.array([length_class(len(w)) for w in words], pa.int32()),
                     pa.array([codes(w).view(np.int64).tolist() for w in words], pa.list_(pa.int64())),
-                    pa.array([np.unique(pair_bits(codes(w))).tolist() for w in words], pa.list_(pa.int64())),
+                    pa.array([np.unique(np.concatenate([gram_bits(codes(w), g) for g in (2, 3)])).tolist() for w in words], pa.list_(pa.int64())),
                 ],
                 ["item_id", "c", "words", "bits"],
             )
@@ -159,12 +184,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     prepared = staged(
         items.select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).mapInArrow(prepare, f"item_id {item_type}, c int, words array<long>, bits array<long>")
     )
-    # bounded: one row per class, and at most PAIR_BITS bits
-    classes = sorted(r["c"] for r in prepared.select("c").distinct().collect())
-    on = prepared.select(F.explode("bits").alias("bit")).distinct().toArrow()["bit"].to_numpy()
-    bitmap = np.zeros(PAIR_BITS, bool)
-    bitmap[on] = True
-    packed = spark.sparkContext.broadcast(np.packbits(bitmap))
+    classes = sorted(r["c"] for r in prepared.select("c").distinct().collect())  # few: lengths grow by a ratio
+    grams = spark.sparkContext.broadcast(bitmap(prepared.select(F.explode("bits").alias("bit"))))
 
     def embed_items(batches):
         for batch in batches:
@@ -176,13 +197,23 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     wide[r, : len(words[i])] = words[i]
                 sig = signatures(wide.view(np.uint64), int(one))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(at)), pa.array(np.full(len(at), one), pa.int32()), pa.array(sig.tolist(), pa.list_(pa.int64()))], ["item_id", "c", "sigs"]
+                    [
+                        ids.take(pa.array(at)),
+                        pa.array(np.full(len(at), one), pa.int32()),
+                        pa.array(sig.tolist(), pa.list_(pa.int64())),
+                        pa.array(signature_bits(sig).tolist(), pa.list_(pa.int64())),
+                    ],
+                    ["item_id", "c", "sigs", "bits"],
                 )
 
+    of_items = staged(
+        prepared.select("item_id", "c", "words").mapInArrow(embed_items, f"item_id {item_type}, c int, sigs array<long>, bits array<long>")
+    )
+    signed = spark.sparkContext.broadcast(bitmap(of_items.select(F.explode("bits").alias("bit"))))
     shapes = {c: class_shape(c, similarity) for c in classes}
 
     def windows(batches):
-        pairs = np.unpackbits(packed.value).astype(bool)
+        known, known_signature = (np.unpackbits(x.value).astype(bool) for x in (grams, signed))
         held = {c: [] for c in classes}  # per class: row, doc id, start, words around, window
 
         def flush(c):
@@ -190,7 +221,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             _, span, _, edits = shapes[c]
             wide = np.stack([r[3][edits : edits + span] for r in rows])
             sig = signatures(wide, c)
-            return pa.RecordBatch.from_arrays(
+            near = np.flatnonzero(known_signature[signature_bits(sig)].any(1))
+            rows, sig = [rows[i] for i in near], sig[near]
+            if not rows:
+                return
+            yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.concat_arrays([r[1] for r in rows]),
@@ -207,25 +242,31 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                 code = codes(tokens(text_))
                 if len(code) < 2:
                     continue
-                upto = np.concatenate(([0], np.cumsum(pairs[pair_bits(code)])))
+                reach = max(shapes[c][1] for c in classes) if classes else 0
+                upto = {}
+                for g in (2, 3):
+                    sums = np.cumsum(known[gram_bits(code, g)])
+                    upto[g] = np.concatenate(([0], sums, np.full(len(code) + reach - len(sums), sums[-1] if len(sums) else 0)))
                 for c in classes:
                     _, span, keep, edits = shapes[c]
-                    end = np.minimum(np.arange(len(code)) + span - 1, len(upto) - 1)
-                    start = np.flatnonzero(upto[end] - upto[np.minimum(np.arange(len(code)), len(upto) - 1)] >= max(keep, 1))
+                    enough = np.ones(len(code), bool)
+                    for g, least in keep.items():
+                        grams_in = span - g + 1
+                        enough &= upto[g][grams_in : grams_in + len(code)] - upto[g][: len(code)] >= least
+                    start = np.flatnonzero(enough)
                     if not len(start):
                         continue
                     padded = np.concatenate((np.zeros(edits, np.uint64), code, np.zeros(span + edits, np.uint64)))
                     doc_id = part.column(1).slice(i, 1)
                     held[c] += [(rid, doc_id, int(s), padded[s : s + span + 2 * edits]) for s in start]
                     if len(held[c]) >= WINDOWS_AT_ONCE:
-                        yield flush(c)
+                        yield from flush(c)
         for c in classes:
             if held[c]:
-                yield flush(c)
+                yield from flush(c)
 
     rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = staged(rows.mapInArrow(windows, f"rid long, doc_id {id_type}, c int, start long, around array<long>, sigs array<long>"))
-    of_items = staged(prepared.select("item_id", "c", "words").mapInArrow(embed_items, f"item_id {item_type}, c int, sigs array<long>"))
     tables = of_items.select("item_id", "c", F.posexplode("sigs").alias("t", "sig"))
     hits = found.select("rid", "doc_id", "c", "start", F.posexplode("sigs").alias("t", "sig")).join(tables, ["c", "t", "sig"])
     # rid names a row but for collisions, which the id tells apart

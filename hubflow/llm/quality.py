@@ -255,6 +255,14 @@ def learn_from(stats: DataFrame, labels: DataFrame, seed: int = 11) -> DecisionL
     return learn(rest.select(F.col("doc_id").alias("key"), "s").join(y, "key"), seed)
 
 
+def drop_rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 11) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and those learned from
+    ``labels`` (doc_id, quality). The texts themselves are not shuffled."""
+    stats = staged(docs.select(F.col(key).alias("doc_id"), statistics(F.col(text)).alias("s")))
+    rules = learn_from(stats, labels, seed)
+    return docs.where(let(statistics(F.col(text)), lambda s: ~base_failed(s) & rules.kept(s)))
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document; rules learned from ``labels``."""
     from .common import table

@@ -109,4 +109,4 @@ def test_classes_cover_every_length():
         c = dc.length_class(n)
         assert n in dc.class_lengths(c)
         steps, span, keep, edits = dc.class_shape(c)
-        assert span >= n + dc.edits_allowed(n) and keep <= n - 1 - 2 * dc.edits_allowed(n) and edits >= dc.edits_allowed(n)
+        assert span >= n + dc.edits_allowed(n) and all(keep[g] <= n - g + 1 - g * dc.edits_allowed(n) for g in (2, 3)) and edits >= dc.edits_allowed(n)
