@@ -26,11 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import let, staged, words
 
-SYMBOLS = "#*$%&|<>"
-WHITESPACE = " \t\n\x0b\x0c\r"
-
 #: Statistics that a rule may test.
-TESTED = ["n_words", "mean_word", "symbol_share", "repeat_share", "dup_line_share", "upper_share", "digit_share", "shout_share", "distinct_share"]
+TESTED = ["n_words", "mean_word", "symbol_share", "repeat_share", "dup_line_share", "upper_share", "digit_share", "shout_share"]
 #: Candidate thresholds per statistic, conditions in a rule, rules in a list.
 THRESHOLDS = 48
 MAX_CONDITIONS = 3
@@ -42,11 +39,9 @@ MIN_PRECISION = 0.9
 
 def _repeat_words(w: Column) -> Column:
     """Words inside a 3-word window that occurs twice or more in ``w``."""
+    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
 
-    def windows(i):
-        return F.struct(F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).alias("h"), i.alias("i"))
-
-    def covered(s):
+    def covered(s):  # s: hash and place of the windows, sorted
         same = F.filter(
             s,
             lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False))
@@ -60,24 +55,29 @@ def _repeat_words(w: Column) -> Column:
             lambda a: a["n"],
         )
 
-    sorted_windows = F.sort_array(F.transform(F.sequence(F.lit(1), F.size(w) - 2), windows))
-    return F.when(F.size(w) >= 3, let(sorted_windows, covered)).otherwise(F.lit(0))
+    def counted(h):  # most texts repeat no window: those need no sort
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(placed, covered))
+
+    return F.when(F.size(w) >= 3, let(hashes, counted)).otherwise(F.lit(0))
 
 
-def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count_of(text: Column, others: str) -> Column:
+    """Characters of ``text`` that the class ``others`` leaves: it matches the
+    long stretches between them, which is far cheaper than a look at each."""
+    return F.length(F.regexp_replace(text, f"{others}+", "")).cast("long")
 
 
 def statistics(text: Column) -> Column:
     """A struct of the base statistics of a text (null: those of an empty one)."""
     t = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WHITESPACE, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     by_words = let(
         words(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             _repeat_words(w).cast("long").alias("n_repeat_words"),
-            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         ),
     )
     by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
@@ -85,15 +85,14 @@ def statistics(text: Column) -> Column:
         F.struct(by_words.alias("w"), by_lines.alias("l")),
         lambda s: F.struct(
             s["w"]["n_words"].alias("n_words"),
-            F.length(F.translate(t, WHITESPACE, "")).cast("long").alias("word_chars"),
-            _count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
+            s["w"]["word_chars"].alias("word_chars"),
+            _count_of(t, r"[^#*$%&|<>]").alias("n_symbols"),
             s["l"]["dup"].cast("long").alias("n_dup_lines"),
             s["w"]["n_repeat_words"].alias("n_repeat_words"),
             s["l"]["n"].cast("long").alias("n_lines"),
-            s["w"]["n_distinct"].alias("n_distinct"),
-            F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
-            _count_of(t, "0123456789").cast("long").alias("n_digits"),
-            _count_of(t, "!?").cast("long").alias("n_shout"),
+            _count_of(t, r"\P{Lu}").alias("n_upper"),
+            _count_of(t, r"[^0-9]").alias("n_digits"),
+            _count_of(t, r"[^!?]").alias("n_shout"),
         ),
     )
 
@@ -118,7 +117,6 @@ def tested(s: Column) -> dict[str, Column]:
         "upper_share": share("n_upper", "word_chars"),
         "digit_share": share("n_digits", "word_chars"),
         "shout_share": share("n_shout", "word_chars"),
-        "distinct_share": share("n_distinct", "n_words"),
     }
 
 
