@@ -8,7 +8,6 @@ Layers:
               driver's test tables onto the job inputs
   plans/      end-to-end jobs (shift, curve and backlog reports) and the
               registered queries
-  streaming/  (the jobs are batch refreshes; see its docstring)
 """
 
 __version__ = "0.1.0"

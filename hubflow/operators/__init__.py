@@ -31,13 +31,12 @@ from hubflow.operators.filters import (  # noqa: F401
     drop_label,
     drop_sentinels,
     first_attempt,
-    inside_only,
     require_text,
     rolling_days,
     slice_dim,
     status_in,
 )
-from hubflow.operators.joins import anti_join_split_hot, bounded_broadcast, row_bound_holds  # noqa: F401
+from hubflow.operators.joins import anti_join  # noqa: F401
 from hubflow.operators.profile import hour_profile, hour_shares, window_shares, window_totals  # noqa: F401
 from hubflow.operators.staffing import (  # noqa: F401
     count_operators,

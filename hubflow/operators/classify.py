@@ -1,27 +1,61 @@
 """Receipts and dispatches placed in planned windows.
 
-Each fact row is joined to every window of its station (the windows are a
-small, size-checked broadcast, so the facts are never shuffled here), then
-flagged inside/outside and given the business date of its window."""
+Each fact row meets every window of its station, is flagged inside or outside
+and given the business date of its window. The rules of each direction are
+Columns defined once (``receive_*``, ``dispatch_*``) and used by the
+per-direction operators and by the one-pass frames alike.
+
+The join on the station is left to the planner: a windows table under the
+broadcast threshold is broadcast, a larger one is shuffled and AQE splits the
+stations that hold very many facts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.functions.clock import OUTSIDE_LABEL, base_date, clock_int, inside_cyclic
-from hubflow.operators.filters import first_attempt, rolling_days
-from hubflow.operators.joins import HOT_KEY_ROWS, anti_join_split_hot
+from hubflow.operators.filters import in_rolling_days, is_first_attempt
+from hubflow.operators.joins import anti_join
 
 RECEIPT_KEYS = ["station_id", "window_date", "window_label", "receive_planned", "receive_expanded"]
 DISPATCH_KEYS = ["station_id", "window_date", "window_label", "dispatch_planned", "dispatch_expanded"]
 
 
+def is_receipt(as_of=None, first: int = 30, last: int = 1) -> Column:
+    """First-attempt receipts of the last ``first``..``last`` days (by ``data``)."""
+    return is_first_attempt("received_attempt") & in_rolling_days("data", as_of, first, last)
+
+
+def is_dispatch() -> Column:
+    """First-attempt dispatches (no date limit)."""
+    return is_first_attempt("delivering_attempt")
+
+
+def receive_inside(hm) -> Column:
+    """Inside the expanded receive window, with the midnight wrap."""
+    return inside_cyclic(hm, "receive_open", "receive_close")
+
+
+def receive_date(at, hm) -> Column:
+    """The part after midnight of a wrapping window belongs to the day before;
+    outside both parts there is no date."""
+    return base_date(F.to_date(at), hm, "receive_open", "receive_close")
+
+
+def dispatch_inside(hm) -> Column:
+    """Inside the planned (not expanded) dispatch window; NULL bounds give 0."""
+    return inside_cyclic(hm, "dispatch_start", "dispatch_end")
+
+
+def dispatch_date(at, hm) -> Column:
+    """As ``receive_date``, but outside both parts the own date stays."""
+    return base_date(F.to_date(at), hm, "dispatch_start", "dispatch_end", default_own_day=True)
+
+
 def receipt_rows(shipments: DataFrame, as_of=None, first: int = 30, last: int = 1) -> DataFrame:
-    """First-attempt receipts of the last ``first``..``last`` days (by the
-    ``data`` column), with the station id as text and the receive clock."""
-    rows = rolling_days(first_attempt(shipments, "received_attempt"), "data", as_of, first, last)
-    return rows.select(
+    """``is_receipt`` rows with the station id as text and the receive clock."""
+    return shipments.filter(is_receipt(as_of, first, last)).select(
         F.col("station_id").cast("string").alias("station_id"),
         "shipment_id",
         F.col("data").alias("received_date"),
@@ -31,9 +65,8 @@ def receipt_rows(shipments: DataFrame, as_of=None, first: int = 30, last: int =
 
 
 def dispatch_rows(shipments: DataFrame) -> DataFrame:
-    """First-attempt dispatches (no date limit), station id as text."""
-    rows = first_attempt(shipments, "delivering_attempt")
-    return rows.select(
+    """``is_dispatch`` rows with the station id as text and the dispatch clock."""
+    return shipments.filter(is_dispatch()).select(
         F.col("station_id").cast("string").alias("station_id"),
         "shipment_id",
         F.col("data").alias("delivered_date"),
@@ -43,42 +76,37 @@ def dispatch_rows(shipments: DataFrame) -> DataFrame:
 
 
 def classify_receipts(receipts: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row per (receipt, window of its station). ``inside`` uses the
-    expanded window with the midnight wrap; ``window_date`` moves the part
-    after midnight of a wrapping window to the day before."""
+    """One row per (receipt, window of its station) with ``receive_inside`` and
+    ``receive_date``."""
     w = windows.select(
         "station_id", "receive_open", "receive_close", "receive_start", "receive_end",
         "receive_planned", "receive_expanded",
     )
-    hm, lo, hi = F.col("received_hhmm"), F.col("receive_open"), F.col("receive_close")
-    day = F.to_date("received_at")
     return receipts.join(w, "station_id").select(
         "station_id", "shipment_id", "received_at", "received_date", "received_hhmm",
         "receive_open", "receive_close", "receive_start", "receive_end",
         "receive_planned", "receive_expanded",
         F.col("receive_expanded").alias("window_label"),
-        inside_cyclic(hm, lo, hi).alias("inside"),
-        base_date(day, hm, lo, hi).alias("window_date"),
+        receive_inside("received_hhmm").alias("inside"),
+        receive_date("received_at", "received_hhmm").alias("window_date"),
     )
 
 
 def classify_dispatches(dispatches: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row per (dispatch, window of its station). ``inside`` uses the
-    planned (not expanded) dispatch bounds with the midnight wrap, NULL bounds
-    give 0. The grouping label is the window's *receive* expanded label."""
+    """One row per (dispatch, window of its station) with ``dispatch_inside`` and
+    ``dispatch_date``. The grouping label is the window's *receive* expanded
+    label."""
     w = windows.select(
         "station_id", "receive_open", "receive_close", "dispatch_start", "dispatch_end",
         "dispatch_planned", "dispatch_expanded", "receive_expanded",
     )
-    hm, lo, hi = F.col("delivered_hhmm"), F.col("dispatch_start"), F.col("dispatch_end")
-    day = F.to_date("delivered_at")
     return dispatches.join(w, "station_id").select(
         "station_id", "shipment_id", "delivered_at", "delivered_date", "delivered_hhmm",
         "receive_open", "receive_close", "dispatch_start", "dispatch_end",
         "dispatch_planned", "dispatch_expanded",
         F.col("receive_expanded").alias("window_label"),
-        inside_cyclic(hm, lo, hi).alias("inside"),
-        base_date(day, hm, lo, hi, default_own_day=True).alias("window_date"),
+        dispatch_inside("delivered_hhmm").alias("inside"),
+        dispatch_date("delivered_at", "delivered_hhmm").alias("window_date"),
     )
 
 
@@ -97,12 +125,10 @@ def dispatches_inside(classified: DataFrame) -> DataFrame:
     )
 
 
-def receipts_outside(receipts: DataFrame, inside: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def receipts_outside(receipts: DataFrame, inside: DataFrame) -> DataFrame:
     """Receipts whose shipment id is inside no window at all (any station,
-    any window), labelled ``'fora da janela'``. A left-anti join on the id
-    (inside ids deduplicated map-side), with NULL and hot ids kept out of the
-    shuffle (``anti_join_split_hot``)."""
-    return anti_join_split_hot(receipts, inside, "shipment_id", hot_rows).select(
+    any window), labelled ``'fora da janela'``; NULL ids are inside none."""
+    return anti_join(receipts, inside, "shipment_id").select(
         "station_id", "shipment_id",
         F.col("received_date").alias("window_date"),
         "received_at",
@@ -127,12 +153,7 @@ def fact_events(shipments: DataFrame, as_of=None, first: int = 30, last: int = 1
     row gives a 'receive' event (first receive attempt, ``data`` within the
     rolling range) and/or a 'dispatch' event (first delivery attempt, no date
     limit)."""
-    day = F.col("data")
-    as_of_day = F.current_date() if as_of is None else F.to_date(F.lit(str(as_of)))
-    receive_ok = (F.col("received_attempt") == 1) & day.between(
-        F.date_sub(as_of_day, first), F.date_sub(as_of_day, last)
-    )
-    dispatch_ok = F.col("delivering_attempt") == 1
+    receive_ok, dispatch_ok = is_receipt(as_of, first, last), is_dispatch()
     events = F.array(
         F.when(receive_ok, F.struct(F.lit(RECEIVE).alias("direction"), F.col("datetime_received").alias("at"))),
         F.when(dispatch_ok, F.struct(F.lit(DISPATCH).alias("direction"), F.col("datetime_delivering").alias("at"))),
@@ -156,32 +177,27 @@ def fact_events(shipments: DataFrame, as_of=None, first: int = 30, last: int = 1
 
 
 def events_inside(events: DataFrame, windows: DataFrame) -> DataFrame:
-    """Events inside a window of their station, both directions at once.
-    Receipts use the expanded receive window (no date outside the two parts
-    of a wrapping window); dispatches use the planned dispatch window and keep
-    their own date outside the parts. Both group under the receive expanded
+    """Events inside a window of their station, both directions at once, each
+    by the rules of its direction. Both group under the receive expanded
     label."""
     w = windows.select(
         "station_id", "receive_open", "receive_close", "receive_planned", "receive_expanded",
         "dispatch_start", "dispatch_end", "dispatch_planned", "dispatch_expanded",
     )
     is_r = F.col("direction") == RECEIVE
-    hm = F.col("event_hhmm")
-    lo = F.when(is_r, F.col("receive_open")).otherwise(F.col("dispatch_start"))
-    hi = F.when(is_r, F.col("receive_close")).otherwise(F.col("dispatch_end"))
-    day = F.to_date("event_at")
-    window_date = F.when(is_r, base_date(day, hm, lo, hi)).otherwise(
-        base_date(day, hm, lo, hi, default_own_day=True)
-    )
+
+    def either(receive: Column, dispatch: Column) -> Column:
+        return F.when(is_r, receive).otherwise(dispatch)
+
     return (
         events.join(w, "station_id")
-        .filter(inside_cyclic(hm, lo, hi) == 1)
+        .filter(either(receive_inside("event_hhmm"), dispatch_inside("event_hhmm")) == 1)
         .select(
             "direction", "station_id", "shipment_id",
-            window_date.alias("window_date"),
+            either(receive_date("event_at", "event_hhmm"), dispatch_date("event_at", "event_hhmm")).alias("window_date"),
             "event_at",
             F.col("receive_expanded").alias("window_label"),
-            F.when(is_r, F.col("receive_planned")).otherwise(F.col("dispatch_planned")).alias("planned"),
-            F.when(is_r, F.col("receive_expanded")).otherwise(F.col("dispatch_expanded")).alias("expanded"),
+            either(F.col("receive_planned"), F.col("dispatch_planned")).alias("planned"),
+            either(F.col("receive_expanded"), F.col("dispatch_expanded")).alias("expanded"),
         )
     )

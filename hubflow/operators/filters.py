@@ -20,9 +20,13 @@ def drop_sentinels(df: DataFrame, col: str = "station_id", values: Iterable[str]
     return df.filter(~F.col(col).isin(list(values)))
 
 
+def is_first_attempt(attempt_col: str) -> Column:
+    return F.col(attempt_col) == 1
+
+
 def first_attempt(df: DataFrame, attempt_col: str) -> DataFrame:
     """Keep first attempts (``attempt_col = 1``)."""
-    return df.filter(F.col(attempt_col) == 1)
+    return df.filter(is_first_attempt(attempt_col))
 
 
 def _as_date(as_of) -> Column:
@@ -33,12 +37,17 @@ def _as_date(as_of) -> Column:
     return F.to_date(F.lit(str(as_of)))
 
 
-def rolling_days(df: DataFrame, date_col: str, as_of=None, first: int = 30, last: int = 1) -> DataFrame:
-    """Keep ``date_col`` in [as_of - first, as_of - last], both ends inclusive.
-    ``as_of`` defaults to today; a literal date folds to constants and the
-    range is pushed to the scan."""
+def in_rolling_days(date_col: str, as_of=None, first: int = 30, last: int = 1) -> Column:
+    """``date_col`` in [as_of - first, as_of - last], both ends inclusive.
+    ``as_of`` is a date, its text or a Column, today by default; a literal
+    folds to constants and the range is pushed to the scan."""
     day = _as_date(as_of)
-    return df.filter(F.col(date_col).between(F.date_sub(day, first), F.date_sub(day, last)))
+    return F.col(date_col).between(F.date_sub(day, first), F.date_sub(day, last))
+
+
+def rolling_days(df: DataFrame, date_col: str, as_of=None, first: int = 30, last: int = 1) -> DataFrame:
+    """Keep the rows ``in_rolling_days``."""
+    return df.filter(in_rolling_days(date_col, as_of, first, last))
 
 
 def require_text(df: DataFrame, *cols: str) -> DataFrame:
@@ -47,11 +56,6 @@ def require_text(df: DataFrame, *cols: str) -> DataFrame:
     return df.filter(cond)
 
 
-def inside_only(df: DataFrame, flag_col: str = "inside") -> DataFrame:
-    """Keep rows flagged inside their window."""
-    return df.filter(F.col(flag_col) == 1)
-
-
 def drop_label(df: DataFrame, col: str = "window_label", label: str = OUTSIDE_LABEL) -> DataFrame:
     """Keep rows whose label differs from ``label``; NULL labels drop too."""
     return df.filter(F.col(col) != label)

@@ -5,66 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row caps below which a side may be broadcast. A row of the frames that go
-# through here is under ~400 bytes, so these caps keep a broadcast under
-# ~40-100 MB. Above the cap the join is left to the planner (shuffle join,
-# with AQE's skew split and its runtime broadcast switch).
-MAX_DIMENSION_ROWS = 100_000
-MAX_INTERVAL_ROWS = 1_000_000
+#: Over how many keys rows with a NULL key are dealt.
+NULL_SALTS = 4096
 
 
-def row_bound_holds(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Reads at most
-    ``max_rows + 1`` rows, so the check itself stays bounded."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def anti_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of ``left`` whose ``key`` does not occur in ``right`` (LEFT ANTI).
+    Rows with a NULL key always stay.
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven to be at most ``max_rows``,
-    else ``df`` unchanged so the planner picks a shuffle join."""
-    return F.broadcast(df) if row_bound_holds(df, max_rows) else df
-
-
-# Rows per key above which a key is treated as hot and kept out of shuffles,
-# and how many such keys at most are looked up by broadcast.
-HOT_KEY_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-
-
-def anti_join_split_hot(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    hot_rows: int = HOT_KEY_ROWS,
-    max_hot_keys: int = MAX_HOT_KEYS,
-) -> DataFrame:
-    """Rows of ``left`` whose ``key`` does not occur in ``right`` (LEFT ANTI),
-    safe when one key holds a large share of ``left``.
-
-    * NULL keys never match, so those rows bypass the join.
-    * ``right`` is deduplicated map-side before its shuffle.
-    * The heaviest keys with more than ``hot_rows`` rows in ``left`` (found by
-      a partially aggregated count; at most ``max_hot_keys`` of them, so the
-      broadcast is bounded by construction) are decided by broadcast lookups,
-      and their rows are never shuffled.
-    * Every other key, including hot keys beyond that many, goes through the
-      ordinary shuffle anti-join. Both paths are exact; the cap only decides
-      which path a key takes.
-
-    The split is needed because the deduplicated side is already partitioned
-    by ``key``, a shape in which AQE cannot split a skewed partition."""
+    ``left`` is read once: NULL keys travel through the same join, dealt over
+    many keys that ``right`` can't have, so they don't meet in one task. The
+    ids of ``right`` are not deduplicated: both sides then are plain shuffles,
+    in which AQE splits the partitions of a hot key."""
     k = F.col(key)
-    ids = right.select(key).distinct()
-    keyed = left.filter(k.isNotNull())
-    hot = F.broadcast(
-        keyed.groupBy(key)
-        .count()
-        .filter(F.col("count") > hot_rows)
-        .orderBy(F.col("count").desc())
-        .limit(max_hot_keys)
-        .select(key)
-    )
-    hot_present = F.broadcast(ids.join(hot, key, "left_semi"))  # at most max_hot_keys rows
-    hot_part = keyed.join(hot, key, "left_semi").join(hot_present, key, "left_anti")
-    cold_part = keyed.join(hot, key, "left_anti").join(ids, key, "left_anti")
-    return left.filter(k.isNull()).unionByName(hot_part).unionByName(cold_part)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(NULL_SALTS)) + 1
+    zero = F.lit(0).cast(left.schema[key].dataType)
+    rows = left.withColumns({"_anti_key": F.coalesce(k, zero), "_anti_salt": F.when(k.isNull(), salt).otherwise(F.lit(0).cast("long"))})
+    ids = right.filter(k.isNotNull()).select(k.alias("_anti_key"), F.lit(0).cast("long").alias("_anti_salt"))
+    return rows.join(ids, ["_anti_key", "_anti_salt"], "left_anti").drop("_anti_key", "_anti_salt")

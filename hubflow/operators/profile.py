@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hubflow.functions.rates import share_pct
 from hubflow.operators.filters import drop_label
@@ -39,14 +40,20 @@ def window_shares(
     join_keys: list[str] = JOIN_KEYS,
     share_scale: int | None = None,
 ) -> DataFrame:
-    """Totals and shares in one step. The profile is hash-partitioned once on
-    ``join_keys``; the totals (grouped by ``keys``, a superset), the
-    totals-to-hours join and any later grouping on a superset of
-    ``join_keys`` reuse that partitioning instead of shuffling again. A
-    partition key holds at most 24 hours x a few windows of one station-day,
-    so this exchange cannot be skewed."""
-    part = profile.repartition(*join_keys)
-    return hour_shares(part, window_totals(part, keys), share_scale, join_keys)
+    """``hour_shares(profile, window_totals(profile, keys))`` without reading
+    the profile twice: the totals are window sums over ``keys``, and every row
+    meets those of its ``join_keys`` as a set. One exchange on ``join_keys``
+    serves both, and any later grouping on a superset. A key holds at most 24
+    hours of the planned windows of one station-day, so neither the exchange
+    nor the set can be skewed."""
+    rest = [k for k in keys if k not in join_keys]
+    known = drop_label(profile).dropna(subset=join_keys).repartition(*join_keys)
+    total = F.sum("shipments").over(Window.partitionBy(*keys))
+    totals = F.collect_set(F.struct(*rest, "_total")).over(Window.partitionBy(*join_keys))
+    rows = known.withColumn("_total", total).withColumn("_totals", totals)
+    return rows.select(*profile.columns, F.explode("_totals._total").alias("window_total")).select(
+        "*", share_pct("shipments", "window_total", share_scale).alias("share")
+    )
 
 
 def hour_shares(

@@ -6,8 +6,8 @@ each window-day becomes one or two intervals keyed by (station, scan day);
 the two cases have different scan days, so they never overlap and the
 rewrite is exact. The scans then meet the intervals in an equi-join on
 (station, scan day) with a range check, and never through a nested loop.
-The intervals are a size-checked broadcast; beyond the cap the join
-shuffles on (station, scan day) and AQE splits skewed partitions."""
+Which side is broadcast, if any, is the planner's choice from measured sizes;
+a shuffled join is on (station, scan day) and AQE splits its skewed partitions."""
 
 from __future__ import annotations
 
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from hubflow.functions.clock import label_clock, label_instant
 from hubflow.operators.filters import first_attempt
-from hubflow.operators.joins import MAX_INTERVAL_ROWS, row_bound_holds
 
 
 def operator_scans(scans: DataFrame) -> DataFrame:
@@ -89,60 +88,30 @@ def _scans_in(scans: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def count_operators(
-    windows: DataFrame,
-    label_col: str,
-    group_keys: list[str],
-    next_day: bool,
-    scans: DataFrame,
-    max_windows: int = MAX_INTERVAL_ROWS,
-) -> tuple[DataFrame, bool]:
+    windows: DataFrame, label_col: str, group_keys: list[str], next_day, scans: DataFrame
+) -> DataFrame:
     """Distinct operators per ``group_keys`` among scans that fall in the
-    interval(s) of each row of ``windows`` (station_id, window_date, label).
-
-    Returns ``(counts, bounded)``. ``bounded`` is True when ``windows`` has at
-    most ``max_windows`` rows; then the intervals (at most two per window)
-    are broadcast, and ``counts`` (at most one row per window) may be too."""
-    bounded = row_bound_holds(windows, max_windows)
-    iv = window_intervals(windows, label_col, next_day)
-    if bounded:
-        iv = F.broadcast(iv)
-    counts = (
-        _scans_in(scan_rows(scans), iv)
+    interval(s) of each row of ``windows`` (station_id, window_date, label)."""
+    return (
+        _scans_in(scan_rows(scans), window_intervals(windows, label_col, next_day))
         .groupBy(*group_keys)
         .agg(F.count_distinct("operator_name").alias("operators"))
     )
-    return counts, bounded
 
 
-def operators_per_window(
-    shares: DataFrame, scans: DataFrame, max_intervals: int = MAX_INTERVAL_ROWS
-) -> DataFrame:
+def operators_per_window(shares: DataFrame, scans: DataFrame) -> DataFrame:
     """Distinct operators per (station, window day, expanded label) during the
     planned receive window (both cases). Planned windows sharing an expanded
     label pool their operators; windows without operators get no row."""
-    return receive_operators(shares, scans, max_intervals)[0]
-
-
-def receive_operators(shares: DataFrame, scans: DataFrame, max_intervals: int = MAX_INTERVAL_ROWS):
     wins = shares.select("station_id", "window_date", "window_label", "receive_planned").distinct()
-    keys = ["station_id", "window_date", "window_label"]
-    return count_operators(wins, "receive_planned", keys, True, scans, max_intervals)
+    return count_operators(wins, "receive_planned", ["station_id", "window_date", "window_label"], True, scans)
 
 
-def operators_in_dispatch(
-    dispatch_shares: DataFrame, scans: DataFrame, max_intervals: int = MAX_INTERVAL_ROWS
-) -> DataFrame:
+def operators_in_dispatch(dispatch_shares: DataFrame, scans: DataFrame) -> DataFrame:
     """Distinct operators scanning on the window day between the planned
     dispatch start and end (no next-day case), per (station, window day,
     planned dispatch label); 0 when none."""
-    return dispatch_operators(dispatch_shares, scans, max_intervals)[0]
-
-
-def dispatch_operators(dispatch_shares: DataFrame, scans: DataFrame, max_intervals: int = MAX_INTERVAL_ROWS):
     keys = ["station_id", "window_date", "dispatch_planned"]
     wins = dispatch_shares.select(*keys).distinct()
-    counts, bounded = count_operators(wins, "dispatch_planned", keys, False, scans, max_intervals)
-    if bounded:
-        counts = F.broadcast(counts)
-    out = wins.join(counts, keys, "left").select(*keys, F.coalesce("operators", F.lit(0)).alias("operators"))
-    return out, bounded
+    counts = count_operators(wins, "dispatch_planned", keys, False, scans)
+    return wins.join(counts, keys, "left").select(*keys, F.coalesce("operators", F.lit(0)).alias("operators"))

@@ -1,10 +1,11 @@
 """Q3: backlog of parcels at sorting centres, by station and status.
 
 Plan: the tracking log is filtered (status, location, destination), meets
-the latest local BR snapshot in a broadcast join, keeps the rows at the
-shipment's highest sequence (MAX over *all* of the shipment's rows, then a
-left-semi join: the only shuffle of the log), looks up the station and hub
-rows (broadcast, size-checked) and is counted per key in one aggregation."""
+the latest local BR snapshot, keeps the rows at the shipment's highest sequence
+(MAX over *all* of the shipment's rows, then a left-semi join), looks up the
+station and hub rows and is counted per key in one aggregation. The log is read
+twice: narrowly for the MAX, and filtered for the candidates. Small lookup
+tables are broadcast by the planner, by their measured size."""
 
 from __future__ import annotations
 
@@ -15,7 +16,6 @@ from hubflow.functions.clock import load_stamp
 from hubflow.functions.codes import prefix_any, trim_marker
 from hubflow.operators.backlog import hub_lookup, hub_rows, latest_per_key, latest_snapshot, station_dim, status_pivot
 from hubflow.operators.filters import slice_dim, status_in
-from hubflow.operators.joins import MAX_DIMENSION_ROWS, bounded_broadcast, row_bound_holds
 from hubflow.sources.testdata import Inputs
 
 # --- fixed values of the backlog report ------------------------------------
@@ -58,33 +58,27 @@ def backlog_candidates(tracking: DataFrame) -> DataFrame:
     )
 
 
-def backlog_rows(inputs: Inputs, max_dim_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+def backlog_rows(inputs: Inputs) -> DataFrame:
     """The rows that the backlog counts, before grouping."""
     dim = station_dim(inputs.stations)
-    # the regional lookup is a projection of the dimension and the hub rows a
-    # subset of it, so one row check bounds both
-    small_dim = row_bound_holds(dim, max_dim_rows)
     regional = dim.select(F.col("station_id").alias("r_station_id"), "superior_code_hub")
-    hubs = hub_rows(dim)
-    if small_dim:
-        regional, hubs = F.broadcast(regional), F.broadcast(hubs)
     snap = slice_dim(latest_snapshot(inputs.snapshot), **SNAPSHOT_SLICE).select(
         F.col("station_name").alias("snap_name")
     )
-    snap = bounded_broadcast(snap, max_dim_rows)
 
     rows = backlog_candidates(inputs.tracking)
     # inner: the WHERE on the snapshot columns drops unmatched rows; several
     # snapshot rows with one name each keep their copy of the row
     rows = rows.join(snap, rows["next_point"] == snap["snap_name"]).drop("snap_name")
     rows = latest_per_key(rows, "shipment_id", "station_sequence", within=inputs.tracking)
+    # a malformed id matches no station; it doesn't end the job
     rows = rows.join(
-        regional, rows["final_spx_station_id"].cast("bigint") == regional["r_station_id"], "left"
+        regional, rows["final_spx_station_id"].try_cast("bigint") == regional["r_station_id"], "left"
     ).drop("r_station_id")
-    return hub_lookup(rows, hubs)
+    return hub_lookup(rows, hub_rows(dim))
 
 
-def backlog_report(inputs: Inputs, as_of_ts=None, max_dim_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+def backlog_report(inputs: Inputs, as_of_ts=None) -> DataFrame:
     """Q3: per sorting centre, hub code and hub station: eight overlapping
     status counts, plus the load stamp (now minus 11 hours)."""
     keys = [
@@ -94,5 +88,5 @@ def backlog_report(inputs: Inputs, as_of_ts=None, max_dim_rows: int = MAX_DIMENS
         F.col("hub_station_id").alias("station_id"),
         F.col("hub_station_name").alias("station_name"),
     ]
-    counts = status_pivot(backlog_rows(inputs, max_dim_rows), keys, metric_conditions())
+    counts = status_pivot(backlog_rows(inputs), keys, metric_conditions())
     return counts.withColumn("last_update_time", load_stamp(as_of_ts, LOAD_LAG_HOURS))

@@ -4,16 +4,18 @@ Both jobs share one chain, and both directions (receive, dispatch) travel it
 together in one frame keyed by ``direction``:
 
   shipment facts --(one scan)--> receive and dispatch events
-     --(broadcast join, windows size-checked)--> events inside a window
+     --(join with the windows)--> events inside a window
      --> hour profile (the only aggregation over the facts)
      --> window totals --> hourly shares [checkpointed]
   shares --> curves (one aggregation)
-  shares --> window-days --> scan intervals --(scan log read once,
-     broadcast when the window-days are size-checked)--> distinct operators
-  shares + curves + operators --> window summary --> report
-
-So the facts and the scan log are each read once per job, and the profile's
-distinct count is planned as a partial dedupe on (keys, shipment id), a
+  shares --> window-days --> scan intervals --(one scan of the log)-->
+     distinct operators
+  shares + curves + operators --> window summary [checkpointed] --> report
+
+So the facts and the scan log are each read once per job: what the report
+uses twice (shares, and the summary whose two directions meet in it) is
+computed once into the shared folder. No join is hinted; the planner and AQE
+choose from measured sizes. The profile's distinct count is planned as a partial dedupe on (keys, shipment id), a
 shuffle on those keys, then a count: one very large station/day/hour group
 spreads over many tasks. Everything after the profile is at (direction,
 station, day, window[, hour]) grain.
@@ -54,11 +56,10 @@ from hubflow.operators.classify import (
     receipts_inside,
 )
 from hubflow.operators.curve import curve_stats
-from hubflow.operators.joins import MAX_DIMENSION_ROWS, MAX_INTERVAL_ROWS, bounded_broadcast
 from hubflow.operators.profile import JOIN_KEYS, hour_profile, window_shares
 from hubflow.operators.staffing import count_operators
 from hubflow.operators.windows import window_table
-from hubflow.sources.sinks import full_refresh, materialize
+from hubflow.sources.sinks import full_refresh, materialize, release
 from hubflow.sources.testdata import Inputs
 
 # fixed values: share thresholds of the two jobs (percent, 0-100 scale)
@@ -92,10 +93,10 @@ def event_share_frame(inputs: Inputs, windows: DataFrame, as_of=None, share_scal
     return window_shares(profile, EVENT_KEYS, DIRECTION_JOIN, share_scale)
 
 
-def event_operators(shares: DataFrame, scans: DataFrame, max_windows: int = MAX_INTERVAL_ROWS):
+def event_operators(shares: DataFrame, scans: DataFrame) -> DataFrame:
     """Distinct operators per window-day, both directions from one pass over
     the scans. Receive: pooled per expanded label, same day and next day.
-    Dispatch: per planned label, same day only. Returns (counts, bounded)."""
+    Dispatch: per planned label, same day only."""
     is_r = F.col("direction") == RECEIVE
     wins = (
         shares.select(
@@ -105,23 +106,20 @@ def event_operators(shares: DataFrame, scans: DataFrame, max_windows: int = MAX_
         .distinct()
     )
     keys = ["direction", "station_id", "window_date", "group_label"]
-    return count_operators(wins, "planned", keys, is_r, scans, max_windows)
+    return count_operators(wins, "planned", keys, is_r, scans)
 
 
 @dataclass(frozen=True)
 class ShiftFrames:
-    windows: DataFrame    # expanded planned windows (broadcast when checked)
-    shares: DataFrame     # hourly shares, both directions
-    curves: DataFrame     # curve statistics per window, both directions
-    operators: DataFrame  # distinct operators per window-day group, both directions
+    windows: DataFrame    # expanded planned windows
+    shares: DataFrame     # hourly shares, both directions (checkpointed)
+    summary: DataFrame    # window-days with totals, curves and operators (checkpointed)
     stations: DataFrame   # clean station dimension
 
     def release(self) -> None:
-        """Let go of the materialised shares once the report has been written
-        (a persisted frame is dropped; checkpoint files are removed by Spark's
-        cleaner when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is
-        on, as in ``hubflow.session``)."""
-        self.shares.unpersist()
+        """Delete the checkpoints once the report has been written."""
+        for df in (self.shares, self.summary):
+            release(df)
 
 
 def shift_frames(
@@ -130,50 +128,31 @@ def shift_frames(
     span_pct: float = SHIFT_SPAN_PCT,
     volume_pct: float = VOLUME_PCT,
     share_scale: int | None = None,
-    checkpoint_shares: bool = True,
-    max_windows: int = MAX_DIMENSION_ROWS,
-    max_intervals: int = MAX_INTERVAL_ROWS,
 ) -> ShiftFrames:
-    """The frames behind both reports. The size checks run here (bounded jobs
-    on small frames); where a bound holds, the frame is broadcast wherever it
-    is joined later."""
-    windows = bounded_broadcast(window_table(inputs.planning), max_windows)
-    shares = event_share_frame(inputs, windows, as_of, share_scale)
-    if checkpoint_shares:
-        # Used by curves, operators and the report. A reliable checkpoint in
-        # the shared folder computes the shares once, survives the loss of an
-        # executor, and cuts the lineage so every later plan is small to
-        # analyse and optimise (its partitioning is kept).
-        shares = materialize(shares)
-    ops, bounded = event_operators(shares, inputs.scans, max_intervals)
+    """The frames behind both reports. Reliable checkpoints in the shared folder
+    compute shares and summary once, survive the loss of an executor and keep
+    the later plans small."""
+    windows = window_table(inputs.planning)
+    shares = materialize(event_share_frame(inputs, windows, as_of, share_scale))
     curves = curve_stats(
         shares, EVENT_KEYS, volume_pct, span_pct,
         shift_label="planned", shift_if=F.col("direction") == DISPATCH,
     )
-    return ShiftFrames(
-        windows=windows,
-        shares=shares,
-        curves=curves,
-        # at most one row per checked window-day, so the same bound covers them
-        operators=F.broadcast(ops) if bounded else ops,
-        stations=bounded_broadcast(station_dim(inputs.stations), max_windows),
-    )
+    summary = materialize(window_summary(shares, curves, event_operators(shares, inputs.scans)))
+    return ShiftFrames(windows, shares, summary, station_dim(inputs.stations))
 
 
-def window_summary(f: ShiftFrames) -> DataFrame:
+def window_summary(shares: DataFrame, curves: DataFrame, operators: DataFrame) -> DataFrame:
     """One row per (window-day, matched totals row, matched curve row), both
     directions: total, curve statistics (matched on station, day and expanded
     label, so windows sharing that label see each other's curves) and
-    operators."""
-    base = f.shares.select(*EVENT_KEYS, "window_total").distinct()
-    curves = f.curves.select(*DIRECTION_JOIN, *CURVE_COLUMNS)
-    is_r = F.col("direction") == RECEIVE
-    group_label = F.when(is_r, F.col("window_label")).otherwise(F.col("planned"))
-    ops = f.operators.withColumnRenamed("group_label", "_group_label")
-    # base and curves are both hash-partitioned on DIRECTION_JOIN (they come
-    # from the shares), so a shuffled hash join needs no exchange at all
+    operators. The first join needs no exchange: both sides come from the
+    shares, which are partitioned by its keys."""
+    base = shares.select(*EVENT_KEYS, "window_total").distinct()
+    group_label = F.when(F.col("direction") == RECEIVE, F.col("window_label")).otherwise(F.col("planned"))
+    ops = operators.withColumnRenamed("group_label", "_group_label")
     return (
-        base.join(curves.hint("shuffle_hash"), DIRECTION_JOIN, "left")
+        base.join(curves.select(*DIRECTION_JOIN, *CURVE_COLUMNS), DIRECTION_JOIN, "left")
         .withColumn("_group_label", group_label)
         .join(ops, ["direction", "station_id", "window_date", "_group_label"], "left")
         .drop("_group_label")
@@ -183,7 +162,7 @@ def window_summary(f: ShiftFrames) -> DataFrame:
 def _joined(f: ShiftFrames) -> DataFrame:
     """Receive rows, their planned dispatch windows, the dispatch rows of the
     same day and the station, before DISTINCT."""
-    summary = window_summary(f)
+    summary = f.summary
     p = summary.filter((F.col("direction") == RECEIVE) & F.col("planned").isNotNull()).alias("p")
     d = summary.filter(F.col("direction") == DISPATCH).alias("d")
     je = f.windows.select("station_id", "receive_planned", "dispatch_planned").alias("je")
@@ -205,6 +184,7 @@ def _joined(f: ShiftFrames) -> DataFrame:
     )
 
 
+# The output names below are fixed values: readers of the reports use them.
 def _receive_columns():
     return [
         F.col("p.station_id").alias("station_id"),

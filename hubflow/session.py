@@ -4,8 +4,8 @@
 re-plans at each shuffle (coalesces small partitions, splits skewed ones and
 switches to broadcast joins from measured sizes), and many initial shuffle
 partitions of a bounded advisory size keep every task within executor
-memory whatever the input size. ``local_session`` is the small-machine
-variant used by tests and the benchmark.
+memory whatever the input size. ``scale_session`` applies them; ``local_session`` is the small-machine
+variant used by the benchmark.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ SCALE_CONF = {
     # start wide, let AQE coalesce: a 100 TB job needs thousands of reducers
     "spark.sql.shuffle.partitions": "8000",
     "spark.sql.files.maxPartitionBytes": "256m",
-    # the jobs broadcast only behind their own row checks; this is the
-    # planner's own size check for everything else
+    # no join is hinted: a side is broadcast when its size is below this
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.parquet.filterPushdown": "true",
@@ -31,6 +30,12 @@ SCALE_CONF = {
 }
 
 
+def scale_session(app: str = "hubflow", **conf) -> SparkSession:
+    """A session on the cluster that the environment names, with ``SCALE_CONF``;
+    ``conf`` overrides single settings."""
+    return SparkSession.builder.appName(app).config(map={**SCALE_CONF, **conf}).getOrCreate()
+
+
 def local_session(cores: int = 8, app: str = "hubflow", **conf) -> SparkSession:
     """A local session: AQE on, shuffle partitions = cores, no UI."""
     builder = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,22 +28,46 @@ def shared_dir(spark: SparkSession) -> str:
 def full_refresh(df: DataFrame, target: str, fmt: str = "parquet") -> DataFrame:
     """Replace everything in ``target`` with ``df`` and return the stored rows.
 
-    ``target`` is a catalog table name or a folder path. The write is one
-    overwrite job (delete + insert in one commit); the source of ``df`` must not
-    be ``target`` itself. Row order is not kept by a table."""
+    ``target`` is a catalog table name or a folder path. For a folder the new
+    rows are first written beside it and then take its place by renaming, so a
+    job that fails leaves the old rows, and a reader sees old or new rows (or,
+    for the moment between the two renames, none). ``df`` may read the target.
+    A table is replaced by ``saveAsTable``'s overwrite, which drops the old rows
+    before it writes; ``df`` must not read it. Row order is not kept."""
     spark = df.sparkSession
-    writer = df.write.mode("overwrite").format(fmt)
-    if "/" in target:
-        writer.save(target)
-        return spark.read.format(fmt).load(target)
-    writer.saveAsTable(target)
-    return spark.table(target)
+    if "/" not in target:
+        df.write.mode("overwrite").format(fmt).saveAsTable(target)
+        return spark.table(target)
+    fs, path, names = _fs(spark, target)
+    fresh, old = (names(f"{target.rstrip('/')}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    df.write.format(fmt).save(fresh.toString())
+    if fs.exists(path):
+        fs.rename(path, old)
+    fs.rename(fresh, path)
+    fs.delete(old, True)
+    return spark.read.format(fmt).load(target)
+
+
+def _fs(spark: SparkSession, target: str):
+    """The file system of ``target``, its path, and how to make other paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    path = make(target)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path, make
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder and continue from there:
-    a reliable checkpoint (it survives the loss of an executor, unlike a
-    local checkpoint) that cuts the lineage, so later plans stay small.
-    The frame's partitioning is kept."""
+    a reliable checkpoint (it survives the loss of an executor) that cuts the
+    lineage, so later plans stay small. The frame's partitioning is kept."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the checkpoint files of a materialised frame that no later plan
+    reads. (Else Spark's cleaner removes them with the frame, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.)"""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        fs, path, _ = _fs(df.sparkSession, file.get())
+        fs.delete(path, True)

@@ -1,11 +1,12 @@
 """Full refresh: the target holds exactly the last write."""
 
+import os
 import uuid
 
 import pytest
 
-from hubflow.sources.sinks import full_refresh, shared_dir
-from hubflow.sources.tables import read_source, spread
+from hubflow.sources.sinks import full_refresh, materialize, release, shared_dir
+from hubflow.sources.tables import read_source
 
 
 def test_full_refresh_replaces_everything(spark):
@@ -16,11 +17,39 @@ def test_full_refresh_replaces_everything(spark):
     assert sorted(r.x for r in second.collect()) == [0, 1, 2]
 
 
-def test_full_refresh_cannot_read_its_own_target(spark):
-    target = f"{shared_dir(spark)}/hubflow-tests/{uuid.uuid4().hex}"
+def test_full_refresh_of_a_folder_may_read_it_and_leaves_nothing_beside(spark, tmp_path):
+    target = str(tmp_path / "report")
+    full_refresh(spark.range(5).toDF("x"), target)
+    again = full_refresh(spark.read.parquet(target).filter("x > 1"), target)
+    assert sorted(r.x for r in again.collect()) == [2, 3, 4]
+    assert [p.name for p in tmp_path.iterdir()] == ["report"]
+
+
+def test_a_failed_refresh_keeps_the_old_rows(spark, tmp_path):
+    target = str(tmp_path / "report")
     full_refresh(spark.range(5).toDF("x"), target)
     with pytest.raises(Exception):
-        full_refresh(spark.read.parquet(target).filter("x > 1"), target)
+        full_refresh(spark.range(5).selectExpr("raise_error('no')"), target)
+    assert spark.read.parquet(target).count() == 5
+
+
+def test_full_refresh_of_a_table(spark):
+    name = f"refresh_{uuid.uuid4().hex}"
+    try:
+        full_refresh(spark.range(10).toDF("x"), name)
+        assert sorted(r.x for r in full_refresh(spark.range(3).toDF("x"), name).collect()) == [0, 1, 2]
+        assert spark.table(name).count() == 3
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_release_deletes_the_checkpoint(spark):
+    df = materialize(spark.range(10))
+    path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    folder = path.removeprefix("file:")
+    assert os.path.isdir(folder) and df.count() == 10
+    release(df)
+    assert not os.path.exists(folder)
 
 
 def test_shift_job_with_target_writes_and_releases(spark, inputs):
@@ -33,8 +62,6 @@ def test_shift_job_with_target_writes_and_releases(spark, inputs):
     assert len(stored.columns) == 39
 
 
-def test_read_source_prunes_columns_and_spreads(spark):
+def test_read_source_prunes_columns(spark):
     df = read_source(spark, "/root/testdata/sf0.001/events.parquet", ["event_id", "ts"])
     assert df.columns == ["event_id", "ts"]
-    assert df.rdd.getNumPartitions() >= 1
-    assert spread(spark.range(100).repartition(64)).rdd.getNumPartitions() == 64

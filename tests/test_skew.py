@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hubflow.operators.backlog import latest_per_key
 from hubflow.operators.classify import receipts_outside
+from hubflow.operators.joins import anti_join
 
 SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -60,40 +61,36 @@ def test_latest_rows_split_the_hot_key(spark, hot_log):
     assert len(rows) == 90000  # every row is the latest of its shipment (ties kept)
 
 
-def test_outside_receipts_keep_hot_and_null_ids_out_of_the_shuffle(spark):
-    day = dt.date(2024, 1, 10)
+def test_outside_receipts_split_the_hot_id_and_spread_nulls(spark):
     shipment = (
         F.when(F.col("id") % 3 == 0, F.lit(7))            # hot id, outside
         .when(F.col("id") % 3 == 1, F.lit(8))             # hot id, inside
-        .when(F.col("id") % 10 == 2, F.lit(None))         # NULL ids: never match
+        .when(F.col("id") % 2 == 0, F.lit(None))          # NULL ids: never match
         .otherwise(F.col("id") + 10)
     )
     receipts = spark.range(90000).select(
         F.lit("1").alias("station_id"),
         shipment.cast("long").alias("shipment_id"),
-        F.lit(day).alias("received_date"),
+        F.lit(dt.date(2024, 1, 10)).alias("received_date"),
         F.lit(900).alias("received_hhmm"),
-        F.lit(dt.datetime(2024, 1, 10, 9, 0)).cast("timestamp_ntz").alias("received_at"),
+        (F.lit(dt.datetime(2024, 1, 10)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("received_at"),
     )
     inside = receipts.filter((F.col("shipment_id") % 2 == 0) & F.col("shipment_id").isNotNull()).select("shipment_id")
     with conf(spark, SKEW_CONF):
-        df = receipts_outside(receipts, inside, hot_rows=1000)
-        rows, plan = _final_plan(df)
-    # hot ids 7 and 8 are decided by broadcast lookups, the rest by the shuffle join
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
-    expected = receipts.join(inside.distinct(), "shipment_id", "left_anti")
-    assert sorted((r.shipment_id or -1) for r in rows) == sorted((r.shipment_id or -1) for r in expected.collect())
-    assert any(r.shipment_id is None for r in rows) and any(r.shipment_id == 7 for r in rows)
-    assert not any(r.shipment_id == 8 for r in rows)
-
-
-def test_hot_keys_beyond_the_cap_stay_exact(spark):
-    from hubflow.operators.joins import anti_join_split_hot
-
-    left = spark.range(3000).select(
-        (F.col("id") % 4).alias("k"), F.col("id").alias("v")
-    )  # four keys, 750 rows each: all hot at hot_rows=100
-    right = spark.createDataFrame([(1,), (3,)], "k long")
-    got = anti_join_split_hot(left, right, "k", hot_rows=100, max_hot_keys=1)  # one by broadcast, three by shuffle
-    want = left.join(right, "k", "left_anti")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        rows, plan = _final_plan(receipts_outside(receipts, inside))
+    assert "SortMergeJoin(skew=true)" in plan
+    got = {}
+    for r in rows:
+        key = r.shipment_id if r.shipment_id in (None, 7, 8) else "other"
+        got[key] = got.get(key, 0) + 1
+    assert got[7] == 30000 and got[None] == 15000 and 8 not in got
+    assert got["other"] == sum(1 for i in range(90000) if i % 3 == 2 and i % 2 and (i + 10) % 2)
+
+
+def test_anti_join_keeps_nulls_and_duplicates(spark):
+    left = spark.createDataFrame([(None, 1), (None, 1), (0, 2), (1, 3), (1, 3), (2, 4)], "k long, v long")
+    right = spark.createDataFrame([(1,), (1,), (None,)], "k long")
+    got = anti_join(left, right, "k")
+    assert got.columns == ["k", "v"]
+    assert sorted(((r.k if r.k is not None else -1), r.v) for r in got.collect()) == [(-1, 1), (-1, 1), (0, 2), (2, 4)]
+    assert anti_join(left, right.limit(0), "k").count() == 6
