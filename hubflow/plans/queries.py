@@ -1,11 +1,5 @@
-"""Registered queries: one per operator of the inventory whose work grows
-with the fact tables, each ``(spark, sf_dir) -> DataFrame`` over the test
-tables in ``sf_dir``.
-
-Operators that act on the small dimensions alone (the planning sheet, the
-station dimension and snapshot) are not registered on their own: their
-columns reach these queries through the classification, staffing and
-backlog steps, and tests/ checks them on literal rows."""
+"""Registered queries: one per operator of the inventory, each
+``(spark, sf_dir) -> DataFrame`` over the test tables in ``sf_dir``."""
 
 from __future__ import annotations
 
@@ -19,6 +13,7 @@ from hubflow.operators.backlog import (
     hub_lookup,
     hub_rows,
     latest_per_key,
+    latest_snapshot,
     max_per_key,
     station_dim,
     status_pivot,
@@ -36,8 +31,7 @@ from hubflow.operators.classify import (
     receipts_outside,
 )
 from hubflow.operators.curve import curve_stats, overnight_end, overnight_start
-from hubflow.operators.filters import drop_label, first_attempt, rolling_days, status_in
-from hubflow.operators.joins import bounded_broadcast
+from hubflow.operators.filters import drop_label, first_attempt, rolling_days, slice_dim, status_in
 from hubflow.operators.profile import hour_profile, window_totals
 from hubflow.operators.staffing import (
     operator_scans,
@@ -45,12 +39,13 @@ from hubflow.operators.staffing import (
     operators_per_window,
     window_intervals,
 )
-from hubflow.operators.windows import window_table
+from hubflow.operators.windows import planned_windows, window_table
 from hubflow.functions.codes import prefix_any, trim_marker
 from hubflow.plans.backlog import (
     BACKLOG_CODES,
     DESTINATION_PREFIXES,
     LOCATION_PREFIXES,
+    SNAPSHOT_SLICE,
     backlog_candidates,
     backlog_report,
     backlog_rows,
@@ -91,7 +86,7 @@ def query(name: str):
 
 
 def _windows(inp: Inputs) -> DataFrame:
-    return bounded_broadcast(window_table(inp.planning))
+    return window_table(inp.planning)
 
 
 def _receipts(inp: Inputs) -> DataFrame:
@@ -129,13 +124,13 @@ def _dispatch_shares(inp: Inputs) -> DataFrame:
 
 def _regional(inp: Inputs) -> DataFrame:
     dim = station_dim(inp.stations)
-    return bounded_broadcast(dim.select(F.col("station_id").alias("r_station_id"), "superior_code_hub"))
+    return dim.select(F.col("station_id").alias("r_station_id"), "superior_code_hub")
 
 
 def _with_regional(inp: Inputs) -> DataFrame:
     r = _regional(inp)
     t = inp.tracking
-    return t.join(r, t["final_spx_station_id"].cast("bigint") == r["r_station_id"], "left").drop("r_station_id")
+    return t.join(r, t["final_spx_station_id"].try_cast("bigint") == r["r_station_id"], "left").drop("r_station_id")
 
 
 # --- sources and filters ----------------------------------------------------
@@ -165,6 +160,30 @@ def _clock_int(inp):
     return _receipts(inp)
 
 
+@query("planned_windows")
+def _planned_windows(inp):
+    """Distinct planned windows, rows without a time dropped."""
+    return planned_windows(inp.planning)
+
+
+@query("expanded_windows")
+def _expanded_windows(inp):
+    """Bounds, expanded bounds and labels of the planned windows."""
+    return window_table(inp.planning)
+
+
+@query("station_dim")
+def _station_dim(inp):
+    """The clean station dimension."""
+    return station_dim(inp.stations)
+
+
+@query("latest_snapshot")
+def _latest_snapshot(inp):
+    """The snapshot's latest date, local rows of the region."""
+    return slice_dim(latest_snapshot(inp.snapshot), **SNAPSHOT_SLICE)
+
+
 # --- receive path -------------------------------------------------------------
 @query("receipts_classified")
 def _receipts_classified(inp):
@@ -241,9 +260,8 @@ def _operator_scans(inp):
 
 @query("operators_per_window")
 def _operators_per_window(inp):
-    """Distinct operators per receive window day. The shares are
-    materialised once: the interval size check and the count both read them."""
-    return operators_per_window(materialize(_receipt_shares(inp)), inp.scans)
+    """Distinct operators per receive window day."""
+    return operators_per_window(_receipt_shares(inp), inp.scans)
 
 
 # --- dispatch path --------------------------------------------------------------
@@ -311,7 +329,7 @@ def _operators_in_dispatch(inp):
 def _station_lookup(inp):
     """Receipts joined to the station dimension on the id as text."""
     r = _receipts(inp)
-    dim = bounded_broadcast(station_dim(inp.stations))
+    dim = station_dim(inp.stations)
     return r.join(dim, r["station_id"] == dim["station_id"].cast("string"), "left").select(
         r["station_id"], "shipment_id", "received_date", "lm_regional", "sub_regional",
         dim["station_name"], "code_name",
@@ -379,7 +397,7 @@ def _trim_marker(inp):
 def _hub_lookup(inp):
     """Hub rows of each row's destination hub code."""
     dim = station_dim(inp.stations)
-    rows = hub_lookup(_with_regional(inp), bounded_broadcast(hub_rows(dim)))
+    rows = hub_lookup(_with_regional(inp), hub_rows(dim))
     return rows.select(
         "shipment_id", "station_sequence", "final_spx_station_id", "superior_code_hub",
         "hub_station_id", "hub_station_name", "hub_superior_station_code",

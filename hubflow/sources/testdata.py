@@ -1,10 +1,10 @@
 """The job inputs, derived from the driver's test tables (see FIXTURES.md).
 
 The reference reads six warehouse tables that the test data does not have;
-each is derived here from ``events``, ``lineitem``, ``nation`` and ``region``
-with plain column expressions, so every input grows with the scale factor
-except the planning sheet and the station dimensions, which are small by
-nature. The planning rows are also used by the DuckDB oracle
+each is derived here from ``events``, ``lineitem``, ``supplier``, ``nation``
+and ``region`` with plain column expressions, so every input grows with the
+scale factor except the station dimensions, which are small by nature. The
+literal planning rows are also used by the DuckDB oracle
 (``checks/oracle.py``), so both engines read the same rows.
 """
 
@@ -13,15 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.sources.tables import spread
-
 # --- fixed values of the test mapping --------------------------------------
 AS_OF = "2024-01-31"                 # the events span 2024-01-01 .. 2024-01-30
 AS_OF_TS = "2024-01-31 12:00:00"
-STATION_COUNT = 5                    # station_id = user_id % 5
+STATION_COUNT = 100                  # station_id = user_id % 100
 TRACKING_CODES = [8, 9, 33, 15, 630, 36, 99]   # picked by l_partkey % 7
 SENTINEL_NATIONS = {2: "Inativo", 6: "-", 22: ""}
 SNAPSHOT_PREFIXES = ["SoC_", "LM Hub_", "XPT_"]
@@ -76,15 +74,12 @@ SOURCE_SCHEMAS = {
     "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
     "region": "r_regionkey INT, r_name STRING",
+    "supplier": "s_suppkey BIGINT",
 }
 
 
-BIG_TABLES = {"events", "lineitem"}
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in BIG_TABLES else df
+    return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shipment_facts(events: DataFrame) -> DataFrame:
@@ -114,11 +109,24 @@ def _sql_text(v) -> str:
     return "CAST(NULL AS STRING)" if v is None else "'" + v.replace("'", "''") + "'"
 
 
-def planning_sheet(spark: SparkSession) -> DataFrame:
-    """The planning rows as an inline table: a local relation of known size,
-    read in the JVM (no Python worker)."""
+def _clock_text(hour, minute) -> Column:
+    return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.lit(":00"))
+
+
+def planning_sheet(spark: SparkSession, supplier: DataFrame) -> DataFrame:
+    """One planned window per supplier, so that windows grow with the data, and
+    the rows of ``PLANNING_ROWS`` for the odd cases."""
+    k = F.col("s_suppkey")
+    half = k % 2 * 30
+    grown = supplier.select(
+        (k % STATION_COUNT).cast("string"),
+        _clock_text(k * 5 % 24, half),
+        _clock_text((k * 5 + 6 + k % 5) % 24, half),
+        _clock_text((k * 5 + 12) % 24, F.lit(0)),
+        _clock_text((k * 5 + 15 + k % 6) % 24, F.lit(45)),
+    ).toDF(*PLANNING_COLUMNS)
     rows = ", ".join("(" + ", ".join(_sql_text(v) for v in row) + ")" for row in PLANNING_ROWS)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS planning({', '.join(PLANNING_COLUMNS)})")
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS planning({', '.join(PLANNING_COLUMNS)})").union(grown)
 
 
 def station_dimension(nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -142,7 +150,7 @@ def station_dimension(nation: DataFrame, region: DataFrame) -> DataFrame:
         F.concat(F.when(n % 4 == 0, "XPT_").otherwise("LM Hub_"), n.cast("string")).alias(
             "station_name"
         ),
-        F.concat(code_prefix, F.lpad(n.cast("string"), 3, "0")).alias("station_code"),
+        F.concat(code_prefix, F.lpad(n.cast("string"), 3, "0"), F.when(n % 8 == 2, "X").otherwise("")).alias("station_code"),
     )
 
 
@@ -227,7 +235,7 @@ class DriverTables:
 
     @cached_property
     def planning(self) -> DataFrame:
-        return planning_sheet(self.spark)
+        return planning_sheet(self.spark, _table(self.spark, self.sf_dir, "supplier"))
 
     @cached_property
     def stations(self) -> DataFrame:

@@ -1,7 +1,5 @@
-"""The Spark rewrites against the literal forms, on seeded random rows, both
-run on Spark: the OR range join vs interval explode, the correlated count vs
-the equi-join count, MAX + join back vs the semi-join, and the one-pass
-(both directions) frames vs the per-direction ones."""
+"""The operators against brute force in plain Python on seeded random rows, and
+the one-pass (both directions) frames against the per-direction ones."""
 
 import datetime as dt
 import random
@@ -15,7 +13,7 @@ from hubflow.sources.testdata import AS_OF
 BASE = dt.datetime(2024, 1, 10)
 
 
-def _windows_and_scans(spark, seed):
+def _rows(seed):
     rnd = random.Random(seed)
     labels = ["22:00 às 03:15", "06:00 às 12:00", "23:30 às 00:10", "00006 às 00012", "13:15 às 13:45", "20:00 às 02:00"]
     shares = [
@@ -31,77 +29,65 @@ def _windows_and_scans(spark, seed):
         )
         for _ in range(400)
     ]
+    return shares, scans
+
+
+def _frames(spark, shares, scans):
     s = spark.createDataFrame(shares, "station_id string, window_date date, window_label string, receive_planned string")
-    s = s.withColumn("dispatch_planned", F.col("receive_planned"))
     sc = spark.createDataFrame(scans, "station_id long, datetime timestamp_ntz, operator_name string, bin_received_attempt int")
-    return s, sc
-
-
-def test_operators_per_window_matches_or_join(spark):
-    shares, scans = _windows_and_scans(spark, 7)
-    shares.createOrReplaceTempView("p")
-    scans.createOrReplaceTempView("o_raw")
-    literal = spark.sql(r"""
-        WITH o AS (SELECT DISTINCT CAST(station_id AS STRING) AS station_id, to_date(datetime) AS d,
-                          datetime AS t, operator_name FROM o_raw WHERE bin_received_attempt = 1),
-        q AS (SELECT *, CAST(NULLIF(regexp_extract(receive_planned, '^(\\d{2}):', 1), '') AS INT) AS sh,
-                        CAST(NULLIF(regexp_extract(receive_planned, '^(\\d{2}):(\\d{2})', 2), '') AS INT) AS sm,
-                        CAST(NULLIF(regexp_extract(receive_planned, '(\\d{2}):\\d{2}$', 1), '') AS INT) AS eh,
-                        CAST(NULLIF(regexp_extract(receive_planned, '(\\d{2}):(\\d{2})$', 2), '') AS INT) AS em FROM p)
-        SELECT q.station_id, q.window_date, q.window_label, count(DISTINCT o.operator_name) AS operators
-        FROM q LEFT JOIN o ON q.station_id = o.station_id AND (
-            (o.d = q.window_date
-             AND o.t >= CAST(q.window_date AS TIMESTAMP_NTZ) + make_dt_interval(0, q.sh, q.sm)
-             AND o.t <= CAST(q.window_date AS TIMESTAMP_NTZ) + make_dt_interval(0, q.eh, q.em))
-            OR (o.d = date_add(q.window_date, 1)
-             AND o.t <= CAST(date_add(q.window_date, 1) AS TIMESTAMP_NTZ) + make_dt_interval(0, q.eh, q.em)
-             AND q.sh > q.eh))
-        WHERE o.operator_name IS NOT NULL
-        GROUP BY q.station_id, q.window_date, q.window_label""")
-    got = operators_per_window(shares, scans)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, literal.collect()))
-    assert literal.count() > 5
-
-
-def test_operators_in_dispatch_matches_correlated_count(spark):
-    shares, scans = _windows_and_scans(spark, 11)
-    shares.createOrReplaceTempView("pd")
-    scans.createOrReplaceTempView("o2_raw")
-    literal = spark.sql(r"""
-        WITH o2 AS (SELECT DISTINCT CAST(station_id AS STRING) AS station_id, to_date(datetime) AS d,
-                           datetime AS t, operator_name FROM o2_raw WHERE bin_received_attempt = 1),
-        k AS (SELECT DISTINCT station_id, window_date, dispatch_planned FROM pd)
-        SELECT k.station_id, k.window_date, k.dispatch_planned,
-          (SELECT count(DISTINCT o2.operator_name) FROM o2
-            WHERE o2.station_id = k.station_id AND o2.d = k.window_date
-              AND o2.t BETWEEN CAST(k.window_date AS TIMESTAMP_NTZ)
-                     + make_dt_interval(0, CAST(NULLIF(regexp_extract(k.dispatch_planned, '^(\\d{2}):', 1), '') AS INT),
-                                           CAST(NULLIF(regexp_extract(k.dispatch_planned, '^(\\d{2}):(\\d{2})', 2), '') AS INT))
-                 AND CAST(k.window_date AS TIMESTAMP_NTZ)
-                     + make_dt_interval(0, CAST(NULLIF(regexp_extract(k.dispatch_planned, '(\\d{2}):\\d{2}$', 1), '') AS INT),
-                                           CAST(NULLIF(regexp_extract(k.dispatch_planned, '(\\d{2}):(\\d{2})$', 2), '') AS INT))
-          ) AS operators
-        FROM k""")
-    got = operators_in_dispatch(shares, scans)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, literal.collect()))
-
-
-def test_latest_per_key_matches_max_join_back(spark):
+    return s.withColumn("dispatch_planned", F.col("receive_planned")), sc
+
+
+def _operators(window, scans, next_day):
+    """Names that scan at the window's station while it is open."""
+    station, day, _, label = window
+    if label.startswith("0000"):
+        return set()
+    start, end = (dt.time(int(x[:2]), int(x[3:])) for x in label.split(" às "))
+    names = set()
+    for at_station, at, name, attempt in scans:
+        if str(at_station) != station or attempt != 1 or name is None:
+            continue
+        if at.date() == day and start <= at.time() <= end:
+            names.add(name)
+        if next_day and start.hour > end.hour and at.date() == day + dt.timedelta(days=1) and at.time() <= end:
+            names.add(name)
+    return names
+
+
+def test_operators_per_window_against_brute_force(spark):
+    shares, scans = _rows(7)
+    pooled = {}
+    for w in shares:
+        pooled.setdefault(w[:3], set()).update(_operators(w, scans, True))
+    got = operators_per_window(*_frames(spark, shares, scans)).collect()
+    assert {tuple(r)[:3]: r.operators for r in got} == {k: len(v) for k, v in pooled.items() if v}
+    assert len(got) > 5
+
+
+def test_operators_in_dispatch_against_brute_force(spark):
+    shares, scans = _rows(11)
+    want = {(w[0], w[1], w[3]): len(_operators(w, scans, False)) for w in shares}
+    got = operators_in_dispatch(*_frames(spark, shares, scans)).collect()
+    assert {(r.station_id, r.window_date, r.dispatch_planned): r.operators for r in got} == want
+
+
+def test_latest_per_key_against_brute_force(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice([None, 1, 2, 3, 4]), rnd.randrange(4), i) for i in range(300)]
+    top = {}
+    for key, order, _ in rows:
+        top[key] = max(order, top.get(key, order))
     log = spark.createDataFrame(rows, "shipment_id long, station_sequence int, i int")
-    mx = log.groupBy("shipment_id").agg(F.max("station_sequence").alias("m"))
-    literal = log.join(mx, "shipment_id").filter(F.col("m") == F.col("station_sequence")).select("i")
     got = latest_per_key(log, "shipment_id", "station_sequence").select("i")
-    assert sorted(r.i for r in got.collect()) == sorted(r.i for r in literal.collect())
+    assert sorted(r.i for r in got.collect()) == [i for k, o, i in rows if k is not None and o == top[k]]
 
 
 def test_one_pass_frames_match_per_direction(spark, inputs):
-    from hubflow.operators.joins import bounded_broadcast
     from hubflow.operators.windows import window_table
     from hubflow.plans.shift import dispatch_share_frame, event_share_frame, receipt_share_frame
 
-    win = bounded_broadcast(window_table(inputs.planning))
+    win = window_table(inputs.planning)
     both = event_share_frame(inputs, win, AS_OF)
     cols = ["station_id", "window_date", "window_label", "planned", "expanded", "hour", "first_at", "shipments", "window_total", "share"]
     r = receipt_share_frame(inputs, win, AS_OF).withColumnRenamed("receive_planned", "planned").withColumnRenamed("receive_expanded", "expanded")

@@ -134,3 +134,89 @@ def test_t20_latest_snapshot_keeps_duplicate_names(spark):
         "station_name string, grass_date date",
     )
     assert sorted(r.station_name for r in latest_snapshot(snap).collect()) == ["A", "A"]
+
+
+def _shares(spark, shipments):
+    """One window-day whose hours have the given numbers of shipments."""
+    from hubflow.operators.profile import hour_shares
+
+    total = sum(shipments)
+    profile = spark.createDataFrame(
+        [("1", D, "L", "P", "E", h, ts(h, 5), n) for h, n in enumerate(shipments)],
+        "station_id string, window_date date, window_label string, receive_planned string, receive_expanded string, hour int, first_at timestamp_ntz, shipments long",
+    )
+    totals = spark.createDataFrame([("1", D, "L", total)], "station_id string, window_date date, window_label string, window_total long")
+    return lambda scale=None: hour_shares(profile, totals, scale)
+
+
+def test_t1_hours_at_or_below_the_low_threshold_are_cut(spark):
+    from hubflow.operators.classify import RECEIPT_KEYS
+    from hubflow.operators.curve import curve_stats
+    from hubflow.plans.shift import CURVE_SPAN_PCT, SHIFT_SPAN_PCT, VOLUME_PCT
+
+    # shares 0.05, 0.06, 5.00, 94.89: the first is at the low threshold
+    shares = _shares(spark, [5, 6, 500, 9489])()
+    low = curve_stats(shares, RECEIPT_KEYS, VOLUME_PCT, SHIFT_SPAN_PCT).first()
+    high = curve_stats(shares, RECEIPT_KEYS, VOLUME_PCT, CURVE_SPAN_PCT).first()
+    assert (low.curve_start, low.curve_end) == (ts(1, 5), ts(3, 5))
+    assert (high.curve_start, high.curve_end) == (ts(3, 5), ts(3, 5))
+    assert low.curve_volume == high.curve_volume == 9489
+    assert curve_stats(shares, RECEIPT_KEYS, VOLUME_PCT, 0).first().curve_start == ts(0, 5)
+
+
+def test_n5_one_decimal_shares_change_the_curve(spark):
+    from hubflow.operators.classify import RECEIPT_KEYS
+    from hubflow.operators.curve import curve_stats
+    from hubflow.plans.shift import CURVE_SPAN_PCT, VOLUME_PCT
+
+    shares = _shares(spark, [503, 9497])  # 5.03 %: above 5, but 5.0 with one decimal
+    two, one = (curve_stats(shares(scale), RECEIPT_KEYS, VOLUME_PCT, CURVE_SPAN_PCT).first() for scale in (None, 1))
+    assert (two.curve_volume, two.curve_start) == (10000, ts(0, 5))
+    assert (one.curve_volume, one.curve_start) == (9497, ts(1, 5))
+
+
+def test_n5_share_scale_reaches_the_report(spark):
+    """19 of 378 receipts are 5.03 %: in the curve with two decimals only."""
+    from hubflow.plans.shift import curve_productivity
+    from hubflow.sources.testdata import Inputs
+
+    at = [ts(7, 0)] * 19 + [ts(9, 0)] * 359
+    facts = shipments(spark, [(1, i, t, 1) for i, t in enumerate(at)])
+    stations = spark.createDataFrame([("1", "R", "S", "HUB-SP-001", "LM Hub_1", "HUB-SP-001")], "station_id string, regional string, sub_regional string, superior_station_code string, station_name string, station_code string")
+    scans = spark.createDataFrame([], "station_id long, datetime timestamp_ntz, operator_name string, bin_received_attempt int")
+    inp = Inputs(facts, scans, planning(spark, [("1", "06:00:00", "12:00:00", "13:00:00", "18:00:00")]), stations, None, None)
+    volumes = [curve_productivity(inp, dt.date(2024, 1, 20), share_scale=s).first().total_da_curva_received for s in (None, 1)]
+    assert volumes == [378, 359]
+
+
+def test_as_of_may_be_a_date_a_text_or_a_column(spark):
+    from hubflow.operators.classify import fact_events
+
+    facts = shipments(spark, [(1, 1, ts(9, 0), 1), (1, 2, ts(9, 0, dt.date(2023, 1, 1)), 1)])
+    forms = ["2024-01-20", dt.date(2024, 1, 20), F.lit("2024-01-20").cast("date")]
+    got = [sorted((r.direction, r.shipment_id) for r in fact_events(facts, a).collect()) for a in forms]
+    assert got == [[("dispatch", 1), ("dispatch", 2), ("receive", 1)]] * 3
+    assert all(receipt_rows(facts, a).count() == 1 for a in forms)
+
+
+def test_o16_a_code_of_its_own_may_end_in_the_marker(spark, inputs):
+    codes = {r.code_name: r.superior_code_hub for r in station_dim(inputs.stations).collect()}
+    assert any(own.endswith("X") and own == hub for own, hub in codes.items())
+
+
+def test_t18_a_malformed_id_matches_no_station_and_ends_nothing(spark, inputs):
+    from hubflow.plans.backlog import backlog_rows
+    from hubflow.sources.testdata import Inputs
+
+    log = inputs.tracking.withColumn("final_spx_station_id", F.when(F.col("shipment_id") % 2 == 0, "12a").otherwise(F.col("final_spx_station_id").cast("string")))
+    rows = backlog_rows(Inputs(None, None, None, inputs.stations, log, inputs.snapshot))
+    bad = rows.filter("final_spx_station_id = '12a'")
+    assert bad.count() > 0 and bad.filter("superior_code_hub IS NOT NULL").count() == 0
+    assert rows.count() == backlog_rows(inputs).count()
+
+
+def test_windows_grow_with_the_data(spark):
+    from hubflow.sources.testdata import load_inputs
+
+    n = [window_table(load_inputs(spark, f"/root/testdata/{sf}").planning).count() for sf in ("sf0.001", "sf0.01")]
+    assert n[1] > 3 * n[0]
