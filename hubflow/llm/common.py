@@ -15,6 +15,10 @@ from hubflow.sources.sinks import shared_dir
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
+#: Staged tables that were not discarded yet.
+_STAGED: list[DataFrame] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,16 +42,25 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    _STAGED.append(out)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     spark = df.sparkSession
+    _STAGED[:] = [x for x in _STAGED if x is not df]
     path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def discard_staged() -> None:
+    """Delete all tables that this program has staged. Results are lazy and read
+    them, so call it once these have been written."""
+    for df in list(_STAGED):
+        discard(df)
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Small slices of Arrow batches, so that few texts are Python objects at once."""
     for batch in batches:
