@@ -37,8 +37,6 @@ SEED = 97
 #: Largest budget in words that the dynamic program solves; more is first
 #: brought below it by taking long documents.
 PROGRAM_WORDS = 1 << 16
-#: Documents of one length in a hash range, about.
-RANGE_ROWS = 512
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -134,7 +132,7 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS)
 
     # the cut of each length: the hash of its extra-th document
     some = plan.where("extra > 0 and extra < n").select("k", "size", "n", "extra")
-    ranges = F.ceil(F.col("n") / RANGE_ROWS)
+    ranges = F.ceil(F.sqrt("n"))  # as many ranges as documents in a range
     part = F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * ranges), ranges - 1).cast("long")
     drawn = sized.select(_key(F.col("source")).alias("k"), "size", "h").join(some, ["k", "size"])
     drawn = staged(drawn.select("k", "size", "h", "extra", part.alias("part")))
