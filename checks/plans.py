@@ -60,8 +60,7 @@ def main(argv):
         "Reading notes: the shift and curve jobs scan `events` (the shipment facts) once for both\n"
         "directions; dispatches have no date limit in the source job (T12), so that scan cannot push\n"
         "the receive date range and reads every row once (the per-direction operator queries, e.g.\n"
-        "`receipt_profile`, do push it). `RoundRobinPartitioning` is `spread` on the one-row-group test\n"
-        "files; at scale it is absent. The exchanges keyed by (..., shipment_id) and\n"
+        "`receipt_profile`, do push it). The exchanges keyed by (..., shipment_id) and\n"
         "(..., operator_name) are the first halves of COUNT(DISTINCT), the skew-safe plan.\n"
     )
     for key in HEADLINE:
