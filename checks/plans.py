@@ -55,7 +55,7 @@ def main(argv):
     spark = local_session(8, "hubflow-plans")
     print("# PLANS\n")
     print(f"Final adaptive plans at `{sf_dir}`, `local[8]`, generated by `python -m checks.plans`.")
-    print("Counts include the plans of persisted frames (their lines appear once per use).\n")
+    print("Plans start at the checkpoints of shares and summary in the two reports; the facts and the scan log are read below them (see `checks/reads.py`).\n")
     print(
         "Reading notes: the shift and curve jobs scan `events` (the shipment facts) once for both\n"
         "directions; dispatches have no date limit in the source job (T12), so that scan cannot push\n"
