@@ -50,11 +50,13 @@ SAMPLES = 3
 #: and the recall that the tables together must reach there.
 AGREE = 0.55
 TARGET_RECALL = 0.98
-BITMAP_BITS = 1 << 23
+BITMAP_BITS = 1 << 22
 SEED = 20240610
 WINDOWS_AT_ONCE = 4096
 
 _WORD = re.compile(r"[^\W_]+")
+_ODD = re.compile(r"[^\x00-\x7f\w]")  # beyond ASCII, neither letter nor digit
+_ASCII = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _U = np.uint64
 
 
@@ -66,13 +68,16 @@ def tables_for(recall: float = TARGET_RECALL, agree: float = AGREE, samples: int
 TABLES = tables_for()
 
 
-def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def tokens(text: str | None) -> list[bytes]:
+    """Runs of letters and digits, lower-cased, in UTF-8."""
+    low = (text or "").lower()
+    if not low.isascii() and _ODD.search(low):
+        return [w.encode() for w in _WORD.findall(low)]
+    return low.encode().translate(_ASCII).split()
 
 
-def codes(words: list[str]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+def codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -141,7 +146,9 @@ def signatures(windows: np.ndarray, c: int, tables: int = TABLES, samples: int =
     with np.errstate(over="ignore"):
         for j in range(steps):
             symbol = wide[row, at]
-            out = np.where(sampled[j], (out ^ symbol) * _U(0x9E3779B97F4A7C15) ^ (out >> _U(23)), out)
+            t = np.flatnonzero(sampled[j])
+            if len(t):
+                out[:, t] = (out[:, t] ^ symbol[:, t]) * _U(0x9E3779B97F4A7C15) ^ (out[:, t] >> _U(23))
             at += ((symbol * walk[j]) >> _U(63)).astype(np.int64)
     return out.view(np.int64)
 
@@ -278,17 +285,20 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         .where(F.col("doc_id").eqNullSafe(F.col("found_id")))
         .join(words, F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("c") == F.col("i_c")))
         .select("rid", "doc_id", "item_id", "start", "words", "around", "c")
+        # the windows of a pair follow each other, so one without edits settles it
+        .repartition("rid", "item_id")
+        .sortWithinPartitions("rid", "item_id", "start")
     )
 
     def verify(batches):
-        exact: set = set()  # pairs that this task has found without any edit
+        exact = None  # the last pair that was found without any edit
         for batch in batches:
             out = []
             ids = batch.select(["rid", "start", "c"]).to_pylist()
             items_, words_, around_ = batch.column(2), batch.column(4), batch.column(5)
             for i, r in enumerate(ids):
                 pair = (r["rid"], items_[i].as_py())
-                if pair in exact:
+                if pair == exact:
                     continue
                 own = words_[i].values.to_numpy().view(np.uint64)
                 text_ = around_[i].values.to_numpy().view(np.uint64)
@@ -300,10 +310,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     edits, end = edit_distance(own, text_)
                 if edits <= edits_allowed(n, similarity):
                     out.append((i, edits, n, r["start"] - pad + end))
-                    if not edits:
-                        exact.add(pair)
-                        if len(exact) > 100_000:
-                            exact.clear()
+                    exact = exact if edits else pair
             took = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(took), batch.column(1).take(took), items_.take(took), *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2, 3))],

@@ -110,3 +110,8 @@ def test_classes_cover_every_length():
         assert n in dc.class_lengths(c)
         steps, span, keep, edits = dc.class_shape(c)
         assert span >= n + dc.edits_allowed(n) and all(keep[g] <= n - g + 1 - g * dc.edits_allowed(n) for g in (2, 3)) and edits >= dc.edits_allowed(n)
+
+
+def test_both_ways_to_words_agree():
+    for text in ["A_b c-d É1 ñ ß", "“x” – y_z… ´´ É2é", "", None, "### A&&& 1.5", "İstanbul ŉ ǆ"]:
+        assert dc.tokens(text) == [w.encode() for w in dc._WORD.findall((text or "").lower())]
