@@ -14,6 +14,8 @@ that can be sorted in one task:
   signature is lengthened to the whole window: its windows travel singly, keyed
   by the window's 128-bit hash and dealt over as many parts as the count
   demands; what is single in its part is compared across parts afterwards.
+* Of equal contexts that a task meets, only the first is sent: that the windows
+  of all of them repeat is known on the spot.
 
 No group, list or task holds more than ``GROUP_ROWS`` rows of one key, except
 lists per document, which are as long as the document. Nothing is sampled or
@@ -32,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,10 +43,13 @@ from .common import row_slices, staged
 
 #: Contexts that one group holds at most, and bytes of contexts gathered before
 #: their groups are sorted together.
-GROUP_ROWS = 400
+GROUP_ROWS = 20_000
 BYTES_AT_ONCE = 8 << 20
 #: Windows of a text hashed at a time.
 SEGMENT = 1 << 20
+#: Contexts that a task remembers (it may forget them: equal ones are then sent
+#: again).
+REMEMBERED = 1 << 17
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -181,10 +187,15 @@ def repeated_spans(docs: DataFrame, alphabet: Callable[[], Alphabet], m: int, k:
     def contexts(batches):
         alpha = alphabet()
         names = ["k1", "k2", "part", "rid", "doc_id", "a", "n", "content"]
+        seen: dict = {}  # a context to where it was met first, None once that is reported
+
+        def repeated(rid, doc_id, a, c):  # part -1: known to repeat
+            return rid ^ a, a, -1, rid, doc_id, a, c, None
+
         for part in row_slices(batches, 64):
             out = [[] for _ in range(8)]
-            ids = part.column(1)
-            for i in range(part.num_rows):
+            id_values = part.column(1).to_pylist()
+            for i, doc_id in enumerate(id_values):
                 rid = part.column(0)[i].as_py()
                 sigs = part.column(3)[i].values
                 v, count = sigs.field("v").to_numpy(), sigs.field("n").to_numpy()
@@ -196,20 +207,27 @@ def repeated_spans(docs: DataFrame, alphabet: Callable[[], Alphabet], m: int, k:
                     at = np.minimum(np.searchsorted(v, sig), len(v) - 1)
                     hit = np.flatnonzero(v[at] == sig)
                     for s, a, c, many in zip(sig[hit].tolist(), first[hit].tolist(), n[hit].tolist(), count[at[hit]].tolist()):
-                        if many <= group_rows:
-                            rows = [(s, 0, 0, rid, i, a, c, alpha.pack(units, a, a + c + m - 1))]
+                        content = alpha.pack(units, a, a + c + m - 1)
+                        known = s, xxhash.xxh3_128_digest(content)
+                        if known in seen:
+                            rows = [repeated(*x) for x in (seen[known], (rid, doc_id, a, c)) if x]
+                            seen[known] = None
                         else:
-                            window = units[a : a + c + m - 1]
-                            one, two = window_keys(codes[a : a + c + m - 1], alpha.codes(window, 1), m)
-                            share = (rid ^ a) % -(-many * 2 // group_rows)
-                            rows = [(x, y, share, rid, i, a + j, 1, None) for j, (x, y) in enumerate(zip(one.tolist(), two.tolist()))]
+                            if len(seen) >= REMEMBERED:
+                                seen.clear()
+                            seen[known] = rid, doc_id, a, c
+                            if many <= group_rows:
+                                rows = [(s, 0, 0, rid, doc_id, a, c, content)]
+                            else:
+                                one, two = window_keys(codes[a : a + c + m - 1], alpha.codes(units[a : a + c + m - 1], 1), m)
+                                share = (rid ^ a) % -(-many * 2 // group_rows)
+                                rows = [(x, y, share, rid, doc_id, a + j, 1, None) for j, (x, y) in enumerate(zip(one.tolist(), two.tolist()))]
                         for row in rows:
                             for column, value in zip(out, row):
                                 column.append(value)
             if out[0]:
-                out[4] = ids.take(pa.array(out[4]))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(out, types)], names)
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), part.column(1).type, pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     shipped = docs.join(per_row, "rid").select("rid", "doc_id", "text", "sigs")
     shipped = shipped.mapInArrow(contexts, f"k1 long, k2 long, part long, rid long, doc_id {id_type}, a long, n long, content binary")
@@ -239,8 +257,10 @@ def repeated_spans(docs: DataFrame, alphabet: Callable[[], Alphabet], m: int, k:
         light = rows["content"].is_valid().to_numpy()
         size = np.bincount(group)
         a, z, who, state = [], [], [], []
+        known = np.flatnonzero(keys[2] < 0)
+        a.append(start[known]), z.append(start[known] + n[known] - 1 + m), who.append(known), state.append(np.zeros(len(known), np.int64))
         # single windows: two in a part are a repeat, one may have its copy in another part
-        single = np.flatnonzero(~light)
+        single = np.flatnonzero(~light & (keys[2] >= 0))
         sure = size[group[single]] > 1
         head = single[sure & new[single]]
         for index, kind in ((single[sure], 0), (single[~sure], 1), (head, 2)):
