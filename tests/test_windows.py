@@ -5,8 +5,9 @@ from hubflow.operators.windows import window_table
 
 def test_window_table(inputs):
     w = {(r.station_id, r.receive_planned, r.dispatch_planned): r for r in window_table(inputs.planning).collect()}
-    # 16 rows: one exact duplicate, one empty and one NULL time dropped
-    assert len(w) == 13
+    # 16 literal rows, of which one exact duplicate, one empty and one NULL time
+    # drop, and one window for each of the 10 suppliers
+    assert len(w) == 13 + 10
     r = w[("2", "00:10 às 06:00", "07:00 às 11:00")]
     assert (r.receive_open, r.receive_close, r.receive_expanded) == (2330, 700, "2330 às 0700")
     # another planned window with the same expanded label
