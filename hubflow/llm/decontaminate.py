@@ -4,22 +4,28 @@ A document leaks an item if a stretch of its words is within ``1 - similarity``
 of the item's length in word edits. Words are runs of letters and digits,
 lower-cased.
 
+* An item of which ``e`` words may be edited is cut into ``e // 2 + 1`` parts
+  of nearly equal length (``cut``). Wherever the edits lie, spread or in one
+  block, a part is left with one edit at most, so the search is for parts with
+  up to ``PART_EDITS`` edits, and items of every length are found alike.
 * A window is embedded by a CGK random walk: at each step the current symbol is
   output, and a random function of step and symbol says whether the walk moves
   on. Few edits between two windows make few Hamming differences between their
   embeddings, as the walks fall into step again.
-* A hash table samples ``SAMPLES`` of the output positions; windows and items
-  that agree on them are candidates. The number of tables follows from the
-  target recall (``tables_for``).
-* Candidates are verified by exact edit distance against the words around the
-  window, so the result has no false pair.
-
-Items are grouped by length into classes (``CLASS_RATIO``); windows start at
+* A hash table samples ``SAMPLES`` of the output positions; windows and parts
+  that agree on them are candidates. ``tables_for`` says how many tables reach
+  the target recall; ``tests/llm`` measures it for an edit at each word of a
+  part of each length.
+* Candidates are verified by exact edit distance: the part against the words
+  around the window, and where it is near, the whole item against the words of
+  the document around it, so the result has no false pair.
+
+Parts are grouped by length into classes (``CLASS_RATIO``); windows start at
 every word of every document, once per class. Before they are embedded, windows
 are dropped that can't be within the edits allowed: an edit destroys at most two
-of an item's word pairs and three of its triples, so a window must keep a number
-of pairs and triples that occur in items. After that, windows are dropped whose
-signature no item has in any table. Both tests look at bitmaps of fixed size
+of a part's word pairs and three of its triples, so a window must keep a number
+of pairs and triples that occur in parts. After that, windows are dropped whose
+signature no part has in any table. Both tests look at bitmaps of fixed size
 (``BITMAP_BITS``), whatever the number of items; these let some windows through
 to the join and never lose one.
 
@@ -46,8 +52,10 @@ SIMILARITY = 0.8
 MIN_ITEM_WORDS = 5
 CLASS_RATIO = 1.3
 SAMPLES = 3
-#: Chance that a sampled position agrees for a window at the similarity bound,
-#: and the recall that the tables together must reach there.
+#: Edits that the part of an item with the fewest of them has at most.
+PART_EDITS = 1
+#: Chance that a sampled position agrees for a window with as many edits, and
+#: the recall that the tables together must reach there.
 AGREE = 0.55
 TARGET_RECALL = 0.98
 BITMAP_BITS = 1 << 22
@@ -122,13 +130,21 @@ def class_lengths(c: int) -> list[int]:
     return [n for n in range(max(low - 1, 1), math.ceil(CLASS_RATIO ** (c + 1)) + 1) if length_class(n) == c]
 
 
-def class_shape(c: int, similarity: float = SIMILARITY) -> tuple[int, int, dict[int, int], int]:
+def cut(n: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """The parts (from, to) of an item of ``n`` words: so many that the edits
+    allowed can't put more than ``PART_EDITS`` into each."""
+    parts = edits_allowed(n, similarity) // (PART_EDITS + 1) + 1
+    return [(n * i // parts, n * (i + 1) // parts) for i in range(parts)]
+
+
+def class_shape(c: int, similarity: float = SIMILARITY, edits: int | None = None) -> tuple[int, int, dict[int, int], int]:
     """Of a class: walk steps, words that a window may span, pairs and triples
-    it must keep, and edits allowed at most."""
-    lengths = class_lengths(c)
-    spans = max(n + edits_allowed(n, similarity) for n in lengths)
-    keep = {g: min(n - g + 1 - g * edits_allowed(n, similarity) for n in lengths) for g in (2, 3)}
-    return math.ceil(1.6 * lengths[0]), spans, keep, edits_allowed(lengths[-1], similarity)
+    it must keep, and edits allowed at most (``edits`` where it is given)."""
+    allowed = {n: edits_allowed(n, similarity) if edits is None else edits for n in class_lengths(c)}
+    lengths = list(allowed)
+    spans = max(n + e for n, e in allowed.items())
+    keep = {g: min(n - g + 1 - g * e for n, e in allowed.items()) for g in (2, 3)}
+    return math.ceil(1.6 * lengths[0]), spans, keep, allowed[lengths[-1]]
 
 
 def signatures(windows: np.ndarray, c: int, tables: int = TABLES, samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
@@ -153,18 +169,31 @@ def signatures(windows: np.ndarray, c: int, tables: int = TABLES, samples: int =
     return out.view(np.int64)
 
 
-def edit_distance(item: np.ndarray, around: np.ndarray) -> tuple[int, int]:
-    """Fewest word edits that turn ``item`` into a stretch of ``around``, and
-    where the first such stretch ends."""
-    idx = np.arange(len(around) + 1)
-    row = np.zeros(len(around) + 1, np.int64)
-    for i, symbol in enumerate(item):
+def edit_distances(items: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row, fewest word edits that turn the item into a stretch of
+    ``around``, and where the first such stretch ends."""
+    idx = np.arange(around.shape[1] + 1)
+    row = np.zeros((len(items), len(idx)), np.int64)
+    for i in range(items.shape[1]):
         now = np.empty_like(row)
-        now[0] = i + 1
-        now[1:] = np.minimum(row[:-1] + (around != symbol), row[1:] + 1)
-        row = np.minimum.accumulate(now - idx) + idx
-    end = int(row.argmin())
-    return int(row[end]), end
+        now[:, 0] = i + 1
+        now[:, 1:] = np.minimum(row[:, :-1] + (around != items[:, i : i + 1]), row[:, 1:] + 1)
+        row = np.minimum.accumulate(now - idx, axis=1) + idx
+    end = row.argmin(1)
+    return row[np.arange(len(row)), end], end
+
+
+def edit_distance(item: np.ndarray, around: np.ndarray) -> tuple[int, int]:
+    """``edit_distances`` of one item."""
+    edits, end = edit_distances(item[None], around[None])
+    return int(edits[0]), int(end[0])
+
+
+def _matrix(col: pa.ListArray, at: np.ndarray) -> np.ndarray:
+    """The lists ``at`` of a column, which are of one length, as rows."""
+    lengths = col.value_lengths().to_numpy()
+    start = np.cumsum(lengths) - lengths
+    return col.flatten().to_numpy().view(np.uint64)[start[at][:, None] + np.arange(lengths[at[0]])]
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -175,28 +204,37 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     def prepare(batches):
         for part in row_slices(batches):
-            rows = [(i, w) for i, w in enumerate(map(tokens, part.column(1).to_pylist())) if len(w) >= MIN_ITEM_WORDS]
+            rows = []  # row, from, words, words of the item
+            for i, w in enumerate(map(tokens, part.column(2).to_pylist())):
+                if len(w) >= MIN_ITEM_WORDS:
+                    code = codes(w)
+                    rows += [(i, a, code[a:b], code) for a, b in cut(len(w), similarity)]
             took = pa.array([r[0] for r in rows], pa.int64())
-            words = [r[1] for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).take(took),
-                    pa.array([length_class(len(w)) for w in words], pa.int32()),
-                    pa.array([codes(w).view(np.int64).tolist() for w in words], pa.list_(pa.int64())),
-                    pa.array([np.unique(np.concatenate([gram_bits(codes(w), g) for g in (2, 3)])).tolist() for w in words], pa.list_(pa.int64())),
+                    part.column(1).take(took),
+                    pa.array([length_class(len(r[2])) for r in rows], pa.int32()),
+                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([len(r[3]) for r in rows], pa.int64()),
+                    pa.array([r[2].view(np.int64).tolist() for r in rows], pa.list_(pa.int64())),
+                    pa.array([np.unique(np.concatenate([gram_bits(r[2], g) for g in (2, 3)])).tolist() for r in rows], pa.list_(pa.int64())),
+                    pa.array([None if r[1] else r[3].view(np.int64).tolist() for r in rows], pa.list_(pa.int64())),
                 ],
-                ["item_id", "c", "words", "bits"],
+                ["iid", "item_id", "c", "at", "n", "words", "bits", "item"],
             )
 
     prepared = staged(
-        items.select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).mapInArrow(prepare, f"item_id {item_type}, c int, words array<long>, bits array<long>")
+        items.select(F.xxhash64(F.col(item), F.col(item_text)).alias("iid"), F.col(item).alias("item_id"), F.col(item_text).alias("text")).mapInArrow(
+            prepare, f"iid long, item_id {item_type}, c int, at long, n long, words array<long>, bits array<long>, item array<long>"
+        )
     )
     classes = sorted(r["c"] for r in prepared.select("c").distinct().collect())  # few: lengths grow by a ratio
     grams = spark.sparkContext.broadcast(bitmap(prepared.select(F.explode("bits").alias("bit"))))
 
-    def embed_items(batches):
+    def embed_parts(batches):
         for batch in batches:
-            ids, c, words = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            c, words = batch.column(2).to_numpy(), batch.column(4).to_pylist()
             for one in np.unique(c):
                 at = np.flatnonzero(c == one)
                 wide = np.zeros((len(at), max(len(words[i]) for i in at)), np.int64)
@@ -205,19 +243,18 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                 sig = signatures(wide.view(np.uint64), int(one))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array(at)),
-                        pa.array(np.full(len(at), one), pa.int32()),
+                        *(batch.column(k).take(pa.array(at)) for k in range(4)),
                         pa.array(sig.tolist(), pa.list_(pa.int64())),
                         pa.array(signature_bits(sig).tolist(), pa.list_(pa.int64())),
                     ],
-                    ["item_id", "c", "sigs", "bits"],
+                    ["iid", "item_id", "c", "at", "sigs", "bits"],
                 )
 
-    of_items = staged(
-        prepared.select("item_id", "c", "words").mapInArrow(embed_items, f"item_id {item_type}, c int, sigs array<long>, bits array<long>")
+    of_parts = staged(
+        prepared.select("iid", "item_id", "c", "at", "words").mapInArrow(embed_parts, f"iid long, item_id {item_type}, c int, at long, sigs array<long>, bits array<long>")
     )
-    signed = spark.sparkContext.broadcast(bitmap(of_items.select(F.explode("bits").alias("bit"))))
-    shapes = {c: class_shape(c, similarity) for c in classes}
+    signed = spark.sparkContext.broadcast(bitmap(of_parts.select(F.explode("bits").alias("bit"))))
+    shapes = {c: class_shape(c, similarity, PART_EDITS) for c in classes}
 
     def windows(batches):
         known, known_signature = (np.unpackbits(x.value).astype(bool) for x in (grams, signed))
@@ -274,42 +311,84 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = staged(rows.mapInArrow(windows, f"rid long, doc_id {id_type}, c int, start long, around array<long>, sigs array<long>"))
-    tables = of_items.select("item_id", "c", F.posexplode("sigs").alias("t", "sig"))
+    tables = of_parts.select("iid", "item_id", "c", "at", F.posexplode("sigs").alias("t", "sig"))
     hits = found.select("rid", "doc_id", "c", "start", F.posexplode("sigs").alias("t", "sig")).join(tables, ["c", "t", "sig"])
-    # rid names a row but for collisions, which the id tells apart
-    candidates = staged(hits.select("rid", "doc_id", "c", "start", "item_id").distinct())
+    # rid and iid name a row but for collisions, which the ids tell apart
+    candidates = staged(hits.select("rid", "doc_id", "c", "start", "iid", "item_id", "at").distinct())
     around = found.select("rid", F.col("doc_id").alias("found_id"), "c", "start", "around")
-    words = prepared.select(F.col("item_id").alias("i_id"), F.col("c").alias("i_c"), "words").distinct()
+    parts = prepared.select("iid", F.col("item_id").alias("i_id"), "at", "n", "words").distinct()
     checked = (
         candidates.join(around, ["rid", "c", "start"])
         .where(F.col("doc_id").eqNullSafe(F.col("found_id")))
-        .join(words, F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("c") == F.col("i_c")))
-        .select("rid", "doc_id", "item_id", "start", "words", "around", "c")
-        # the windows of a pair follow each other, so one without edits settles it
-        .repartition("rid", "item_id")
-        .sortWithinPartitions("rid", "item_id", "start")
+        .join(parts, ["iid", "at"])
+        .where(F.col("item_id").eqNullSafe(F.col("i_id")))
+        .select("rid", "doc_id", "iid", "item_id", "start", "at", "n", "c", "words", "around")
+    )
+
+    def verify_parts(batches):
+        for batch in batches:
+            start, at, n, c = (batch.column(k).to_numpy() for k in range(4, 8))
+            words, around_ = batch.column(8), batch.column(9)
+            size, least, place, slack = words.value_lengths().to_numpy(), *(np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            for one, m in set(zip(c.tolist(), size.tolist())):
+                rows = np.flatnonzero((c == one) & (size == m))
+                least[rows], end = edit_distances(_matrix(words, rows), _matrix(around_, rows))
+                # where the item starts if no other part is edited, and how far
+                # off that may be, as stretches just as near may end elsewhere
+                place[rows] = start[rows] - PART_EDITS + end - m - at[rows]
+                slack[rows] = [edits_allowed(x, similarity) + shapes[one][1] - m + 3 * PART_EDITS for x in n[rows].tolist()]
+            took = pa.array(np.flatnonzero(least <= PART_EDITS))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(took) for k in range(4)), *(pa.array(x).take(took) for x in (place, place - slack, place + n + slack))],
+                ["rid", "doc_id", "iid", "item_id", "place", "low", "high"],
+            )
+
+    near = staged(checked.mapInArrow(verify_parts, f"rid long, doc_id {id_type}, iid long, item_id {item_type}, place long, low long, high long").distinct())
+
+    def encode(batches):
+        for part in row_slices(batches):
+            words = [codes(tokens(x)).view(np.int64) for x in part.column(2).to_pylist()]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(w) for w in words]))), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(words) if words else [], pa.int64()))],
+                ["t_rid", "t_id", "codes"],
+            )
+
+    hit = near.select(F.col("rid").alias("n_rid"), F.col("doc_id").alias("n_id")).distinct()
+    texts = rows.join(hit, (rows["rid"] == hit["n_rid"]) & rows["doc_id"].eqNullSafe(hit["n_id"]), "left_semi").mapInArrow(
+        encode, f"t_rid long, t_id {id_type}, codes array<long>"
+    )
+    whole = prepared.where("at = 0").select(F.col("iid").alias("w_iid"), F.col("item_id").alias("w_id"), F.col("item").alias("words")).distinct()
+    first = F.greatest(F.col("low"), F.lit(0))
+    paired = (
+        near.join(texts, (F.col("rid") == F.col("t_rid")) & F.col("doc_id").eqNullSafe(F.col("t_id")))
+        .select("rid", "doc_id", "iid", "item_id", "place", first.alias("first"), F.slice("codes", (first + 1).cast("int"), (F.col("high") - first).cast("int")).alias("around"))
+        .join(whole, (F.col("iid") == F.col("w_iid")) & F.col("item_id").eqNullSafe(F.col("w_id")))
+        .select("rid", "doc_id", "iid", "item_id", "place", "first", "words", "around")
+        # the places of a pair follow each other, so one without edits settles it
+        .repartition("rid", "iid")
+        .sortWithinPartitions("rid", "iid", "item_id", "place")
     )
 
     def verify(batches):
         exact = None  # the last pair that was found without any edit
         for batch in batches:
             out = []
-            ids = batch.select(["rid", "start", "c"]).to_pylist()
-            items_, words_, around_ = batch.column(2), batch.column(4), batch.column(5)
-            for i, r in enumerate(ids):
-                pair = (r["rid"], items_[i].as_py())
+            rids, iids, place, first_ = (batch.column(k).to_pylist() for k in (0, 2, 4, 5))
+            items_, words_, around_ = batch.column(3), batch.column(6), batch.column(7)
+            for i, rid in enumerate(rids):
+                pair = (rid, iids[i], batch.column(1)[i].as_py(), items_[i].as_py())
                 if pair == exact:
                     continue
                 own = words_[i].values.to_numpy().view(np.uint64)
                 text_ = around_[i].values.to_numpy().view(np.uint64)
-                pad = shapes[r["c"]][3]
-                n = len(own)
-                if np.array_equal(text_[pad : pad + n], own):
-                    edits, end = 0, pad + n
+                n, at = len(own), place[i] - first_[i]
+                if at >= 0 and np.array_equal(text_[at : at + n], own):
+                    edits, end = 0, at + n
                 else:
                     edits, end = edit_distance(own, text_)
                 if edits <= edits_allowed(n, similarity):
-                    out.append((i, edits, n, r["start"] - pad + end))
+                    out.append((i, edits, n, first_[i] + end))
                     exact = exact if edits else pair
             took = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -317,7 +396,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                 ["rid", "doc_id", "item_id", "edits", "item_words", "word_at"],
             )
 
-    verified = checked.mapInArrow(verify, f"rid long, doc_id {id_type}, item_id {item_type}, edits long, item_words long, word_at long")
+    verified = paired.mapInArrow(verify, f"rid long, doc_id {id_type}, item_id {item_type}, edits long, item_words long, word_at long")
     best = F.min(F.struct("edits", "word_at", "item_words")).alias("b")
     return verified.groupBy("rid", "doc_id", "item_id").agg(best).select("rid", "doc_id", "item_id", "b.edits", "b.item_words", "b.word_at")
 

@@ -77,6 +77,58 @@ def test_recall_of_edited_passages(spark, similarity, recall):
         assert r.edits == plain_distance(dc.tokens(by_id[r.item_id]), dc.tokens(text[r.doc_id])) <= dc.edits_allowed(r.item_words)
 
 
+def at_the_bound(kind, lengths, n, seed):
+    """Items of distinct words, and documents that hold them with all edits
+    allowed: spread evenly, substituted at random, or in one block of lost words."""
+    rng, docs, items = random.Random(seed), [], []
+    for i in range(n):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(*lengths))]
+        items.append((i, " ".join(words), 0))
+        size, e = len(words), dc.edits_allowed(len(words))
+        if kind == "block":
+            at = rng.randint(0, size - e)
+            del words[at : at + e]
+        else:
+            for at in [size * k // e for k in range(e)] if kind == "spread" else rng.sample(range(size), e):
+                words[at] = f"x{rng.randrange(10**9)}"
+        around = [" ".join(f"y{rng.randrange(500)}" for _ in range(rng.randint(0, 100))) for _ in range(2)]
+        docs.append((i, f"{around[0]} {' '.join(words)} {around[1]}", 0, 0, 0))
+    return docs, items
+
+
+@pytest.mark.parametrize("kind, lengths", [("block", (20, 60)), ("block", (100, 300)), ("spread", (20, 60)), ("spread", (100, 300)), ("random", (100, 300))])
+def test_recall_at_the_bound_for_every_length(spark, kind, lengths):
+    docs, items = at_the_bound(kind, lengths, 150, 7)
+    got = dc.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert len(got) >= dc.TARGET_RECALL * len(items)
+    for r in got:
+        assert r.doc_id == r.item_id and r.edits <= dc.edits_allowed(r.item_words)
+
+
+def test_some_part_has_one_edit_at_most():
+    for similarity in (0.5, 0.8, 0.9, 1.0):
+        for n in range(5, 400):
+            parts = dc.cut(n, similarity)
+            assert [a for a, _ in parts] + [n] == [0] + [b for _, b in parts] and all(a < b for a, b in parts)
+            assert dc.edits_allowed(n, similarity) < len(parts) * (dc.PART_EDITS + 1)
+
+
+@pytest.mark.parametrize("m", range(5, 11))
+def test_tables_find_a_part_with_an_edit_at_any_word(m):
+    assert {b - a for n in range(5, 1000) for a, b in dc.cut(n)} == set(range(5, 11))
+    rng, c, k = np.random.default_rng(m), dc.length_class(m), 400
+    span = dc.class_shape(c, edits=dc.PART_EDITS)[1]
+    item = rng.integers(1, 1 << 62, (k, m), dtype=np.uint64)
+    want = dc.signatures(np.concatenate((item, np.zeros((k, span - m), np.uint64)), axis=1), c)
+    for kind in ("substitute", "delete", "insert"):
+        for at in range(m) if kind != "insert" else range(1, m):
+            new = rng.integers(1, 1 << 62, (k, 0 if kind == "delete" else 1), dtype=np.uint64)
+            around = rng.integers(1, 1 << 62, (2, k, span + 2), dtype=np.uint64)
+            doc = np.concatenate((around[0], item[:, :at], new, item[:, at + (kind != "insert") :], around[1]), axis=1)
+            hit = [(dc.signatures(doc[:, s : s + span], c) == want).any(1) for s in range(span, span + 5)]
+            assert np.any(hit, axis=0).mean() >= dc.TARGET_RECALL, (kind, at)
+
+
 def test_case_symbols_nulls_repeats_and_short_items(spark):
     item = "one two three four five six seven eight nine ten"
     docs = [(1, f"x\n### {item.upper()}!! y"), (2, item.replace("five", "5")), (3, None), (4, ""), (None, item), (6, "one two three"), (7, "q " * 50_000 + item), (7, "q " * 50_000 + item), (8, item[:20])]
