@@ -3,8 +3,11 @@
 Sequential covering: one rule at a time, a rule grows as a conjunction of
 threshold conditions on text statistics (the condition with the largest
 information gain on the growing rows is added), is pruned on rows held back
-from growing, and the rows it covers are set aside before the next rule. The
-list is emitted as one ordered Spark conditional expression.
+from growing, and the rows it covers are set aside before the next rule.
+Thresholds come from the junk and the good rows apart, so that a rare kind of
+junk has its own, and are renewed on the rows left after each rule. If a rule
+fails on the held-back rows, the next best first condition is tried; the list
+ends when none is left. The list is emitted as one ordered Spark conditional expression.
 
 Everything is DataFrame expressions: the statistics are computed inside the
 JVM without a shuffle, and each growing step is one aggregation whose result
@@ -28,7 +31,7 @@ from .common import let, staged, words
 
 #: Statistics that a rule may test.
 TESTED = ["n_words", "mean_word", "symbol_share", "repeat_share", "dup_line_share", "upper_share", "digit_share", "shout_share"]
-#: Candidate thresholds per statistic, conditions in a rule, rules in a list.
+#: Quantiles per statistic and label, conditions in a rule, rules in a list.
 THRESHOLDS = 48
 MAX_CONDITIONS = 3
 MAX_RULES = 10
@@ -159,48 +162,55 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def _thresholds(rows: DataFrame) -> dict[str, list[float]]:
-    """Midpoints between neighbouring quantiles of each statistic."""
+    """Midpoints between neighbouring quantiles of each statistic, those of junk
+    and of good rows with their extremes, and the limits of the good rows."""
     at = [(i + 0.5) / THRESHOLDS for i in range(THRESHOLDS)]
-    got = rows.agg(*[F.percentile_approx(c, at, 2000).alias(c) for c in TESTED]).first()
+    by_label = {
+        r["junk"]: r
+        for r in rows.groupBy("junk")
+        .agg(*[F.struct(F.percentile_approx(c, at, 2000).alias("q"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in TESTED])
+        .collect()
+    }
     out = {}
     for c in TESTED:
-        values = sorted({v for v in got[c] or [] if v is not None})
-        out[c] = [(a + b) / 2 for a, b in zip(values, values[1:])]
+        values = sorted({v for r in by_label.values() for v in (*r[c]["q"], r[c]["low"], r[c]["high"])})
+        cuts = {(a + b) / 2 for a, b in zip(values, values[1:])}
+        if 0 in by_label and len(values) > 1:
+            good = by_label[0][c]
+            cuts |= {good["high"], math.nextafter(good["low"], -math.inf)}
+        out[c] = sorted(cuts)
     return out
 
 
-def _bin(c: str, cuts: list[float]) -> Column:
+def _bin(c: Column, cuts: list[float]) -> Column:
     """How many of the cuts the statistic exceeds."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: F.col(c) > t)) if cuts else F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: c > t)) if cuts else F.lit(0)
 
 
 def learn(labelled: DataFrame, seed: int = 11) -> DecisionList:
     """A decision list from ``labelled``: columns ``s`` (statistics), ``junk``
     (boolean) and ``key`` (decides which third of the rows is held back)."""
-    spark = labelled.sparkSession
     rows = labelled.where("junk is not null").select(
         F.col("junk").cast("int").alias("junk"),
         (F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(3)) == 0).alias("held"),
         *[v.alias(k) for k, v in tested(F.col("s")).items()],
     )
-    cuts = _thresholds(rows)
-    bins = [_bin(c, cuts[c]).alias(c) for c in TESTED]
-    binned = staged(rows.select("junk", "held", *bins))
 
     def holds(rule) -> Column:  # on bins: bin k holds the values above k of the cuts
-        return _all([F.col(c) > k if above else F.col(c) <= k for c, above, k in rule])
+        return _all([F.col(f"{c}_bin") > k if above else F.col(f"{c}_bin") <= k for c, above, k in rule])
 
     def histogram(df: DataFrame) -> dict:
-        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("k")) for c in TESTED])).alias("x")
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"{c}_bin").alias("k")) for c in TESTED])).alias("x")
         out: dict = {}
         for r in df.select("junk", cells).groupBy("x.c", "x.k", "junk").count().collect():
             out.setdefault(r["c"], {}).setdefault(r["k"], [0, 0])[r["junk"]] = r["count"]
         return out
 
-    def grow(df: DataFrame) -> list:
+    def grow(df: DataFrame, cuts: dict, of_all: dict, failed: set) -> list:
+        """A rule that starts with none of the ``failed`` (statistic, side)."""
         rule: list = []
         while len(rule) < MAX_CONDITIONS:
-            hist = histogram(df.where(holds(rule)))
+            hist = histogram(df.where(holds(rule))) if rule else of_all
             if not hist:
                 break
             good, bad = (sum(v[i] for v in hist[TESTED[0]].values()) for i in (0, 1))
@@ -212,7 +222,7 @@ def learn(labelled: DataFrame, seed: int = 11) -> DecisionList:
                 for k in range(len(cuts[c])):
                     low = [low[i] + hist[c].get(k, [0, 0])[i] for i in (0, 1)]
                     for above, (n, p) in ((False, low), (True, [good - low[0], bad - low[1]])):
-                        if p and n + p < good + bad:
+                        if p and n + p < good + bad and (rule or (c, above) not in failed):
                             gain = p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good)))
                             if gain > best[0]:
                                 best = (gain, (c, above, k))
@@ -233,17 +243,22 @@ def learn(labelled: DataFrame, seed: int = 11) -> DecisionList:
         return rule[:keep], (got[f"p{keep}"] or 0) / max(covered, 1), covered
 
     found: list = []
-    left = binned
+    left = staged(rows)
     while len(found) < MAX_RULES:
-        rule = grow(left.where(~F.col("held")))
+        cuts = _thresholds(left)
+        binned = staged(left.select("junk", "held", *TESTED, *[_bin(F.col(c), cuts[c]).alias(f"{c}_bin") for c in TESTED]))
+        growing, held = binned.where(~F.col("held")), binned.where("held")
+        of_all, failed = histogram(growing), set()
+        while rule := grow(growing, cuts, of_all, failed):
+            kept, precision, cover = prune(held, rule)
+            if precision >= MIN_PRECISION and cover >= MIN_COVER:
+                break
+            failed.add(rule[0][:2])
         if not rule:
             break
-        rule, precision, cover = prune(left.where("held"), rule)
-        if precision < MIN_PRECISION or cover < MIN_COVER:
-            break
-        found.append(rule)
-        left = left.where(~holds(rule))
-    return DecisionList(tuple(tuple(Condition(c, above, cuts[c][k]) for c, above, k in rule) for rule in found))
+        found.append(tuple(Condition(c, above, cuts[c][k]) for c, above, k in kept))
+        left = binned.where(~holds(kept))
+    return DecisionList(tuple(found))
 
 
 def learn_from(stats: DataFrame, labels: DataFrame, seed: int = 11) -> DecisionList:

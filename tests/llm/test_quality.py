@@ -67,3 +67,46 @@ def test_two_conditions_are_found(spark):
     assert any({c.statistic for c in r} == {"n_words", "symbol_share"} for r in rules.rules), str(rules)
     wrong = df.where(rules.kept(F.col("s")) == F.col("junk")).count()
     assert wrong / 1200 < 0.03
+
+
+def labelled(spark, rows):
+    """``learn``'s input from (key, junk, base statistics that aren't plain)."""
+    plain_ = {"n_words": 200, "word_chars": 1000, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 100, "n_upper": 0, "n_digits": 0, "n_shout": 0}
+    flat = [(k, junk, *{**plain_, **odd}.values()) for k, junk, odd in rows]
+    return spark.createDataFrame(flat, "key long, junk boolean, " + ", ".join(f"{c} long" for c in plain_)).select("key", "junk", F.struct(*plain_).alias("s"))
+
+
+def test_rare_kinds_of_junk_are_found(spark):
+    """Kinds held by one in 300 rows each, on statistics that are mostly zero or
+    whose good values vary, beside a common kind."""
+    rows = []
+    for i in range(9000):
+        odd = {"n_upper": 20 + i % 37}  # good values vary
+        junk = i % 300 in (0, 1) or i % 10 == 5
+        if i % 300 == 0:
+            odd["n_shout"] = 30 + i // 300
+        elif i % 300 == 1:
+            odd["n_upper"] = 90 + i // 300
+        elif junk:
+            odd["n_symbols"] = 100 + i % 50
+        rows.append((i, junk, odd))
+    df = labelled(spark, rows)
+    rules = quality.learn(df)
+    assert df.where(rules.kept(F.col("s")) == F.col("junk")).count() == 0, str(rules)
+
+
+def test_next_statistic_is_tried_after_a_failed_rule(spark):
+    """Symbols tell most of the junk, but never at the precision asked for; the
+    kind that digits tell is found all the same."""
+    rows = []
+    for i in range(6000):
+        odd, junk = {}, False
+        if i % 5 == 0:
+            odd["n_symbols"], junk = 100, i // 5 % 10 < 6
+        elif i % 200 == 1:
+            odd["n_digits"], junk = 50, True
+        rows.append((i, junk, odd))
+    df = labelled(spark, rows)
+    rules = quality.learn(df)
+    assert {c.statistic for r in rules.rules for c in r} == {"digit_share"}, str(rules)
+    assert df.where("s.n_digits > 0").where(rules.kept(F.col("s"))).count() == 0
