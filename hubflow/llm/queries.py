@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from .bytesuffix import op5_suffix_dedup
 from .decontaminate import op3_decontaminate
+from .filteraudit import OP13_SQL, op13_filter_audit
 from .langid import op2_language_id
 from .linerun import OP7_SQL, op7_line_runs
 from .mixing import op6_mix
@@ -27,6 +28,7 @@ LLM_QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-LLM_ORACLE_SQL: dict[str, str] = {"op7_line_runs": OP7_SQL, "op8_warc": OP8_SQL}
+LLM_ORACLE_SQL: dict[str, str] = {"op7_line_runs": OP7_SQL, "op8_warc": OP8_SQL, "op13_filter_audit": OP13_SQL}
