@@ -14,6 +14,7 @@ from .mixing import op6_mix
 from .quality import op9_quality_rules
 from .sharding import op4_shuffled_shards
 from .simhash import op1_simhash
+from .topk import OP12_SQL, op12_top_k
 from .warc import OP8_SQL, op8_warc
 from .wordtree import op10_substring_dedup
 
@@ -28,7 +29,8 @@ LLM_QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_top_k": op12_top_k,
     "op13_filter_audit": op13_filter_audit,
 }
 
-LLM_ORACLE_SQL: dict[str, str] = {"op7_line_runs": OP7_SQL, "op8_warc": OP8_SQL, "op13_filter_audit": OP13_SQL}
+LLM_ORACLE_SQL: dict[str, str] = {"op7_line_runs": OP7_SQL, "op8_warc": OP8_SQL, "op12_top_k": OP12_SQL, "op13_filter_audit": OP13_SQL}
