@@ -11,6 +11,7 @@ from .filteraudit import OP13_SQL, op13_filter_audit
 from .langid import op2_language_id
 from .linerun import OP7_SQL, op7_line_runs
 from .mixing import op6_mix
+from .prefixtrie import OP11_SQL, op11_prefix_trie
 from .quality import op9_quality_rules
 from .sharding import op4_shuffled_shards
 from .simhash import op1_simhash
@@ -29,8 +30,9 @@ LLM_QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_top_k": op12_top_k,
     "op13_filter_audit": op13_filter_audit,
 }
 
-LLM_ORACLE_SQL: dict[str, str] = {"op7_line_runs": OP7_SQL, "op8_warc": OP8_SQL, "op12_top_k": OP12_SQL, "op13_filter_audit": OP13_SQL}
+LLM_ORACLE_SQL: dict[str, str] = {"op7_line_runs": OP7_SQL, "op8_warc": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_top_k": OP12_SQL, "op13_filter_audit": OP13_SQL}
