@@ -10,17 +10,13 @@ from hubflow.operators.backlog import (  # noqa: F401
     status_pivot,
 )
 from hubflow.operators.classify import (  # noqa: F401
-    DISPATCH,
     DISPATCH_KEYS,
-    EVENT_KEYS,
     RECEIPT_KEYS,
-    RECEIVE,
     all_receipts,
     classify_dispatches,
     classify_receipts,
     dispatch_rows,
     dispatches_inside,
-    events_inside,
     fact_events,
     receipt_rows,
     receipts_inside,
@@ -38,12 +34,24 @@ from hubflow.operators.filters import (  # noqa: F401
 )
 from hubflow.operators.joins import anti_join  # noqa: F401
 from hubflow.operators.profile import hour_profile, hour_shares, window_shares, window_totals  # noqa: F401
+from hubflow.operators.segments import (  # noqa: F401
+    DISPATCH,
+    RECEIVE,
+    hour_cells,
+    hour_cover,
+    segment_profile,
+    shipment_hours,
+    window_dictionary,
+)
 from hubflow.operators.staffing import (  # noqa: F401
     count_operators,
+    covered_segments,
+    day_cuts,
     operator_scans,
     operators_in_dispatch,
     operators_per_window,
     scan_rows,
+    scan_segments,
     window_intervals,
 )
 from hubflow.operators.windows import expanded_windows, planned_windows, window_table  # noqa: F401

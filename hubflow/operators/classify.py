@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from hubflow.functions.clock import OUTSIDE_LABEL, base_date, clock_int, inside_cyclic
 from hubflow.operators.filters import in_rolling_days, is_first_attempt
 from hubflow.operators.joins import anti_join
+from hubflow.operators.segments import DISPATCH, RECEIVE
 
 RECEIPT_KEYS = ["station_id", "window_date", "window_label", "receive_planned", "receive_expanded"]
 DISPATCH_KEYS = ["station_id", "window_date", "window_label", "dispatch_planned", "dispatch_expanded"]
@@ -144,8 +145,6 @@ def all_receipts(inside: DataFrame, outside: DataFrame) -> DataFrame:
 
 
 # --- both directions in one pass ---------------------------------------------
-RECEIVE, DISPATCH = "receive", "dispatch"
-EVENT_KEYS = ["direction", "station_id", "window_date", "window_label", "planned", "expanded"]
 
 
 def fact_events(shipments: DataFrame, as_of=None, first: int = 30, last: int = 1) -> DataFrame:
@@ -174,30 +173,3 @@ def fact_events(shipments: DataFrame, as_of=None, first: int = 30, last: int = 1
             clock_int("e.at").alias("event_hhmm"),
         )
     )
-
-
-def events_inside(events: DataFrame, windows: DataFrame) -> DataFrame:
-    """Events inside a window of their station, both directions at once, each
-    by the rules of its direction. Both group under the receive expanded
-    label."""
-    w = windows.select(
-        "station_id", "receive_open", "receive_close", "receive_planned", "receive_expanded",
-        "dispatch_start", "dispatch_end", "dispatch_planned", "dispatch_expanded",
-    )
-    is_r = F.col("direction") == RECEIVE
-
-    def either(receive: Column, dispatch: Column) -> Column:
-        return F.when(is_r, receive).otherwise(dispatch)
-
-    return (
-        events.join(w, "station_id")
-        .filter(either(receive_inside("event_hhmm"), dispatch_inside("event_hhmm")) == 1)
-        .select(
-            "direction", "station_id", "shipment_id",
-            either(receive_date("event_at", "event_hhmm"), dispatch_date("event_at", "event_hhmm")).alias("window_date"),
-            "event_at",
-            F.col("receive_expanded").alias("window_label"),
-            either(F.col("receive_planned"), F.col("dispatch_planned")).alias("planned"),
-            either(F.col("receive_expanded"), F.col("dispatch_expanded")).alias("expanded"),
-        )
-    )

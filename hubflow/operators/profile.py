@@ -46,12 +46,18 @@ def window_shares(
     serves both, and any later grouping on a superset. A key holds at most 24
     hours of the planned windows of one station-day, so neither the exchange
     nor the set can be skewed."""
-    rest = [k for k in keys if k not in join_keys]
     known = drop_label(profile).dropna(subset=join_keys).repartition(*join_keys)
+    return shares_of(known, keys, join_keys, share_scale)
+
+
+def shares_of(known: DataFrame, keys: Sequence[str], join_keys: Sequence[str], share_scale: int | None = None) -> DataFrame:
+    """As ``window_shares``, of hours whose label is known; nothing is exchanged
+    if ``known`` is partitioned by ``join_keys``."""
+    rest = [k for k in keys if k not in join_keys]
     total = F.sum("shipments").over(Window.partitionBy(*keys))
     totals = F.collect_set(F.struct(*rest, "_total")).over(Window.partitionBy(*join_keys))
     rows = known.withColumn("_total", total).withColumn("_totals", totals)
-    return rows.select(*profile.columns, F.explode("_totals._total").alias("window_total")).select(
+    return rows.select(*known.columns, F.explode("_totals._total").alias("window_total")).select(
         "*", share_pct("shipments", "window_total", share_scale).alias("share")
     )
 

@@ -4,8 +4,9 @@ Both jobs share one chain, and both directions (receive, dispatch) travel it
 together in one frame keyed by ``direction``:
 
   shipment facts --(one scan)--> receive and dispatch events
-     --(join with the windows)--> events inside a window
-     --> hour profile (the only aggregation over the facts)
+     --> shipments per hour with their clock segments (the only aggregation
+         over the facts) --> counts per set of segments
+     --(join with the windows)--> hour profile
      --> window totals --> hourly shares [checkpointed]
   shares --> curves (one aggregation)
   shares --> window-days --> scan intervals --(one scan of the log)-->
@@ -15,10 +16,11 @@ together in one frame keyed by ``direction``:
 So the facts and the scan log are each read once per job: what the report
 uses twice (shares, and the summary whose two directions meet in it) is
 computed once into the shared folder. No join is hinted; the planner and AQE
-choose from measured sizes. The profile's distinct count is planned as a partial dedupe on (keys, shipment id), a
-shuffle on those keys, then a count: one very large station/day/hour group
-spreads over many tasks. Everything after the profile is at (direction,
-station, day, window[, hour]) grain.
+choose from measured sizes. Facts are shuffled once, by keys that hold the
+shipment, so one very large station/day/hour group spreads over many tasks, and
+never meet a window: counts do. Windows travel by number and get their texts
+back with the shares. Everything after the profile is at (direction, station,
+day, window[, hour]) grain.
 
 The report keeps only the share columns it selects, deduplicated, before
 joining: its rows are at window grain instead of hour grain. That is exact,
@@ -41,22 +43,26 @@ from hubflow.functions.rates import (
 )
 from hubflow.operators.backlog import station_dim
 from hubflow.operators.classify import (
-    DISPATCH,
     DISPATCH_KEYS,
-    EVENT_KEYS,
     RECEIPT_KEYS,
-    RECEIVE,
     classify_dispatches,
     classify_receipts,
     dispatch_rows,
     dispatches_inside,
-    events_inside,
     fact_events,
     receipt_rows,
     receipts_inside,
 )
 from hubflow.operators.curve import curve_stats
-from hubflow.operators.profile import JOIN_KEYS, hour_profile, window_shares
+from hubflow.operators.profile import JOIN_KEYS, hour_profile, shares_of, window_shares
+from hubflow.operators.segments import (
+    DISPATCH,
+    RECEIVE,
+    SITE,
+    WINDOW_TEXTS,
+    segment_profile,
+    window_dictionary,
+)
 from hubflow.operators.staffing import count_operators
 from hubflow.operators.windows import window_table
 from hubflow.sources.sinks import full_refresh, materialize, release
@@ -67,7 +73,9 @@ VOLUME_PCT = 5          # hours counted in the curve volume, both jobs
 SHIFT_SPAN_PCT = 0.05   # hours spanning the curve, shift job (Q1)
 CURVE_SPAN_PCT = 5      # hours spanning the curve, curve job (Q2)
 
-DIRECTION_JOIN = ["direction"] + JOIN_KEYS
+GROUP_DAY = [*SITE, "group_no", "window_date"]    # windows of one label meet
+WINDOW_DAY = [*GROUP_DAY, "window_no"]
+POOL_DAY = [*SITE, "pool_no", "window_date"]      # operators are pooled
 CURVE_COLUMNS = ["real_start", "real_end", "real_minutes", "curve_volume", "curve_start", "curve_end", "curve_minutes"]
 
 
@@ -87,26 +95,20 @@ def dispatch_share_frame(inputs: Inputs, windows: DataFrame, share_scale=None) -
 
 # --- both directions together (used by the jobs) ------------------------------
 def event_share_frame(inputs: Inputs, windows: DataFrame, as_of=None, share_scale=None) -> DataFrame:
-    """Hourly shares of receipts and dispatches, keyed by ``direction``."""
-    inside = events_inside(fact_events(inputs.shipments, as_of), windows)
-    profile = hour_profile(inside, "event_at", EVENT_KEYS)
-    return window_shares(profile, EVENT_KEYS, DIRECTION_JOIN, share_scale)
+    """Hourly shares of receipts and dispatches, keyed by ``direction``. Windows
+    have their numbers and texts."""
+    dictionary = window_dictionary(windows)
+    profile = segment_profile(fact_events(inputs.shipments, as_of), dictionary)
+    texts = dictionary.select(*SITE, "window_no", "pool_no", *WINDOW_TEXTS)
+    return shares_of(profile, WINDOW_DAY, GROUP_DAY, share_scale).join(texts, [*SITE, "window_no"])
 
 
 def event_operators(shares: DataFrame, scans: DataFrame) -> DataFrame:
     """Distinct operators per window-day, both directions from one pass over
     the scans. Receive: pooled per expanded label, same day and next day.
     Dispatch: per planned label, same day only."""
-    is_r = F.col("direction") == RECEIVE
-    wins = (
-        shares.select(
-            "direction", "station_id", "window_date", "window_label", "planned",
-            F.when(is_r, F.col("window_label")).otherwise(F.col("planned")).alias("group_label"),
-        )
-        .distinct()
-    )
-    keys = ["direction", "station_id", "window_date", "group_label"]
-    return count_operators(wins, "planned", keys, is_r, scans)
+    wins = shares.select(*POOL_DAY, "planned").distinct()
+    return count_operators(wins, "planned", POOL_DAY, F.col("direction") == RECEIVE, scans)
 
 
 @dataclass(frozen=True)
@@ -135,7 +137,7 @@ def shift_frames(
     windows = window_table(inputs.planning)
     shares = materialize(event_share_frame(inputs, windows, as_of, share_scale))
     curves = curve_stats(
-        shares, EVENT_KEYS, volume_pct, span_pct,
+        shares, WINDOW_DAY, volume_pct, span_pct,
         shift_label="planned", shift_if=F.col("direction") == DISPATCH,
     )
     summary = materialize(window_summary(shares, curves, event_operators(shares, inputs.scans)))
@@ -148,14 +150,11 @@ def window_summary(shares: DataFrame, curves: DataFrame, operators: DataFrame) -
     label, so windows sharing that label see each other's curves) and
     operators. The first join needs no exchange: both sides come from the
     shares, which are partitioned by its keys."""
-    base = shares.select(*EVENT_KEYS, "window_total").distinct()
-    group_label = F.when(F.col("direction") == RECEIVE, F.col("window_label")).otherwise(F.col("planned"))
-    ops = operators.withColumnRenamed("group_label", "_group_label")
+    base = shares.select(*WINDOW_DAY, "pool_no", *WINDOW_TEXTS, "window_total").distinct()
     return (
-        base.join(curves.select(*DIRECTION_JOIN, *CURVE_COLUMNS), DIRECTION_JOIN, "left")
-        .withColumn("_group_label", group_label)
-        .join(ops, ["direction", "station_id", "window_date", "_group_label"], "left")
-        .drop("_group_label")
+        base.join(curves.select(*GROUP_DAY, *CURVE_COLUMNS), GROUP_DAY, "left")
+        .join(operators, POOL_DAY, "left")
+        .drop("group_no", "window_no", "pool_no")
     )
 
 
