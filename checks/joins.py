@@ -37,7 +37,7 @@ def main() -> dict[str, int]:
     log_dir = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     from pyspark.sql import functions as F
 
-    from hubflow.operators.staffing import day_cuts, operators_per_window, window_intervals
+    from hubflow.operators.staffing import hour_cuts, operators_per_window, window_intervals
     from hubflow.session import local_session
 
     spark = local_session(4, "hubflow-joins", **{
@@ -55,7 +55,7 @@ def main() -> dict[str, int]:
     )
     operators_per_window(shares, scans).collect()
     intervals = window_intervals(shares, "receive_planned", True)
-    segments = len(day_cuts(intervals).first().cuts)
+    segments = 24 + hour_cuts(intervals).select(F.sum(F.size("cuts"))).first()[0]
     spark.stop()
     hours = [[int(x[:2]) * 3600 for x in w[3].split(" às ")] for w in windows]
     pairs = sum(lo <= i % 80_000 <= hi for i in range(SCANS) for lo, hi in hours)

@@ -39,14 +39,14 @@ from hubflow.operators.segments import (  # noqa: F401
     RECEIVE,
     hour_cells,
     hour_cover,
+    placed_events,
+    segment_counts,
     segment_profile,
-    shipment_hours,
     window_dictionary,
 )
 from hubflow.operators.staffing import (  # noqa: F401
     count_operators,
-    covered_segments,
-    day_cuts,
+    hour_cuts,
     operator_scans,
     operators_in_dispatch,
     operators_per_window,

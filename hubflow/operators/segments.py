@@ -3,24 +3,23 @@
 Every bound of a station's windows cuts the clock. Between two cuts all events
 are inside the same windows, so an event needs no window: it is placed in the
 clock segment that its minute falls in, named by the minute at which the segment
-begins within the hour (0..59). Events become one row per (direction, station,
-day, hour, shipment) with the set of its segments as a 64-bit mask, and these
-become counts per mask. Only those counts, a few rows an hour, meet the windows:
-a window counts a mask that shares a segment with it.
+begins within the hour (0..59). A shipment's events of an hour become one row per
+segment, with the set of all its segments in that hour as a 64-bit mask, and
+these become counts per (mask, segment). Only the counts, a few rows an hour
+however many shipments there are, meet the windows.
 
 The result is exactly that of joining each event with each window of its
 station and counting distinct shipments:
 
-* a shipment with several events in an hour is one row, with all their segments;
-* first instants are kept per segment, not per mask (the second grouping set of
-  the same pass);
+* a window counts the shipments of a mask at the first of its segments that lies
+  in the window, so once, and takes first instants from all that do;
 * a window that passes midnight and begins and ends in one hour (23:30 to 23:10)
   takes that hour's events from two days. There alone a shipment could be
-  counted twice, and for these window hours the shipments themselves are
-  expanded and counted again as a set.
+  counted twice, so in such an hour of its station shipments stay rows of their
+  own, and that window counts them as a set.
 
-Windows travel as small integers (``window_dictionary``), their texts are joined
-back at the end."""
+The facts are exchanged once, the counts once. Windows travel as small integers
+(``window_dictionary``), their texts are joined back at the end."""
 
 from __future__ import annotations
 
@@ -33,16 +32,16 @@ from hubflow.operators.filters import drop_label
 
 RECEIVE, DISPATCH = "receive", "dispatch"
 SITE = ["direction", "station_id"]
-#: Numbers of a window: itself, its label (the windows whose totals and curves
-#: meet), and the label that its operators are pooled by.
-WINDOW_NUMBERS = ["window_no", "group_no", "pool_no"]
+#: Over how many keys the shipments of a station's hour are dealt.
+SALTS = 32
 WINDOW_TEXTS = ["window_label", "planned", "expanded"]
 
 
 def window_dictionary(windows: DataFrame) -> DataFrame:
     """One row per direction, station and distinct window of that direction:
-    its numbers, texts and clock bounds (``lo``, ``hi``). Numbers are dense
-    within a direction and station, and depend on the labels alone. A receive
+    its texts, clock bounds (``lo``, ``hi``) and numbers: ``window_no`` its own,
+    ``group_no`` of its label (windows whose totals and curves meet), ``pool_no``
+    of the label that its operators are pooled by. Numbers are dense within a direction and station, and depend on the labels alone. A receive
     window planned with several dispatch windows is one row, and so the other
     way round. Windows without a label or a bound hold nothing and are left
     out."""
@@ -57,7 +56,7 @@ def window_dictionary(windows: DataFrame) -> DataFrame:
         F.col("dispatch_planned").alias("planned"), F.col("dispatch_expanded").alias("expanded"),
         F.col("dispatch_start").alias("lo"), F.col("dispatch_end").alias("hi"),
     )
-    known = drop_label(receive.unionByName(dispatch)).dropna(subset=["lo", "hi"]).distinct()
+    known = drop_label(receive.unionByName(dispatch)).dropna(subset=["lo", "hi"]).repartition(*SITE).distinct()
     site = Window.partitionBy(*SITE)
     pool = F.when(F.col("direction") == RECEIVE, F.col("window_label")).otherwise(F.col("planned"))
     return known.select(
@@ -70,23 +69,26 @@ def window_dictionary(windows: DataFrame) -> DataFrame:
 
 def hour_cells(dictionary: DataFrame) -> DataFrame:
     """Each direction, station and hour of the day with the minutes at which its
-    clock segments begin (``starts``: 0 and each cut within the hour). A station
-    has at most as many cuts as the clock has minutes. Hours come from an
+    clock segments begin (``starts``: 0 and each cut within the hour); ``split``
+    if some window takes the hour from two days. A station has at most as many cuts as the clock has minutes. Hours come from an
     explode after the aggregation, so that a join with the cells has an exchange
     of its own, in which AQE can split a station of very many facts."""
     cuts = F.flatten(F.collect_set(F.array(F.col("lo"), F.col("hi") + 1)))
-    sites = dictionary.groupBy(*SITE).agg(F.array_distinct(cuts).alias("cuts"))
-    hours = sites.select(*SITE, "cuts", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    lo, hi = F.floor(F.col("lo") / 100), F.floor(F.col("hi") / 100)
+    two_days = F.collect_set(F.when((F.col("lo") > F.col("hi")) & (lo == hi), lo.cast("int")))
+    sites = dictionary.groupBy(*SITE).agg(F.array_distinct(cuts).alias("cuts"), two_days.alias("two_days"))
+    hours = sites.select(*SITE, "cuts", "two_days", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
     minutes = F.transform("cuts", lambda c: c - F.col("hour") * 100)
     inside = F.filter(minutes, lambda m: (m > 0) & (m < 60))
-    return hours.select(*SITE, "hour", F.array_sort(F.array_union(F.array(F.lit(0)), inside)).alias("starts"))
+    starts = F.array_sort(F.array_union(F.array(F.lit(0)), inside))
+    return hours.select(*SITE, "hour", starts.alias("starts"), F.array_contains("two_days", F.col("hour")).alias("split"))
 
 
 def hour_cover(dictionary: DataFrame, cells: DataFrame) -> DataFrame:
     """The segments of each hour that lie in each window (``covers``, a mask by
     the minute at which they begin) and ``shift``, the days from the event's to
-    the window's date. ``split`` marks the hours that a window takes from two
-    days."""
+    the window's date. ``as_set`` marks the hours that this window takes from
+    two days."""
     day = F.to_date(F.lit("2000-01-02"))
     hm = F.col("hour") * 100 + F.col("start")
     segments = cells.select(*SITE, "hour", F.explode("starts").alias("start"))
@@ -97,35 +99,48 @@ def hour_cover(dictionary: DataFrame, cells: DataFrame) -> DataFrame:
         .groupBy(*keys, "shift")
         .agg(F.bit_or("bit").alias("covers"))
     )
-    return covers.withColumn("split", F.count("*").over(Window.partitionBy(*keys)) > 1)
+    return covers.withColumn("as_set", F.count("*").over(Window.partitionBy(*keys)) > 1)
 
 
 def _bit(minute: str) -> Column:
     return F.expr(f"shiftleft(1L, {minute})")
 
 
-def shipment_hours(events: DataFrame, cells: DataFrame) -> DataFrame:
-    """Events (direction, station, shipment, ``event_at``, ``event_hhmm``)
-    reduced in one pass and one exchange. Rows with ``by_segment`` 0: a shipment's
-    segments in an hour (``mask``); 1: the first instant of a segment."""
+def placed_events(events: DataFrame, cells: DataFrame) -> DataFrame:
+    """Events (direction, station, shipment, ``event_at``, ``event_hhmm``) in
+    their clock segments, ``start``. A station's hour is dealt by shipment over
+    ``SALTS`` keys, so that a very large station is spread over many tasks."""
     hour = F.floor(F.col("event_hhmm") / 100).cast("int")
     minute = F.col("event_hhmm") % 100
-    placed = (
+    salt = F.pmod(F.xxhash64(F.coalesce("shipment_id", F.unix_micros(F.col("event_at").cast("timestamp")))), F.lit(SALTS)).cast("int")
+    return (
         events.withColumn("hour", hour)
         .join(cells, [*SITE, "hour"])
         .select(
             *SITE,
             F.to_date("event_at").alias("day"),
             "hour",
+            salt.alias("salt"),
             "shipment_id",
             F.array_max(F.filter("starts", lambda s: s <= minute)).alias("start"),
+            "split",
             "event_at",
         )
-        .withColumn("bit", _bit("start"))
+        .repartition(*SITE, "day", "hour", "salt")
     )
-    base = [*SITE, "day", "hour"]
-    sets = placed.groupingSets([[*base, "shipment_id"], [*base, "start"]], *base, "shipment_id", "start")
-    return sets.agg(F.bit_or("bit").alias("mask"), F.min("event_at").alias("first_at"), F.grouping("shipment_id").alias("by_segment"))
+
+
+def segment_counts(placed: DataFrame) -> DataFrame:
+    """``placed_events`` to, per station, day, hour, set of segments (``mask``)
+    and segment of the set: the shipments with that set (``n``) and the first
+    instant in the segment; in ``split`` hours one row a shipment, with its id.
+    Nothing is exchanged; a salt counts on its own."""
+    base = [*SITE, "day", "hour", "salt"]
+    once = placed.groupBy(*base, "split", "shipment_id", "start").agg(F.min("event_at").alias("first_at"))
+    mask = F.bit_or(_bit("start")).over(Window.partitionBy(*base, "shipment_id"))
+    kept = F.when(F.col("split"), F.col("shipment_id")).alias("kept_id")
+    counts = once.select("*", mask.alias("mask"), kept).groupBy(*base, "mask", "start", "kept_id")
+    return counts.agg(F.count("shipment_id").alias("n"), F.min("first_at").alias("first_at"))
 
 
 def segment_profile(events: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -133,23 +148,17 @@ def segment_profile(events: DataFrame, dictionary: DataFrame) -> DataFrame:
     date and hour of day, windows by number. The rows are partitioned by
     direction, station, ``group_no`` and window date."""
     cells = hour_cells(dictionary)
-    cover = hour_cover(dictionary, cells)
-    rows = shipment_hours(events, cells)
-    a_shipment = (F.col("by_segment") == 0) & F.col("shipment_id").isNotNull()
-    masks = rows.groupBy(*SITE, "day", "hour", "mask").agg(
-        F.count(F.when(a_shipment, 1)).alias("n"),
-        F.min(F.when(F.col("by_segment") == 1, F.col("first_at"))).alias("first_at"),
+    counts = segment_counts(placed_events(events, cells))
+    shared = F.col("mask").bitwiseAND(F.col("covers"))
+    is_first = shared.bitwiseAND(-shared) == _bit("start")
+    window = [*SITE, "group_no", "window_no", F.date_add("day", F.col("shift")).alias("window_date"), "hour"]
+    met = (
+        counts.join(hour_cover(dictionary, cells), [*SITE, "hour"])
+        .filter(_bit("start").bitwiseAND(F.col("covers")) != 0)
+        .select(*window, F.when(is_first & ~F.col("as_set"), F.col("n")).otherwise(0).alias("n"), F.when(F.col("as_set"), F.col("kept_id")).alias("kept_id"), "first_at")
     )
-    shared = F.col("mask").bitwiseAND(F.col("covers")) != 0
-    date = F.date_add("day", F.col("shift")).alias("window_date")
-    keys = [*SITE, "group_no", "window_no", "window_date", "hour"]
-    once = F.when(F.col("split"), F.lit(0)).otherwise(F.col("n")).alias("n")
-    counted = masks.join(cover, [*SITE, "hour"]).filter(shared).select(*SITE, "group_no", "window_no", date, "hour", once, "first_at")
-    twice = rows.filter(a_shipment).join(cover.filter("split"), [*SITE, "hour"]).filter(shared)
-    recounted = twice.select(*SITE, "group_no", "window_no", date, "hour", "shipment_id").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
-    both = counted.unionByName(recounted.withColumn("first_at", F.lit(None).cast("timestamp_ntz")))
     return (
-        both.repartition(*SITE, "group_no", "window_date")
-        .groupBy(*keys)
-        .agg(F.min("first_at").alias("first_at"), F.sum("n").alias("shipments"))
+        met.repartition(*SITE, "group_no", "window_date")
+        .groupBy(*SITE, "group_no", "window_no", "window_date", "hour")
+        .agg(F.min("first_at").alias("first_at"), (F.sum("n") + F.count_distinct("kept_id")).alias("shipments"))
     )

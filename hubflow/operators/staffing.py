@@ -7,8 +7,8 @@ the two cases have different scan days, so they never overlap and the
 rewrite is exact.
 
 Windows of a station overlap, so scans don't meet intervals. The bounds of all
-intervals cut a station-day into elementary intervals; each scan is placed in
-exactly one of them, and of the scans only the distinct (elementary interval,
+intervals, and the hours, cut a station-day into elementary intervals; each scan
+is placed in exactly one of them, and of the scans only the distinct (elementary interval,
 operator) are kept. These fan out to the windows that cover the interval. So a
 scan is one row however many windows overlap, and the fan-out is bounded by
 intervals and operators, not by scans.
@@ -95,40 +95,22 @@ def _after(instant: str) -> Column:
     return F.col(instant) + F.make_dt_interval(secs=F.lit(0.000001))
 
 
-def day_cuts(intervals: DataFrame) -> DataFrame:
-    """One row per station and scan day: ``cuts``, where its intervals begin or
-    are over, in order. Labels name minutes, so a day has at most as many
-    cuts as there are two-digit hours and minutes, twice."""
-    bounds = F.collect_set(F.array(F.col("lo"), _after("hi")))
-    return intervals.filter("lo <= hi").groupBy("station_id", "scan_date").agg(F.array_sort(F.array_distinct(F.flatten(bounds))).alias("cuts"))
-
-
-def hour_cuts(cuts: DataFrame) -> DataFrame:
-    """Each hour of a station-day with the cuts that its scans may follow: the
-    last one at or before the hour begins, and those within it."""
-    hours = cuts.select("*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    begin = F.col("scan_date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour"))
-    over = F.col("scan_date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour") + 1)
-    before = F.array_max(F.filter("cuts", lambda c: c <= begin))
-    within = F.filter("cuts", lambda c: (c > begin) & (c < over))
-    near = F.when(before.isNull(), within).otherwise(F.concat(F.array(before), within))
-    return hours.select("station_id", "scan_date", "hour", near.alias("cuts")).filter(F.size("cuts") > 0)
+def hour_cuts(intervals: DataFrame) -> DataFrame:
+    """One row per station, scan day and hour in which intervals begin or are
+    over, with these instants (``cuts``). Labels name minutes, so an hour has at
+    most two cuts for each."""
+    bounds = intervals.filter("lo <= hi").select("station_id", "scan_date", F.explode(F.array(F.col("lo"), _after("hi"))).alias("cut"))
+    return bounds.groupBy("station_id", "scan_date", F.hour("cut").alias("hour")).agg(F.collect_set("cut").alias("cuts"))
 
 
 def scan_segments(scans: DataFrame, cuts: DataFrame) -> DataFrame:
     """Distinct (station, scan day, elementary interval, operator) of
-    ``scan_rows``; an interval is named by the cut at which it begins."""
-    placed = scans.withColumn("hour", F.hour("scan_at")).join(hour_cuts(cuts), ["station_id", "scan_date", "hour"])
-    segment = F.array_max(F.filter("cuts", lambda c: c <= F.col("scan_at")))
-    return placed.select("station_id", "scan_date", segment.alias("segment"), "operator_name").filter("segment IS NOT NULL").distinct()
-
-
-def covered_segments(intervals: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct elementary intervals of each group ``keys`` of intervals."""
-    covered = F.filter("cuts", lambda c: c.between(F.col("lo"), F.col("hi")))
-    met = intervals.join(cuts, ["station_id", "scan_date"])
-    own = [F.col(k).alias(f"_{k}") for k in keys]
-    return met.select(*own, "station_id", "scan_date", F.explode(covered).alias("segment")).distinct()
+    ``scan_rows``. An interval is named by the instant at which it begins: a cut,
+    or the hour."""
+    placed = scans.withColumn("hour", F.hour("scan_at")).join(cuts, ["station_id", "scan_date", "hour"], "left")
+    cut = F.array_max(F.filter("cuts", lambda c: c <= F.col("scan_at")))
+    segment = F.greatest(F.date_trunc("hour", F.col("scan_at")).cast("timestamp_ntz"), cut)
+    return placed.select("station_id", "scan_date", segment.alias("segment"), "operator_name").distinct()
 
 
 def count_operators(
@@ -138,12 +120,11 @@ def count_operators(
     interval(s) of each row of ``windows`` (station_id, window_date, label),
     which is read twice."""
     intervals = window_intervals(windows, label_col, next_day)
-    cuts = day_cuts(intervals)
-    segments = scan_segments(scan_rows(scans), cuts)
+    segments = scan_segments(scan_rows(scans), hour_cuts(intervals))
     return (
-        covered_segments(intervals, cuts, group_keys)
-        .join(segments, ["station_id", "scan_date", "segment"])
-        .groupBy(*[F.col(f"_{k}").alias(k) for k in group_keys])
+        segments.join(intervals, ["station_id", "scan_date"])
+        .filter(F.col("segment").between(F.col("lo"), F.col("hi")))
+        .groupBy(*group_keys)
         .agg(F.count_distinct("operator_name").alias("operators"))
     )
 

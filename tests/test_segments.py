@@ -10,8 +10,8 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from hubflow.operators.segments import hour_cells, segment_profile, shipment_hours, window_dictionary
-from hubflow.operators.staffing import covered_segments, day_cuts, operators_per_window, scan_rows, scan_segments, window_intervals
+from hubflow.operators.segments import SALTS, hour_cells, placed_events, segment_counts, segment_profile, window_dictionary
+from hubflow.operators.staffing import hour_cuts, operators_per_window, scan_rows, scan_segments, window_intervals
 from hubflow.operators.windows import window_table
 from hubflow.sources.testdata import PLANNING_COLUMNS
 from tests.conftest import ROOT
@@ -98,15 +98,16 @@ def test_a_shipment_on_both_days_of_a_split_hour_counts_once(spark):
 
 
 def test_facts_are_not_multiplied_by_windows(spark):
-    """Many overlapping windows: at most one row per shipment and hour, and one
-    per segment and hour, whatever the windows."""
+    """Many overlapping windows: one row per event, whatever the windows; what
+    meets them is bounded by segments and salts, whatever the events."""
     planning = [("0", f"{h:02d}:{m:02d}:00", "20:00:00", "21:00:00", "22:00:00") for h in range(2, 18) for m in (0, 10, 20, 30)]
     cells = hour_cells(window_dictionary(window_table(spark.createDataFrame(planning, ", ".join(f"{c} string" for c in PLANNING_COLUMNS)))))
     assert cells.filter("size(starts) > 1").count() > 10
-    rows = [("receive", "0", i, BASE + dt.timedelta(hours=12, seconds=i % 3600)) for i in range(2000)]
-    got = shipment_hours(frame(spark, rows), cells).groupBy("by_segment").count().collect()
-    counts = {r.by_segment: r["count"] for r in got}
-    assert counts[0] == 2000 and counts[1] <= 60
+    rows = [("receive", "0", i, BASE + dt.timedelta(hours=12, seconds=i % 3600)) for i in range(4000)]
+    placed = placed_events(frame(spark, rows), cells)
+    assert placed.count() == 4000
+    counts = segment_counts(placed)
+    assert counts.count() <= 4 * SALTS and counts.agg(F.sum("n")).first()[0] == 4000
 
 
 def test_scans_are_not_multiplied_by_windows(spark):
@@ -115,12 +116,10 @@ def test_scans_are_not_multiplied_by_windows(spark):
     scans = [(0, BASE + dt.timedelta(seconds=i * 17), f"op{i % 5}", 1) for i in range(5000)]
     log = spark.createDataFrame(scans, "station_id long, datetime timestamp_ntz, operator_name string, bin_received_attempt int")
     intervals = window_intervals(shares, "receive_planned", True)
-    cuts = day_cuts(intervals)
+    cuts = hour_cuts(intervals)
     parts = scan_segments(scan_rows(log), cuts)
     n_cuts = cuts.select(F.sum(F.size("cuts"))).first()[0]
-    assert parts.count() <= n_cuts * 5 < 5000
-    covered = covered_segments(intervals, cuts, ["window_label"])
-    assert covered.count() <= 120 * n_cuts
+    assert parts.count() <= (n_cuts + 24) * 5 < 5000
     got = {r.window_label: r.operators for r in operators_per_window(shares, log).collect()}
     assert got == {w[2]: 5 for w in windows}
 
