@@ -46,6 +46,9 @@ def local_session(cores: int = 8, app: str = "hubflow", **conf) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # checkpointed frames have no size, so Spark takes them for large and reads
+        # a small scan log once more to filter them by
+        .config("spark.sql.optimizer.runtime.bloomFilter.enabled", "false")
         # small shuffles still use all cores
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
