@@ -19,19 +19,27 @@ lower-cased.
 * Candidates are verified by exact edit distance: the part against the words
   around the window, and where it is near, the whole item against the words of
   the document around it, so the result has no false pair.
+* A part that several items share (a question template) is searched once. An
+  item that shares it is tried only where the document holds one of its rarest
+  word pairs around the part. An edit destroys two pairs at most, so of one pair
+  more than twice the edits one is left, and no item is lost.
 
 Parts are grouped by length into classes (``CLASS_RATIO``); windows start at
 every word of every document, once per class. Before they are embedded, windows
 are dropped that can't be within the edits allowed: an edit destroys at most two
 of a part's word pairs and three of its triples, so a window must keep a number
-of pairs and triples that occur in parts. After that, windows are dropped whose
+of pairs and triples that occur in parts (of five words: a triple, or the first
+and the last two words). After that, windows are dropped whose
 signature no part has in any table. Both tests look at bitmaps of fixed size
 (``BITMAP_BITS``), whatever the number of items; these let some windows through
 to the join and never lose one.
 
-Defined cases: null or empty texts and items match nothing; items with fewer
-than ``MIN_ITEM_WORDS`` words are not searched, as they occur everywhere; equal
-items are all reported; null ids are reported as null; rows equal in id and
+Items with fewer than ``MIN_ITEM_WORDS`` words allow no edit: they are found by
+equality of word sequences, without an embedding. ``drop_leaks`` keeps documents
+that hold only such items.
+
+Defined cases: null or empty texts and items match nothing; very long texts are
+searched whole, a few arrays of their length at a time; equal items are all reported; null ids are reported as null; rows equal in id and
 text are reported once; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -43,8 +51,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import row_slices, staged, table
 
@@ -61,6 +70,10 @@ TARGET_RECALL = 0.98
 BITMAP_BITS = 1 << 22
 SEED = 20240610
 WINDOWS_AT_ONCE = 4096
+WORDS_AT_ONCE = 1 << 18
+#: Words whose codes a task remembers, and the longest of them in bytes.
+CODES_KEPT = 1 << 18
+CODED_BYTES = 64
 
 _WORD = re.compile(r"[^\W_]+")
 _ODD = re.compile(r"[^\x00-\x7f\w]")  # beyond ASCII, neither letter nor digit
@@ -88,6 +101,21 @@ def codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+class WordCodes(dict):
+    """Codes of the words met last, as most words of a text were met before."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = xxhash.xxh64_intdigest(word)
+        if len(word) <= CODED_BYTES:
+            if len(self) >= CODES_KEPT:
+                self.clear()
+            self[word] = code
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def _bits(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return ((h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9) >> _U(64 - BITMAP_BITS.bit_length() + 1)).astype(np.int64)
@@ -103,6 +131,54 @@ def gram_bits(code: np.ndarray, n: int) -> np.ndarray:
     return _bits(h)
 
 
+def bits_at(code: np.ndarray, at: np.ndarray, offsets: tuple[int, ...], seed: int) -> np.ndarray:
+    """The bits of the words at ``at + offsets``."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(at), _U(seed))
+        for o in offsets:
+            h = h * _U(0x9E3779B97F4A7C15) + code[at + o]
+    return _bits(h)
+
+
+def part_bits(part: np.ndarray, c: int) -> np.ndarray:
+    """What the window filter knows of a part: its pairs, and by class its
+    triples and, of five words, the first two with the last two."""
+    triples = bits_at(part, np.arange(max(0, len(part) - 2)), (0, 1, 2), 100 * c + 3)
+    ends = bits_at(part, np.zeros(int(len(part) == 5), np.int64), (0, 1, 3, 4), 100 * c + 4)
+    return np.unique(np.concatenate((gram_bits(part, 2), triples, ends)))
+
+
+def near_starts(line: np.ndarray, pair: np.ndarray, known: np.ndarray, c: int, shape: tuple) -> np.ndarray:
+    """Where windows of a class start that may hold a part with one edit at
+    most. ``pair``: where the line has a known pair; triples and split pairs
+    are looked up only there."""
+    _, span, keep, _ = shape
+
+    def upto(hits, size):
+        sums = np.concatenate(([0], np.cumsum(hits, dtype=np.int32)))
+        end = np.minimum(np.arange(len(line)) + span - size + 1, len(hits))
+        return sums[end] - sums[np.minimum(np.arange(len(line)), len(hits))]
+
+    enough = upto(pair, 2) >= keep[2]
+    if keep[3] > 0 or min(class_lengths(c)) >= 5:
+        inner = np.zeros(max(0, len(line) - 2), bool)
+        at = np.flatnonzero(pair[:-1] & pair[1:])
+        inner[at] = known[bits_at(line, at, (0, 1, 2), 100 * c + 3)]
+        if keep[3] <= 0:
+            # six words or more keep a triple; five keep one, or both ends
+            # where the word between them is lost or replaced
+            for gap in (2, 3):
+                at = np.flatnonzero(pair[:-gap] & pair[gap:])
+                inner[at] |= known[bits_at(line, at, (0, 1, gap, gap + 1), 100 * c + 4)]
+        enough &= upto(inner, 3) >= max(keep[3], 1)
+    return np.flatnonzero(enough)
+
+
+def pair_hash(codes_: Column, i: Column) -> Column:
+    """The hash of the ``i``-th word (from 1) and the next one."""
+    return F.xxhash64(F.element_at(codes_, i), F.element_at(codes_, i + 1))
+
+
 def signature_bits(sigs: np.ndarray) -> np.ndarray:
     """The bits of (window, table) signatures."""
     with np.errstate(over="ignore"):
@@ -189,6 +265,11 @@ def edit_distance(item: np.ndarray, around: np.ndarray) -> tuple[int, int]:
     return int(edits[0]), int(end[0])
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
 def _matrix(col: pa.ListArray, at: np.ndarray) -> np.ndarray:
     """The lists ``at`` of a column, which are of one length, as rows."""
     lengths = col.value_lengths().to_numpy()
@@ -201,149 +282,131 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     items it leaks, with the fewest edits and where that stretch ends."""
     spark = docs.sparkSession
     id_type, item_type = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    given = items.select(F.xxhash64(F.col(item), F.col(item_text)).alias("iid"), F.col(item).alias("item_id"), F.col(item_text).alias("text"))
+    rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def prepare(batches):
         for part in row_slices(batches):
-            rows = []  # row, from, words, words of the item
+            out = []  # row, from, words, words of the item
             for i, w in enumerate(map(tokens, part.column(2).to_pylist())):
-                if len(w) >= MIN_ITEM_WORDS:
+                if w:
                     code = codes(w)
-                    rows += [(i, a, code[a:b], code) for a, b in cut(len(w), similarity)]
-            took = pa.array([r[0] for r in rows], pa.int64())
+                    out += [(i, a, code[a:b], code) for a, b in (cut(len(w), similarity) if len(w) >= MIN_ITEM_WORDS else [(0, len(w))])]
+            took = pa.array([r[0] for r in out], pa.int64())
+            c, n = [length_class(len(r[2])) for r in out], [len(r[3]) for r in out]
+            # how far an item may reach beyond its place if this part is found
+            slack = [edits_allowed(y, similarity) + class_shape(x, similarity, PART_EDITS)[1] - len(r[2]) + 3 * PART_EDITS for x, y, r in zip(c, n, out)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).take(took),
                     part.column(1).take(took),
-                    pa.array([length_class(len(r[2])) for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([len(r[3]) for r in rows], pa.int64()),
-                    pa.array([r[2].view(np.int64).tolist() for r in rows], pa.list_(pa.int64())),
-                    pa.array([np.unique(np.concatenate([gram_bits(r[2], g) for g in (2, 3)])).tolist() for r in rows], pa.list_(pa.int64())),
-                    pa.array([None if r[1] else r[3].view(np.int64).tolist() for r in rows], pa.list_(pa.int64())),
+                    pa.array(c, pa.int32()),
+                    pa.array([r[1] for r in out], pa.int64()),
+                    pa.array(n, pa.int64()),
+                    pa.array(slack, pa.int64()),
+                    pa.array(np.array([xxhash.xxh64_intdigest(r[2].tobytes()) for r in out], np.uint64).view(np.int64)),
+                    pa.array([r[2].view(np.int64).tolist() for r in out], pa.list_(pa.int64())),
+                    pa.array([None if r[1] else r[3].view(np.int64).tolist() for r in out], pa.list_(pa.int64())),
                 ],
-                ["iid", "item_id", "c", "at", "n", "words", "bits", "item"],
+                ["iid", "item_id", "c", "at", "n", "slack", "pid", "words", "item"],
             )
 
-    prepared = staged(
-        items.select(F.xxhash64(F.col(item), F.col(item_text)).alias("iid"), F.col(item).alias("item_id"), F.col(item_text).alias("text")).mapInArrow(
-            prepare, f"iid long, item_id {item_type}, c int, at long, n long, words array<long>, bits array<long>, item array<long>"
-        )
-    )
+    every = staged(given.mapInArrow(prepare, f"iid long, item_id {item_type}, c int, at long, n long, slack long, pid long, words array<long>, item array<long>").distinct())
+    prepared = every.where(F.col("n") >= MIN_ITEM_WORDS)
     classes = sorted(r["c"] for r in prepared.select("c").distinct().collect())  # few: lengths grow by a ratio
-    grams = spark.sparkContext.broadcast(bitmap(prepared.select(F.explode("bits").alias("bit"))))
+    shapes = {c: class_shape(c, similarity, PART_EDITS) for c in classes}
 
     def embed_parts(batches):
         for batch in batches:
-            c, words = batch.column(2).to_numpy(), batch.column(4).to_pylist()
+            c, words = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for one in np.unique(c):
                 at = np.flatnonzero(c == one)
                 wide = np.zeros((len(at), max(len(words[i]) for i in at)), np.int64)
                 for r, i in enumerate(at):
                     wide[r, : len(words[i])] = words[i]
                 sig = signatures(wide.view(np.uint64), int(one))
+                grams = [part_bits(np.array(words[i], np.int64).view(np.uint64), int(one)).tolist() for i in at]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(k).take(pa.array(at)) for k in range(4)),
+                        *(batch.column(k).take(pa.array(at)) for k in range(2)),
                         pa.array(sig.tolist(), pa.list_(pa.int64())),
                         pa.array(signature_bits(sig).tolist(), pa.list_(pa.int64())),
+                        pa.array(grams, pa.list_(pa.int64())),
                     ],
-                    ["iid", "item_id", "c", "at", "sigs", "bits"],
+                    ["c", "pid", "sigs", "bits", "grams"],
                 )
 
-    of_parts = staged(
-        prepared.select("iid", "item_id", "c", "at", "words").mapInArrow(embed_parts, f"iid long, item_id {item_type}, c int, at long, sigs array<long>, bits array<long>")
-    )
+    # a part that many items share is searched once
+    texts_of_parts = prepared.select("c", "pid", "words").distinct()
+    of_parts = staged(texts_of_parts.mapInArrow(embed_parts, "c int, pid long, sigs array<long>, bits array<long>, grams array<long>"))
+    grams = spark.sparkContext.broadcast(bitmap(of_parts.select(F.explode("grams").alias("bit"))))
     signed = spark.sparkContext.broadcast(bitmap(of_parts.select(F.explode("bits").alias("bit"))))
-    shapes = {c: class_shape(c, similarity, PART_EDITS) for c in classes}
 
     def windows(batches):
         known, known_signature = (np.unpackbits(x.value).astype(bool) for x in (grams, signed))
-        held = {c: [] for c in classes}  # per class: row, doc id, start, words around, window
-
-        def flush(c):
-            rows, held[c] = held[c], []
-            _, span, _, edits = shapes[c]
-            wide = np.stack([r[3][edits : edits + span] for r in rows])
-            sig = signatures(wide, c)
-            near = np.flatnonzero(known_signature[signature_bits(sig)].any(1))
-            rows, sig = [rows[i] for i in near], sig[near]
-            if not rows:
-                return
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.concat_arrays([r[1] for r in rows]),
-                    pa.array([c] * len(rows), pa.int32()),
-                    pa.array([r[2] for r in rows], pa.int64()),
-                    pa.array([r[3].view(np.int64).tolist() for r in rows], pa.list_(pa.int64())),
-                    pa.array(sig.tolist(), pa.list_(pa.int64())),
-                ],
-                ["rid", "doc_id", "c", "start", "around", "sigs"],
-            )
+        gap = max((span + 2 * edits for _, span, _, edits in shapes.values()), default=0)
+        seen = WordCodes()
+
+        def search(rids, ids, texts):
+            # all texts one after the other, with a gap that no window bridges
+            pad = np.zeros(gap, np.uint64)
+            line = np.concatenate([pad, *(x for t in texts for x in (t, pad))])
+            lengths = np.array([len(t) for t in texts])
+            first = gap + np.concatenate(([0], np.cumsum(lengths + gap)[:-1]))
+            pair = known[gram_bits(line, 2)]
+            for c in classes:
+                _, span, _, edits = shapes[c]
+                start = near_starts(line, pair, known, c, shapes[c])
+                own = np.searchsorted(first, start, "right") - 1
+                start, own = (x[(own >= 0) & (start < first[own] + lengths[own])] for x in (start, own))
+                for at in range(0, len(start), WINDOWS_AT_ONCE):
+                    s, o = start[at : at + WINDOWS_AT_ONCE], own[at : at + WINDOWS_AT_ONCE]
+                    sig = signatures(line[s[:, None] + np.arange(span)], c)
+                    near = np.flatnonzero(known_signature[signature_bits(sig)].any(1))
+                    s, o, sig = s[near], o[near], sig[near]
+                    if not len(s):
+                        continue
+                    around = line[s[:, None] + np.arange(-edits, span + edits)].view(np.int64)
+                    took = pa.array(o)
+                    yield pa.RecordBatch.from_arrays(
+                        [rids.take(took), ids.take(took), pa.array(np.full(len(s), c, np.int32)), pa.array(s - first[o]), _lists(around), _lists(sig)],
+                        ["rid", "doc_id", "c", "start", "around", "sigs"],
+                    )
 
         for part in row_slices(batches):
-            for i, (rid, text_) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
-                code = codes(tokens(text_))
-                if len(code) < 2:
-                    continue
-                reach = max(shapes[c][1] for c in classes) if classes else 0
-                upto = {}
-                for g in (2, 3):
-                    sums = np.cumsum(known[gram_bits(code, g)])
-                    upto[g] = np.concatenate(([0], sums, np.full(len(code) + reach - len(sums), sums[-1] if len(sums) else 0)))
-                for c in classes:
-                    _, span, keep, edits = shapes[c]
-                    enough = np.ones(len(code), bool)
-                    for g, least in keep.items():
-                        grams_in = span - g + 1
-                        enough &= upto[g][grams_in : grams_in + len(code)] - upto[g][: len(code)] >= least
-                    start = np.flatnonzero(enough)
-                    if not len(start):
-                        continue
-                    padded = np.concatenate((np.zeros(edits, np.uint64), code, np.zeros(span + edits, np.uint64)))
-                    doc_id = part.column(1).slice(i, 1)
-                    held[c] += [(rid, doc_id, int(s), padded[s : s + span + 2 * edits]) for s in start]
-                    if len(held[c]) >= WINDOWS_AT_ONCE:
-                        yield from flush(c)
-        for c in classes:
-            if held[c]:
-                yield from flush(c)
+            texts, at = [], 0
+            for i, text_ in enumerate(part.column(2).to_pylist()):
+                texts.append(seen.of(tokens(text_)))
+                if i + 1 == part.num_rows or sum(map(len, texts)) >= WORDS_AT_ONCE:
+                    yield from search(part.column(0).slice(at, len(texts)), part.column(1).slice(at, len(texts)), texts)
+                    texts, at = [], i + 1
 
-    rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = staged(rows.mapInArrow(windows, f"rid long, doc_id {id_type}, c int, start long, around array<long>, sigs array<long>"))
-    tables = of_parts.select("iid", "item_id", "c", "at", F.posexplode("sigs").alias("t", "sig"))
+    tables = of_parts.select("c", "pid", F.posexplode("sigs").alias("t", "sig")).distinct()
     hits = found.select("rid", "doc_id", "c", "start", F.posexplode("sigs").alias("t", "sig")).join(tables, ["c", "t", "sig"])
     # rid and iid name a row but for collisions, which the ids tell apart
-    candidates = staged(hits.select("rid", "doc_id", "c", "start", "iid", "item_id", "at").distinct())
+    candidates = staged(hits.select("rid", "doc_id", "c", "start", "pid").distinct())
     around = found.select("rid", F.col("doc_id").alias("found_id"), "c", "start", "around")
-    parts = prepared.select("iid", F.col("item_id").alias("i_id"), "at", "n", "words").distinct()
     checked = (
         candidates.join(around, ["rid", "c", "start"])
         .where(F.col("doc_id").eqNullSafe(F.col("found_id")))
-        .join(parts, ["iid", "at"])
-        .where(F.col("item_id").eqNullSafe(F.col("i_id")))
-        .select("rid", "doc_id", "iid", "item_id", "start", "at", "n", "c", "words", "around")
+        .join(texts_of_parts, ["c", "pid"])
+        .select("rid", "doc_id", "pid", "start", "words", "around")
     )
 
     def verify_parts(batches):
         for batch in batches:
-            start, at, n, c = (batch.column(k).to_numpy() for k in range(4, 8))
-            words, around_ = batch.column(8), batch.column(9)
-            size, least, place, slack = words.value_lengths().to_numpy(), *(np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            for one, m in set(zip(c.tolist(), size.tolist())):
-                rows = np.flatnonzero((c == one) & (size == m))
-                least[rows], end = edit_distances(_matrix(words, rows), _matrix(around_, rows))
-                # where the item starts if no other part is edited, and how far
-                # off that may be, as stretches just as near may end elsewhere
-                place[rows] = start[rows] - PART_EDITS + end - m - at[rows]
-                slack[rows] = [edits_allowed(x, similarity) + shapes[one][1] - m + 3 * PART_EDITS for x in n[rows].tolist()]
+            start, words, around_ = batch.column(3).to_numpy(), batch.column(4), batch.column(5)
+            size, reach = words.value_lengths().to_numpy(), around_.value_lengths().to_numpy()
+            least, place = (np.zeros(batch.num_rows, np.int64) for _ in range(2))
+            for w, m in set(zip(reach.tolist(), size.tolist())):
+                some = np.flatnonzero((reach == w) & (size == m))
+                least[some], end = edit_distances(_matrix(words, some), _matrix(around_, some))
+                place[some] = start[some] - PART_EDITS + end - m
             took = pa.array(np.flatnonzero(least <= PART_EDITS))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(took) for k in range(4)), *(pa.array(x).take(took) for x in (place, place - slack, place + n + slack))],
-                ["rid", "doc_id", "iid", "item_id", "place", "low", "high"],
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(took) for k in range(3)), pa.array(place).take(took)], ["rid", "doc_id", "pid", "place"])
 
-    near = staged(checked.mapInArrow(verify_parts, f"rid long, doc_id {id_type}, iid long, item_id {item_type}, place long, low long, high long").distinct())
+    parts_found = staged(checked.mapInArrow(verify_parts, f"rid long, doc_id {id_type}, pid long, place long").distinct())
 
     def encode(batches):
         for part in row_slices(batches):
@@ -354,15 +417,45 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                 ["t_rid", "t_id", "codes"],
             )
 
-    hit = near.select(F.col("rid").alias("n_rid"), F.col("doc_id").alias("n_id")).distinct()
-    texts = rows.join(hit, (rows["rid"] == hit["n_rid"]) & rows["doc_id"].eqNullSafe(hit["n_id"]), "left_semi").mapInArrow(
-        encode, f"t_rid long, t_id {id_type}, codes array<long>"
+    def codes_of(some: DataFrame) -> DataFrame:
+        """``t_rid, t_id, codes`` of the documents in ``some`` (rid, doc_id)."""
+        hit = some.select(F.col("rid").alias("n_rid"), F.col("doc_id").alias("n_id")).distinct()
+        named = (rows["rid"] == hit["n_rid"]) & rows["doc_id"].eqNullSafe(hit["n_id"])
+        return rows.join(hit, named, "left_semi").mapInArrow(encode, f"t_rid long, t_id {id_type}, codes array<long>")
+
+    def with_stretch(some: DataFrame, low: Column, high: Column) -> DataFrame:
+        """``some`` with ``first`` and ``around``: the words from low to high."""
+        first = F.greatest(low, F.lit(0))
+        joined = some.join(codes_of(some), (F.col("rid") == F.col("t_rid")) & F.col("doc_id").eqNullSafe(F.col("t_id"))).withColumn("first", first)
+        return joined.withColumn("around", F.slice("codes", (F.col("first") + 1).cast("int"), F.greatest(high - F.col("first"), F.lit(0)).cast("int"))).drop("t_rid", "t_id", "codes")
+
+    # The items of a part. Where several share it, a document must also hold,
+    # near the part, one of the item's rarest pairs: edits destroy at most two
+    # pairs each, so of one more than that at least one is left.
+    shared = prepared.groupBy("pid").agg((F.count_distinct("iid", F.coalesce(F.col("item_id").cast("string"), F.lit(""))) > 1).alias("shared"))
+    ways = staged(prepared.join(shared, "pid").select("iid", "item_id", "pid", "at", "n", "slack", "shared"))
+    edits = F.floor(F.col("n") * (1 - similarity) + 1e-9)
+    pairs = prepared.where("at = 0").select(
+        "iid", "item_id", (2 * edits + 1).alias("need"), F.posexplode(F.transform(F.sequence(F.lit(1), (F.col("n") - 1).cast("int")), lambda i: pair_hash(F.col("item"), i))).alias("p", "pair")
+    )
+    often = pairs.groupBy("pair").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("iid", "item_id").orderBy("often", "p")
+    rare = pairs.join(often, "pair").withColumn("r", F.row_number().over(rarest)).where("r <= need").select("iid", F.col("item_id").alias("r_id"), "pair").distinct()
+    testable = F.col("shared") & (2 * edits + 1 <= F.col("n") - 1)
+    keyed = staged(
+        ways.where(testable).join(rare, "iid").where(F.col("item_id").eqNullSafe(F.col("r_id"))).select("iid", "item_id", "pid", "at", "n", "slack", "pair")
     )
+    plain = ways.where(~testable)
+    reach = keyed.groupBy("pid").agg(F.max(F.col("at") + F.col("slack")).alias("back"), F.max(F.col("n") - F.col("at") + F.col("slack")).alias("ahead"))
+    marked = with_stretch(staged(parts_found.join(reach, "pid")), F.col("place") - F.col("back"), F.col("place") + F.col("ahead"))
+    around_pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("around") - 1), lambda i: pair_hash(F.col("around"), i)))
+    held = marked.where(F.size("around") > 1).select("rid", "doc_id", "pid", "place", F.explode(around_pairs).alias("pair"))
+    located = F.col("place") - F.col("at")
+    wanted = ["rid", "doc_id", "iid", "item_id", located.alias("place"), (located - F.col("slack")).alias("low"), (located + F.col("n") + F.col("slack")).alias("high")]
+    near = staged(parts_found.join(plain, "pid").select(*wanted).unionByName(held.join(keyed, ["pid", "pair"]).select(*wanted)).distinct())
     whole = prepared.where("at = 0").select(F.col("iid").alias("w_iid"), F.col("item_id").alias("w_id"), F.col("item").alias("words")).distinct()
-    first = F.greatest(F.col("low"), F.lit(0))
     paired = (
-        near.join(texts, (F.col("rid") == F.col("t_rid")) & F.col("doc_id").eqNullSafe(F.col("t_id")))
-        .select("rid", "doc_id", "iid", "item_id", "place", first.alias("first"), F.slice("codes", (first + 1).cast("int"), (F.col("high") - first).cast("int")).alias("around"))
+        with_stretch(near, F.col("low"), F.col("high"))
         .join(whole, (F.col("iid") == F.col("w_iid")) & F.col("item_id").eqNullSafe(F.col("w_id")))
         .select("rid", "doc_id", "iid", "item_id", "place", "first", "words", "around")
         # the places of a pair follow each other, so one without edits settles it
@@ -398,12 +491,48 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     verified = paired.mapInArrow(verify, f"rid long, doc_id {id_type}, item_id {item_type}, edits long, item_words long, word_at long")
     best = F.min(F.struct("edits", "word_at", "item_words")).alias("b")
-    return verified.groupBy("rid", "doc_id", "item_id").agg(best).select("rid", "doc_id", "item_id", "b.edits", "b.item_words", "b.word_at")
+    leaked = verified.groupBy("rid", "doc_id", "item_id").agg(best).select("rid", "doc_id", "item_id", "b.edits", "b.item_words", "b.word_at")
+    short = every.where(F.col("n") < MIN_ITEM_WORDS)
+    sizes = [r["n"] for r in short.select("n").distinct().collect()]  # below MIN_ITEM_WORDS
+    if not sizes:
+        return leaked
+
+    def bit_of(batches):
+        for batch in batches:
+            grams_ = [gram_bits(np.array(x, np.int64).view(np.uint64), len(x))[0] for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(grams_, pa.int64())], ["bit"])
+
+    of_short = spark.sparkContext.broadcast(bitmap(short.select("item").mapInArrow(bit_of, "bit long")))
+
+    def equal(batches):
+        known, seen = np.unpackbits(of_short.value).astype(bool), WordCodes()
+        for part in row_slices(batches):
+            took, grams_, ends = [], [], []
+            for i, text_ in enumerate(part.column(2).to_pylist()):
+                code = seen.of(tokens(text_))
+                for n in sizes:
+                    at = np.flatnonzero(known[gram_bits(code, n)])
+                    once = {}
+                    for a in at.tolist():
+                        once.setdefault(code[a : a + n].tobytes(), a)
+                    took += [i] * len(once)
+                    grams_ += [code[a : a + n].view(np.int64).tolist() for a in once.values()]
+                    ends += [a + n for a in once.values()]
+            rows_ = pa.array(took, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(rows_), part.column(1).take(rows_), pa.array(grams_, pa.list_(pa.int64())), pa.array(ends, pa.int64())], ["rid", "doc_id", "gram", "word_at"]
+            )
+
+    equal_to = rows.mapInArrow(equal, f"rid long, doc_id {id_type}, gram array<long>, word_at long").distinct()
+    same = equal_to.join(short.select("item_id", "n", F.col("item").alias("gram")).distinct(), "gram")
+    return leaked.unionByName(same.select("rid", "doc_id", "item_id", F.lit(0).cast("long").alias("edits"), F.col("n").alias("item_words"), "word_at"))
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that leak no item."""
-    hit = staged(leaks(docs, items, key, text, item, item_text, similarity).select(F.col("rid").alias("l_rid"), F.col("doc_id").alias("l_id")).distinct())
+def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_ITEM_WORDS) -> DataFrame:
+    """The rows of ``docs`` that leak no item of ``min_words`` words or more:
+    shorter ones, such as "yes", occur in clean documents too."""
+    found = leaks(docs, items, key, text, item, item_text, similarity).where(F.col("item_words") >= min_words)
+    hit = staged(found.select(F.col("rid").alias("l_rid"), F.col("doc_id").alias("l_id")).distinct())
     rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.join(hit, (rows["rid"] == hit["l_rid"]) & rows["doc_id"].eqNullSafe(hit["l_id"]), "left_anti").select("row.*")
 

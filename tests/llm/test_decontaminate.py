@@ -29,7 +29,7 @@ def plain_leaks(docs, items):
         for i, t, *_ in items:
             item = dc.tokens(t)
             n = dc.edits_allowed(len(item))
-            if len(item) >= dc.MIN_ITEM_WORDS and sum(w in vocab for w in item) >= len(item) - n and plain_distance(item, words) <= n:
+            if item and sum(w in vocab for w in item) >= len(item) - n and plain_distance(item, words) <= n:
                 out.add((d, i))
     return out
 
@@ -137,7 +137,8 @@ def test_case_symbols_nulls_repeats_and_short_items(spark):
     bench = spark.createDataFrame([(*i, 0) for i in items], ITEMS)
     got = dc.leaks(df, bench).collect()
     assert sorted(((r.doc_id or -1), (r.item_id or -1), r.edits) for r in got) == [
-        (-1, 10, 0), (-1, 11, 0), (1, 10, 0), (1, 11, 0), (2, 10, 1), (2, 11, 1), (7, -1, 0), (7, 10, 0), (7, 11, 0),
+        (-1, 10, 0), (-1, 11, 0), (-1, 14, 0), (1, 10, 0), (1, 11, 0), (1, 14, 0), (2, 10, 1), (2, 11, 1), (2, 14, 0),
+        (6, 14, 0), (7, -1, 0), (7, 10, 0), (7, 11, 0), (7, 14, 0), (8, 14, 0),
     ]
     clean = dc.drop_leaks(df, bench)
     assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 6, 8]
@@ -167,3 +168,61 @@ def test_classes_cover_every_length():
 def test_both_ways_to_words_agree():
     for text in ["A_b c-d É1 ñ ß", "“x” – y_z… ´´ É2é", "", None, "### A&&& 1.5", "İstanbul ŉ ǆ"]:
         assert dc.tokens(text) == [w.encode() for w in dc._WORD.findall((text or "").lower())]
+
+
+def test_items_of_one_to_four_words_are_matched_by_equality(spark):
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 40))), 0, 0, 0) for i in range(200)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(1, 4))), 0) for i in range(60)]
+    got = dc.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+    assert {(r.doc_id, r.item_id) for r in got} == plain_leaks(docs, items) and {r.edits for r in got} == {0}
+    text = {d[0]: dc.tokens(d[1]) for d in docs}
+    by_id = {i[0]: dc.tokens(i[1]) for i in items}
+    assert all(text[r.doc_id][r.word_at - r.item_words : r.word_at] == by_id[r.item_id] for r in got)
+    clean = dc.drop_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    assert clean.count() == len(docs)
+
+
+def templated(n_items, n_docs, seed=3):
+    """Items that share a question template, documents that hold it alone, and
+    documents that hold an item with edits."""
+    rng = random.Random(seed)
+    stem = "which of the following statements is true about the"
+    items = [(i, f"{stem} {' '.join(f'a{rng.randrange(10**6)}' for _ in range(rng.randint(9, 20)))}", 0) for i in range(n_items)]
+    docs = [(i, f"{' '.join(f'y{rng.randrange(500)}' for _ in range(40))} {stem} {' '.join(f'y{rng.randrange(500)}' for _ in range(40))}", 0, 0, 0) for i in range(n_docs)]
+    for i in range(0, n_items, 4):
+        words = items[i][1].split()
+        for at in rng.sample(range(len(words)), dc.edits_allowed(len(words))):
+            words[at] = "z"
+        docs.append((n_docs + i, " ".join(words), 0, 0, 0))
+    return docs, items
+
+
+def test_a_shared_template_ships_a_few_rows_per_document(spark, monkeypatch):
+    docs, items = templated(200, 800)
+    counts = []
+    monkeypatch.setattr(dc, "staged", lambda df, real=dc.staged: counts.append(real(df)) or counts[-1])
+    got = dc.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(800 + i, i) for i in range(0, 200, 4)}
+    sizes = {tuple(df.columns): df.count() for df in counts if "rid" in df.columns}
+    assert all(n <= 30 * len(docs) for n in sizes.values()), sizes  # windows and tables, whatever the number of items
+    assert sizes["rid", "doc_id", "pid", "place"] <= 8 * len(docs)
+    assert sizes["rid", "doc_id", "iid", "item_id", "place", "low", "high"] <= len(docs)
+
+
+@pytest.mark.parametrize("m", range(5, 11))
+def test_the_window_filter_keeps_a_part_with_an_edit_at_any_word(m):
+    rng, c = np.random.default_rng(m), dc.length_class(m)
+    shape = dc.class_shape(c, edits=dc.PART_EDITS)
+    item = rng.integers(1, 1 << 62, m, dtype=np.uint64)
+    known = np.zeros(dc.BITMAP_BITS, bool)
+    known[dc.part_bits(item, c)] = True
+    for kind in ("substitute", "delete", "insert"):
+        for at in range(m):
+            new = rng.integers(1, 1 << 62, 0 if kind == "delete" else 1, dtype=np.uint64)
+            around = rng.integers(1, 1 << 62, (2, 30), dtype=np.uint64)
+            line = np.concatenate((around[0], item[:at], new, item[at + (kind != "insert") :], around[1]))
+            pair = known[dc.gram_bits(line, 2)]
+            assert 30 in dc.near_starts(line, pair, known, c, shape), (kind, at)
