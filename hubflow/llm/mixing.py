@@ -15,9 +15,12 @@ documents of one length is unbounded (a group of copies), so their cut is found
 by counting hash ranges first and ranking only inside the range of the cut.
 
 Defined cases: null text has size 0; null is a source of its own, the last;
-empty documents are never taken; no document at all gives no rows. Rows equal in
-id, source and text draw alike, so they are taken together or not at all.
-Columns besides the named ones are passed on.
+empty documents are never taken; no document at all gives no rows; of a very
+long text only the number of words matters. Rows equal in id, source and text
+draw alike; where the cut falls on such rows, as many of them are taken as are
+still wanted, numbered by input partition (of rows that differ in other columns,
+which ones depends on the partitions). Columns besides the named ones are passed
+on.
 """
 
 from __future__ import annotations
@@ -112,7 +115,8 @@ def _key(source: Column) -> Column:
 def plan_mix(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """``sized`` (source, size, h) to one row per source and size: ``k`` (the
     source's key), ``size``, ``source_size``, ``target``, ``repeats`` (taken
-    whole so often) and ``cut`` (once more if h is at most that; null: none)."""
+    whole so often), ``cut`` (once more if h is below that; null: none), ``equal``
+    (documents whose h is the cut) and ``ties`` (how many of these are taken)."""
     hist = staged(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     per_source = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, max_repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -135,19 +139,20 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS)
     ranges = F.ceil(F.sqrt("n"))  # as many ranges as documents in a range
     part = F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * ranges), ranges - 1).cast("long")
     drawn = sized.select(_key(F.col("source")).alias("k"), "size", "h").join(some, ["k", "size"])
-    drawn = staged(drawn.select("k", "size", "h", "extra", part.alias("part")))
-    counts = drawn.groupBy("k", "size", "part", "extra").agg(F.count("*").alias("m"))
+    # equal draws, a third of all rows perhaps, are one row with a count from here on
+    drawn = staged(drawn.groupBy("k", "size", "extra", part.alias("part"), "h").agg(F.count("*").alias("equal")))
+    counts = drawn.groupBy("k", "size", "part", "extra").agg(F.sum("equal").alias("m"))
     upto = F.sum("m").over(Window.partitionBy("k", "size").orderBy("part"))
     at_cut = counts.withColumn("upto", upto).where("upto >= extra and upto - m < extra")
     at_cut = staged(at_cut.select("k", "size", "part", (F.col("extra") - F.col("upto") + F.col("m")).alias("rank")))
-    ranked = drawn.join(at_cut, ["k", "size", "part"]).withColumn(
-        "r", F.row_number().over(Window.partitionBy("k", "size", "part").orderBy("h"))
+    ranked = drawn.join(at_cut, ["k", "size", "part"]).withColumn("r", F.sum("equal").over(Window.partitionBy("k", "size", "part").orderBy("h")))
+    cuts = ranked.where("r >= rank and r - equal < rank").select(
+        "k", "size", F.col("h").alias("cut"), "equal", (F.col("rank") - F.col("r") + F.col("equal")).alias("ties")
     )
-    cuts = ranked.where("r = rank").select("k", "size", F.col("h").alias("cut"))
     all_of_it = F.when((F.col("extra") >= F.col("n")) & (F.col("n") > 0), F.lit(2**63 - 1))
     return staged(
         plan.join(cuts, ["k", "size"], "left").select(
-            "k", "size", "source_size", "target", "repeats", F.coalesce("cut", all_of_it).alias("cut")
+            "k", "size", "source_size", "target", "repeats", F.coalesce("cut", all_of_it).alias("cut"), "equal", "ties"
         )
     )
 
@@ -158,10 +163,30 @@ def sizes_and_draws(docs: DataFrame, key: str, text: str, source: str, seed: int
     return [F.col(source).alias("source"), F.size(words(t)).cast("long").alias("size"), draw.alias("h")]
 
 
-def copies() -> Column:
-    """How often a row joined with its plan is taken."""
-    once_more = F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)).cast("long")
-    return F.when(F.col("size") > 0, F.col("repeats") + once_more).otherwise(F.lit(0)).cast("long")
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, size, h, ...) joined with their plan and ``copies``: how
+    often a row is taken."""
+    rows = rows.withColumn("k", _key(F.col("source"))).withColumn("salt", F.spark_partition_id())
+    joined = rows.join(plan, ["k", "size"])
+    tied = F.coalesce((F.col("h") == F.col("cut")) & (F.col("ties") < F.col("equal")), F.lit(False))
+
+    def copies(once_more: Column) -> Column:
+        more = F.coalesce(once_more, F.lit(False)).cast("long")
+        return F.when(F.col("size") > 0, F.col("repeats") + more).otherwise(F.lit(0)).cast("long")
+
+    if plan.where("ties < equal").isEmpty():
+        return joined.withColumn("copies", copies(F.col("h") <= F.col("cut"))).drop("salt")
+    # number the rows at the cut: by input partition, then within it, so that
+    # no task holds more of them than an input partition does
+    at_cut = staged(joined.where(tied))
+    by_salt = at_cut.groupBy("k", "size", "salt").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("k", "size").orderBy("salt"))
+    before = by_salt.select("k", "size", "salt", (upto - F.col("m")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("k", "size", "salt").orderBy("h"))
+    numbered = at_cut.withColumn("nth", within).join(before, ["k", "size", "salt"])
+    chosen = numbered.withColumn("copies", copies(F.col("before") + F.col("nth") <= F.col("ties"))).drop("nth", "before", "salt")
+    others = joined.where(~tied).withColumn("copies", copies(F.col("h") <= F.col("cut"))).drop("salt")
+    return others.unionByName(chosen)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
@@ -169,7 +194,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     draws = sizes_and_draws(docs, key, text, source, seed)
     plan = plan_mix(staged(docs.select(*draws)))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *draws)
-    taken = rows.withColumn("k", _key(F.col("source"))).join(plan, ["k", "size"]).withColumn("copies", copies())
+    taken = with_copies(rows, plan)
     return taken.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
@@ -177,5 +202,5 @@ def op6_mix(spark, sf_dir: str) -> DataFrame:
     """What the mixture takes of every document."""
     docs = table(spark, sf_dir, "documents")
     sized = staged(docs.select("doc_id", *sizes_and_draws(docs, "doc_id", "text", "source", SEED)))
-    rows = sized.withColumn("k", _key(F.col("source"))).join(plan_mix(sized), ["k", "size"])
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    rows = with_copies(sized, plan_mix(sized))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

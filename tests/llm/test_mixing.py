@@ -70,6 +70,24 @@ def test_a_length_shared_by_most_rows_is_cut_exactly(spark):
     assert {r.source: r["count"] for r in n} == {"a": 1333, "b": 2666}
 
 
+def test_rows_equal_in_everything_are_cut_exactly(spark, tmp_path):
+    equal = [(7, "w " * 10, "a", "x", 1)] * 3000
+    rows = equal + [(i, "w " * (i % 9 + 1), "b", "x", 1) for i in range(1000, 1400)] + [(None, "w w", None, "x", 1)] * 50
+    df = spark.createDataFrame(rows, DOCS).repartition(6)
+    sizes = {"a": 30_000, "b": sum(i % 9 + 1 for i in range(1000, 1400)), None: 100}
+    want = brute_targets(sizes)
+    taken = dict.fromkeys(want, 0)
+    for r in mixing.mix(df).collect():
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - want[s]) <= 10 for s in want), (taken, want)
+    df.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    once = [LLM_QUERIES["op6_mix"](spark, str(tmp_path)).collect() for _ in range(2)]
+    assert len(once[0]) == len(rows) and all(r.taken <= 3 * r["size"] for r in once[0])
+    assert sum(r.taken for r in once[0] if r.doc_id == 7) == taken["a"]
+    a, b = (sorted((r.doc_id or -1, r.size, r.taken) for r in x) for x in once)
+    assert a == b
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 3)), max_size=4, unique_by=lambda x: x[0]), st.integers(0, 60))
 def test_program_is_exact_on_small_budgets(items, budget):
