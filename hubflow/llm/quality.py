@@ -270,10 +270,13 @@ def learn_from(stats: DataFrame, labels: DataFrame, seed: int = 11) -> DecisionL
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 11) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and those learned from
-    ``labels`` (doc_id, quality). The texts themselves are not shuffled."""
-    stats = staged(docs.select(F.col(key).alias("doc_id"), statistics(F.col(text)).alias("s")))
-    rules = learn_from(stats, labels, seed)
-    return docs.where(let(statistics(F.col(text)), lambda s: ~base_failed(s) & rules.kept(s)))
+    ``labels`` (doc_id, quality). The statistics, which cost far more than a
+    copy of the rows, are computed once and written beside them; no text is
+    shuffled."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = staged(docs.select(row, F.col(key).alias("doc_id"), statistics(F.col(text)).alias("s")))
+    rules = learn_from(rows.select("doc_id", "s"), labels, seed)
+    return rows.where(~base_failed(F.col("s")) & rules.kept(F.col("s"))).select("row.*")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
