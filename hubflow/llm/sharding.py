@@ -1,10 +1,16 @@
 """Shuffled shards by a two-pass external shuffle.
 
 Pass one scatters the records uniformly into memory-sized buckets by a seeded
-hash. Pass two loads one bucket at a time, puts it in random order by
-Fisher-Yates and writes it. The buckets one after another are the shuffled
-order; shard ``s`` of ``S`` takes the ranks ``s*N/S`` to ``(s+1)*N/S``, so shard
-counts differ by one at most.
+hash of all their columns. Pass two loads one bucket a task, puts it in random
+order by Fisher-Yates and writes it. The buckets one after another are the
+shuffled order; shard ``s`` of ``S`` takes the ranks ``s*N/S`` to
+``(s+1)*N/S``, so shard counts differ by one at most.
+
+Rows that are equal in all columns have equal hashes. Hashes are counted first;
+where more than ``EQUAL_ROWS`` rows share one, equal rows are counted exactly
+and travel as one row with its number of copies, cut into pieces of at most
+``EQUAL_ROWS`` copies, each of which draws a bucket of its own. So neither a
+shuffle nor a bucket holds a third of all rows because they are equal.
 
 Reruns agree: buckets, the order before the shuffle and the draws depend on the
 rows and the seed alone, so a bucket that is made anew after a lost executor is
@@ -12,8 +18,10 @@ the same one.
 
 Defined cases: null ids and null or empty texts are ordinary rows (a null text
 has size 8 and checksum 0); rows that are equal in all columns are
-interchangeable and each gets its own slot; an empty table gives no rows.
-Columns of the input named ``shard`` or ``slot`` are replaced.
+interchangeable and each gets its own slot; a text may be as long as a bucket or
+longer and is moved whole; an empty table gives no rows. Columns of the input
+named ``shard`` or ``slot`` are replaced. Columns that hold maps take no part in
+the hash, but do in the comparison of rows.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +45,8 @@ SHARDS = 24
 SEED = 20240601
 #: Bytes of records that one bucket holds, about.
 BUCKET_BYTES = 48 << 20
+#: Equal rows that are dealt to a bucket together.
+EQUAL_ROWS = 64
 
 
 def record_size(text: Column) -> Column:
@@ -53,36 +64,71 @@ def fisher_yates(n: int, rng: np.random.Generator) -> list[int]:
     return order
 
 
+def _pieces(docs: DataFrame, hot: DataFrame, content: Column, number, equal_rows: int) -> DataFrame:
+    """The distinct rows of ``docs`` whose hash is in ``hot``, each as pieces
+    (``__n`` copies, ``__bucket``) that add up to its number of copies."""
+    marked = docs.withColumn("__content", content)
+    rows = marked.join(hot.select("__content"), "__content", "left_semi")
+    counted = rows.groupBy("__content", *[f"`{c}`" for c in docs.columns]).agg(F.count("*").alias("__c"))
+    parts = F.ceil(F.col("__c") / equal_rows)
+    dealt = counted.withColumn("__p", parts).withColumn("__j", F.explode(F.expr("sequence(0L, __p - 1)")))
+    copies = F.expr("__c div __p + if(__j < __c % __p, 1, 0)")
+    return dealt.select(*docs.columns, "__content", copies.alias("__n"), number(F.xxhash64("__content", "__j")).alias("__bucket"))
+
+
 def shuffled_shards(
-    docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
+    docs: DataFrame,
+    shards: int = SHARDS,
+    text: str = "text",
+    seed: int = SEED,
+    bucket_bytes: int = BUCKET_BYTES,
+    equal_rows: int = EQUAL_ROWS,
 ) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (gapless from 0 in each shard)."""
     docs = docs.drop("shard", "slot")
     columns = docs.columns
     hashable = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     content = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in hashable])
-    draw = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.crc32(F.col(f"`{text}`")))
 
-    total = docs.agg(F.count("*").alias("n"), F.sum(record_size(F.col(f"`{text}`"))).alias("b")).first()
-    rows, buckets = total["n"], max(shards, math.ceil((total["b"] or 0) / bucket_bytes))
-    bucket = F.pmod(draw, F.lit(buckets)).alias("__bucket")
+    size = record_size(F.col(f"`{text}`"))
+    counts = staged(docs.select(content.alias("__content"), size.alias("b")).groupBy("__content").agg(F.count("*").alias("__c"), F.sum("b").alias("b")))
+    total = counts.agg(F.sum("__c").alias("n"), F.sum("b").alias("b")).first()
+    rows, buckets = total["n"] or 0, max(shards, math.ceil((total["b"] or 0) / bucket_bytes))
 
-    counts = docs.select(bucket).groupBy("__bucket").count()
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = staged(counts.select("__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start")))
+    def number(draw: Column) -> Column:
+        return F.pmod(draw, F.lit(buckets)).cast("int")
 
-    scattered = docs.withColumns({"__draw": draw, "__content": content}).withColumn("__bucket", bucket)
-    scattered = scattered.join(starts, "__bucket").select(*columns, "__draw", "__content", "__bucket", "__start")
+    scattered = docs.withColumns({"__content": content, "__n": F.lit(1).cast("long"), "__bucket": number(content)})
+    held = counts.where(F.col("__c") <= equal_rows).select(number(F.col("__content")).alias("__bucket"), F.col("__c").alias("__n"))
+    hot = counts.where(F.col("__c") > equal_rows)
+    if not hot.isEmpty():
+        hot = staged(hot)
+        pieces = staged(_pieces(docs, hot, content, number, equal_rows))
+        scattered = scattered.join(hot.select("__content"), "__content", "left_anti").select(*columns, "__content", "__n", "__bucket").unionByName(pieces)
+        held = held.unionByName(pieces.select("__bucket", "__n"))
+
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("__bucket").agg(F.sum("__n").alias("__n"))
+    starts = staged(sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
+    scattered = scattered.join(starts, "__bucket").select(*columns, "__content", "__n", "__bucket", "__start")
 
     def shuffle(bucket_rows: pa.Table) -> pa.Table:
-        ordered = bucket_rows.select(["__draw", "__content"]).append_column("__i", pa.array(np.arange(bucket_rows.num_rows)))
-        first = ordered.sort_by([("__draw", "ascending"), ("__content", "ascending")])["__i"].to_numpy()
-        number = bucket_rows["__bucket"][0].as_py()
-        order = first[fisher_yates(len(first), np.random.Generator(np.random.PCG64([seed, number])))]
+        ordered = bucket_rows.select(["__content", "__n"]).append_column("__i", pa.array(np.arange(bucket_rows.num_rows)))
+        first = ordered.sort_by([("__content", "ascending"), ("__n", "ascending")])
+        first = np.repeat(first["__i"].to_numpy(), first["__n"].to_numpy())
+        bucket = bucket_rows["__bucket"][0].as_py()
+        order = first[fisher_yates(len(first), np.random.Generator(np.random.PCG64([seed, bucket])))]
         rank = pa.array(bucket_rows["__start"][0].as_py() + np.arange(len(order)), pa.int64())
         return bucket_rows.select(columns).take(pa.array(order)).append_column("__rank", rank)
 
-    out = scattered.groupBy("__bucket").applyInArrow(shuffle, T.StructType([*docs.schema.fields, T.StructField("__rank", T.LongType())]))
+    def buckets_of(batches):
+        """A task holds one bucket; where Spark gave it more, one after another."""
+        held = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        for bucket in held["__bucket"].unique().to_pylist() if held else []:
+            yield from shuffle(held.filter(pc.equal(held["__bucket"], bucket))).to_batches(max_chunksize=1024)
+
+    whole = scattered.repartitionById(buckets, F.col("__bucket"))
+    out = whole.mapInArrow(buckets_of, T.StructType([*docs.schema.fields, T.StructField("__rank", T.LongType())]))
     shard = F.expr(f"(__rank * {shards}) div {max(rows, 1)}")
     first_rank = F.expr(f"(((__rank * {shards}) div {max(rows, 1)}) * {rows} + {shards - 1}) div {shards}")
     return out.select(*columns, shard.cast("int").alias("shard"), (F.col("__rank") - first_rank).cast("long").alias("slot"))

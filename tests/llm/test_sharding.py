@@ -28,7 +28,7 @@ def test_query_is_whole_even_and_gapless(spark):
 
 def test_nulls_repeats_long_texts_and_clashing_names(spark):
     rows = [(None, None, None, "a"), (None, None, None, "a"), (1, "", "en", "b"), (1, "", "en", "b"), (2, "x" * 3_000_000, None, None)]
-    out = sharding.shuffled_shards(spark.createDataFrame(rows, DOCS), shards=2, bucket_bytes=1000)
+    out = sharding.shuffled_shards(spark.createDataFrame(rows, DOCS), shards=2, bucket_bytes=100_000)
     assert out.columns == ["doc_id", "text", "lang", "shard", "slot"]
     got = out.collect()
     assert len(got) == 5 and {r.shard for r in got} == {0, 1}
@@ -46,3 +46,57 @@ def test_fisher_yates_is_uniform():
         seen[order] = seen.get(order, 0) + 1
     assert len(seen) == 6 and all(850 < n < 1150 for n in seen.values())
     assert sharding.fisher_yates(0, rng) == []
+
+
+def test_a_third_of_all_rows_equal(spark):
+    """Equal rows spread over the buckets and keep their number; a bucket that
+    is made again is the same; the plain shuffle of each bucket agrees."""
+    rows = [(i, f"text {i} " * 9, "en", "a") for i in range(1200)] + [(7, "same text", None, None)] * 500 + [(None, None, None, None)] * 300
+    df = spark.createDataFrame(rows, DOCS)
+    got = sharding.shuffled_shards(df, shards=8, bucket_bytes=4000).collect()
+    want = {}
+    for r in rows:
+        want[r[:3]] = want.get(r[:3], 0) + 1
+    have = {}
+    for r in got:
+        have[tuple(r[:3])] = have.get(tuple(r[:3]), 0) + 1
+    assert have == want
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and {len(s) for s in by.values()} == {250}
+    # no shard holds much more than its share of the equal rows
+    same = [sum(r.shard == s and r.doc_id == 7 and r.lang is None for r in got) for s in range(8)]
+    assert max(same) < 200 and sum(s > 0 for s in same) >= 6
+    again = sharding.shuffled_shards(df.repartition(5), shards=8, bucket_bytes=4000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_against_plain_two_passes(spark):
+    """Shards and slots recomputed in plain Python from the seeded hashes."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    h = docs.selectExpr("doc_id", f"xxhash64({sharding.SEED}, doc_id, text) h").collect()
+    buckets = {}
+    for r in h:
+        buckets.setdefault(r.h % 24, []).append((r.h, r.doc_id))
+    order = []
+    for b in sorted(buckets):
+        ids = [d for _, d in sorted(buckets[b])]
+        order += [ids[i] for i in sharding.fisher_yates(len(ids), np.random.Generator(np.random.PCG64([sharding.SEED, b])))]
+    n, seen, want = len(order), {}, {}
+    for rank, doc in enumerate(order):
+        shard = rank * 24 // n
+        want[doc] = shard, seen.setdefault(shard, 0)
+        seen[shard] += 1
+    got = LLM_QUERIES["op4_shuffled_shards"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+
+
+def test_columns_with_maps(spark):
+    rows = [(1, "a", {"k": i % 2}) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    got = sharding.shuffled_shards(df, shards=2).collect()
+    assert sorted(r.m["k"] for r in got) == [0] * 150 + [1] * 150
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in (0, 1) for i in range(150)]
