@@ -9,19 +9,25 @@ archive behind under a listed name.
 
 Reading: a file is read in chunks and inflated incrementally; at the end of a
 member the next begins in the bytes left over. A record's block is framed by
-Content-Length and its digests are verified.
+Content-Length and its digests are verified. Archives of other writers are read
+as well: header names in any case, records of every type, digests that are
+absent, of SHA-1, SHA-256 or MD5, in base 32 or hexadecimal (others can't be
+verified and are passed on), payloads with chunked transfer coding.
 
 Defined cases: null html is an empty payload; a null url becomes
 ``urn:page:<id>``; records with equal payloads and equal smallest ids are all
 responses; a null id never is the smallest (unless all are null: then all are
-responses) and reads back as null; an empty table writes no archive. Other
-columns are ignored.
+responses) and reads back as null; pages equal in id, url and payload share an
+archive, which is streamed, never held; a payload may be longer than an
+archive's size; an empty table writes no archive. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,6 +47,8 @@ MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 32 << 20
 CHUNK = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
+#: Digest algorithms that are verified, by the names that headers give them.
+_HASHES = {"sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "md5": "md5"}
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -90,30 +98,70 @@ def members(read) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+def _agrees(stated: str | None, data: bytes) -> bool:
+    """Whether a digest header (``algorithm:value``) fits; an absent one or one
+    of an algorithm not known here does."""
+    name, _, value = (stated or "").strip().partition(":")
+    if name.lower() not in _HASHES:
+        return True
+    raw = hashlib.new(_HASHES[name.lower()], data).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
 def records(read) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive, framed and verified."""
+    """Headers (names in lower case) and block of each record of an archive,
+    framed and verified."""
     for member in members(read):
         head, found, rest = member.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
+        lines = head.decode(errors="replace").split("\r\n")
         if not found or not lines[0].startswith("WARC/"):
             raise WarcError("not a WARC record")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        n = int(headers["Content-Length"])
-        if rest[n:] != b"\r\n\r\n":
-            raise WarcError(f"{headers['WARC-Record-ID']}: the block isn't {n} bytes")
+        headers: dict[str, str] = {}
+        for line in lines[1:]:
+            name, _, value = line.partition(":")
+            headers[name.strip().lower()] = value.strip()
+        named = headers.get("warc-record-id", "a record without id")
+        n = int(headers["content-length"]) if headers.get("content-length", "").isdecimal() else -1
+        if n < 0 or rest[n:] != b"\r\n\r\n":
+            raise WarcError(f"{named}: the block isn't as long as its header says")
         block = rest[:n]
-        if headers["WARC-Block-Digest"] != "sha256:" + hashlib.sha256(block).hexdigest():
-            raise WarcError(f"{headers['WARC-Record-ID']}: wrong block digest")
+        if not _agrees(headers.get("warc-block-digest"), block):
+            raise WarcError(f"{named}: wrong block digest")
         yield headers, block
 
 
+def dechunked(body: bytes) -> bytes | None:
+    """The content of a body with chunked transfer coding; None if it isn't one."""
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            return None
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(parts)
+        if body[at + n : at + n + 2] != b"\r\n":
+            return None
+        parts.append(body[at : at + n])
+        at += n + 2
+
+
 def payload_of(headers: dict[str, str], block: bytes) -> bytes | None:
-    """The verified payload of a response, None for a revisit."""
-    if headers["WARC-Type"] == "revisit":
+    """The verified payload of a record, None for a revisit: what follows the
+    HTTP headers of an HTTP message, the whole block of anything else."""
+    if headers.get("warc-type") == "revisit":
         return None
-    payload = block.partition(b"\r\n\r\n")[2]
-    if headers["WARC-Payload-Digest"] != "sha256:" + hashlib.sha256(payload).hexdigest():
-        raise WarcError(f"{headers['WARC-Record-ID']}: wrong payload digest")
+    stated, payload = headers.get("warc-payload-digest"), block
+    if headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        if re.search(rb"(?im)^transfer-encoding:.*chunked", http):
+            content = dechunked(payload)
+            # writers differ in whether the digest is that of the coded body
+            if content is not None and (_agrees(stated, content) or _agrees(stated, payload)):
+                return content
+    if not _agrees(stated, payload):
+        raise WarcError(f"{headers.get('warc-record-id')}: wrong payload digest")
     return payload
 
 
@@ -132,9 +180,10 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     typed = base.join(firsts, "digest", "left").withColumn(
         "revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     )
-    archive = F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int")
+    archive = F.pmod(F.xxhash64("page_id", "digest", "url"), F.lit(archives)).cast("int")
     dealt = typed.select(archive.alias("archive"), "page_id", "url", "html", "digest", "first_id", "revisit")
-    dealt = dealt.repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "digest", "url")
+    # by number, not by its hash: one archive a task
+    dealt = dealt.repartitionById(archives, F.col("archive")).sortWithinPartitions("archive", "page_id", "digest", "url")
     store, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
     store.create_dir(root)
 
@@ -167,7 +216,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 def read_archives(spark: SparkSession, archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of the listed archives: page_id, url, record_type,
     payload_bytes, payload_digest, refers_to and payload (null for revisits,
-    and if ``payloads`` is off). A task reads one archive at a time."""
+    and if ``payloads`` is off). A task reads one archive at a time.
+
+    Records of other writers have no page_id and refers_to. Their digest is that
+    of the payload in hexadecimal SHA-256; for revisits the one stated, with its
+    algorithm unless that is SHA-256, and no payload_bytes."""
 
     def read(batches):
         disk = fs.FileSystem.from_uri(folder)[0] if ":" in folder else fs.LocalFileSystem()
@@ -177,24 +230,22 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str, payload
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
+        def number(value):
+            return int(value) if value is not None else None
+
         for part in batches:
             for path in part.column(0).to_pylist():
                 rows, held = [], 0
                 with disk.open_input_stream(path, compression=None) as stream:
                     for h, block in records(stream.read):
                         payload = payload_of(h, block)
-                        page, refers = h.get("X-Page-Id"), h.get("X-Refers-To-Page")
-                        rows.append(
-                            (
-                                int(page) if page is not None else None,
-                                h["WARC-Target-URI"],
-                                h["WARC-Type"],
-                                int(h["X-Payload-Length"]) if payload is None else len(payload),
-                                h["WARC-Payload-Digest"].removeprefix("sha256:"),
-                                int(refers) if refers is not None else None,
-                                payload if payloads else None,
-                            )
-                        )
+                        if payload is None:
+                            size, digest = number(h.get("x-payload-length")), h.get("warc-payload-digest")
+                            digest = digest and digest.removeprefix("sha256:")
+                        else:
+                            size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                        pages = number(h.get("x-page-id")), number(h.get("x-refers-to-page"))
+                        rows.append((pages[0], h.get("warc-target-uri"), h.get("warc-type"), size, digest, pages[1], payload if payloads else None))
                         held += len(block)
                         if len(rows) >= 1000 or held > CHUNK * 64:
                             yield batch(rows)

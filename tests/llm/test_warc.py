@@ -1,5 +1,7 @@
+import base64
 import hashlib
 import io
+import os
 import uuid
 import zlib
 
@@ -71,3 +73,53 @@ def test_damage_is_found():
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
         with pytest.raises(warc.WarcError):
             list(warc.records(io.BytesIO(packer.compress(bad) + packer.flush()).read))
+
+
+def foreign(kind, block, *headers):
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    head = "\r\n".join(["WARC/1.0", f"warc-type: {kind}", *headers, f"CONTENT-LENGTH:{len(block)}"])
+    return packer.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+
+def test_archives_of_other_writers(spark):
+    def sha1(b):
+        return "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+
+    http = "Content-Type: application/http; msgtype=response"
+    page, coded = b"<p>hello</p>", b"5\r\n<p>he\r\n7;x=1\r\nllo</p>\r\n0\r\n\r\n"
+    plain = b"HTTP/1.1 200 OK\r\n\r\n" + page
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + coded
+    archive = b"".join([
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("response", plain, http, f"WARC-Block-Digest: {sha1(plain)}", f"WARC-Payload-Digest: {sha1(page)}", "WARC-Target-URI: http://a/"),
+        foreign("response", chunked, http, f"WARC-Payload-Digest: {sha1(page)}"),
+        foreign("response", chunked, http, f"WARC-Payload-Digest: {sha1(coded)}"),
+        foreign("response", plain, http, "WARC-Payload-Digest: blake3:abc"),
+        foreign("revisit", b"", http, f"WARC-Payload-Digest: {sha1(page)}"),
+        foreign("metadata", b""),
+        one(page),
+    ])
+    folder = f"{shared_dir(spark)}/warc-test-{uuid.uuid4().hex}"
+    root = folder.removeprefix("file:")
+    os.makedirs(root)
+    with open(f"{root}/crawl.warc.gz", "wb") as f:
+        f.write(archive)
+    got = warc.read_archives(spark, spark.createDataFrame([(f"{root}/crawl.warc.gz", 8)], "path string, n_records long"), folder).collect()
+    hexed = hashlib.sha256(page).hexdigest()
+    assert [(r.record_type, r.payload_bytes, r.page_id) for r in got] == [
+        ("warcinfo", 13, None), *[("response", len(page), None)] * 4, ("revisit", None, None), ("metadata", 0, None), ("response", len(page), 1)
+    ]
+    assert [r.payload_digest for r in got[1:5]] == [hexed] * 4 and got[5].payload_digest == sha1(page)
+    for bad in (foreign("response", plain, http, f"WARC-Payload-Digest: {sha1(b'other')}"), foreign("metadata", b"x", f"WARC-Block-Digest: {sha1(b'y')}")):
+        with pytest.raises(warc.WarcError):
+            [warc.payload_of(h, b) for h, b in warc.records(io.BytesIO(bad).read)]
+    assert warc.dechunked(b"zz") is None and warc.dechunked(b"5\r\nab") is None
+
+
+def test_one_archive_a_task_and_long_payloads(spark):
+    rows = [(i, f"http://x/{i}", f"page {i} " * 200, 1) for i in range(60)] + [(99, "u", "y" * 3_000_000, 1)] + [(None, None, "same" * 100, 1)] * 30
+    archives, got = round_trip(spark, rows, archive_bytes=100_000)
+    paths = archives.collect()
+    assert len({p.path for p in paths}) == len(paths) and sum(p.n_records for p in paths) == len(rows) == len(got)
+    assert {r.page_id: len(r.payload) for r in got if r.page_id == 99} == {99: 3_000_000}
+    assert sum(r.page_id is None and r.record_type == "response" for r in got) == 30
