@@ -27,14 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import row_slices
+from .common import row_slices, staged
 
 #: Bound of the labelled sample: so many snippets of so many characters per
-#: language, drawn by a seeded hash of the text over all labelled rows.
+#: language, from different texts, drawn by a seeded hash of the text over all
+#: labelled rows. Every language is learned.
 SNIPPETS = 128
 SNIPPET_CHARS = 1024
-#: No more languages than this are learned (those with most labelled rows).
-MAX_LANGUAGES = 256
 #: Characters encoded at a time, and the zstandard level.
 PIECE_CHARS = 2048
 LEVEL = 6
@@ -74,18 +73,20 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", snippets: int = SNIPPETS, seed: int = 7) -> LanguageModel:
     """Dictionaries from rows with a language. What reaches the driver is at
-    most ``MAX_LANGUAGES * snippets`` snippets of ``SNIPPET_CHARS``."""
+    most ``snippets`` snippets of ``SNIPPET_CHARS`` for each language name."""
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    h = F.xxhash64(F.lit(seed), "t")
-    start = F.pmod(h, F.greatest(F.length("t") - SNIPPET_CHARS, F.lit(0)) + 1) + 1
-    pieces = rows.select("l", h.alias("h"), F.col("t").substr(start.cast("int"), F.lit(SNIPPET_CHARS)).alias("piece"))
-    # the rank filter is also applied before the shuffle, so a language that
-    # holds most rows sends only its first snippets from each task
-    drawn = pieces.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "piece"))).where(F.col("r") <= snippets)
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    hashed = rows.select("l", F.xxhash64(F.lit(seed), "t").alias("h"), "t")
+    # copies of a text count as one: their hashes are merged before the rank,
+    # and only the texts drawn are cut and sent
+    texts = hashed.select("l", "h").distinct()
+    ranked = staged(texts.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= snippets).select("l", "h", "r"))
+    start = F.pmod(F.col("h"), F.greatest(F.length("t") - SNIPPET_CHARS, F.lit(0)) + 1) + 1
+    piece = F.col("t").substr(start.cast("int"), F.lit(SNIPPET_CHARS))
+    drawn = hashed.join(ranked, ["l", "h"]).select("l", "r", piece.alias("piece")).groupBy("l", "r").agg(F.min("piece").alias("piece"))
+    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").collect()
     order = [r["l"] for r in sizes]
     held: dict[str, list[str]] = {name: [] for name in order}
-    for r in drawn.where(F.col("l").isin(order)).orderBy("l", "r").collect() if order else []:
+    for r in drawn.orderBy("l", "r").collect():
         held[r["l"]].append(letters(r["piece"]))
     # a raw-content dictionary has at least eight bytes; nearest text goes last
     made = {k: " ".join(reversed(v)).encode().ljust(8) for k, v in held.items()}

@@ -61,3 +61,40 @@ def test_nothing_to_learn_from_and_ties(spark):
     same = langid.LanguageModel(("a", "b"), (b"xyzxyzxyz", b"xyzxyzxyz"))
     assert langid.scorer(same)("xyz") == ("a", 0.0)
     assert langid.scorer(langid.LanguageModel(("a",), (b"xyzxyzxyz",)))("xyz") == ("a", 1.0)
+
+
+def test_copies_fill_one_place_and_all_languages_are_learned(spark):
+    rows = [(0, "aaa bbb " * 20, "x0", "", "")] * 400 + [(i, f"word{i} other", f"x{i % 300}", "", "") for i in range(900)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS), snippets=4)
+    assert len(model.names) == 300 and model.names[0] == "x0"
+    # four different texts of that language, one of them the copied one
+    assert sorted(model.dictionaries[0].decode().split()) == sorted(["aaa", "bbb"] * 20 + ["word", "other"] * 3)
+
+
+def test_against_a_plain_loop_over_dictionaries(spark):
+    """Dictionaries and predictions made again without Spark's help."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.withColumn("h", F.xxhash64(F.lit(7), "text")).collect()
+    by, count = {}, {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.text is not None and r.lang is not None:
+            at = r.h % (max(len(r.text) - 1024, 0) + 1)
+            by.setdefault(r.lang, {})[r.h] = langid.letters(r.text[at : at + 1024])
+            count[r.lang] = count.get(r.lang, 0) + 1
+    names = sorted(by, key=lambda k: (-count[k], k))
+    tools = []
+    for k in names:
+        raw = " ".join(by[k][h] for h in reversed(sorted(by[k])[:128])).encode().ljust(8)
+        params = zstandard.ZstdCompressionParameters.from_level(6, write_content_size=False, write_checksum=False, write_dict_id=False)
+        tools.append(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in LLM_QUERIES["op2_language_id"](spark, "/root/testdata/sf0.001").collect()}
+    for r in rows:
+        norm = langid.letters(r.text)
+        sizes = [sum(len(c.compress(norm[i : i + 2048].encode())) for i in range(0, len(norm), 2048)) for c in tools]
+        best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
+        if norm:
+            assert got[r.doc_id] == (names[best], 1 - sizes[best] / min(s for i, s in enumerate(sizes) if i != best))
+        else:
+            assert got[r.doc_id] == ("und", 0.0)
