@@ -1,15 +1,16 @@
-"""Removal of repeated byte strings by suffix sorting (deep-shallow).
+"""Removal of repeated byte strings by sorting suffixes, shallow then deep.
 
 A byte is removed if a string of ``min_bytes`` bytes that covers it also starts
-anywhere else in the corpus. The suffixes of a prefix group (see ``repeats``)
-are sorted by multikey quicksort to a shallow depth; groups that still share
-that much are ordered by blind tries, which skip the bytes all members share and
-branch where they first differ. Neighbours with a common prefix of ``min_bytes``
-are the repeats.
+anywhere else in the corpus. Suffixes are sorted within groups of one signature
+(see ``repeats``), eight bytes at a time and all groups of a task at once; single
+suffixes drop out as soon as they are told apart. Beyond a shallow depth the
+bytes that all members of a group share are skipped unsorted, as a blind trie
+skips them. Neighbours with a common prefix of ``min_bytes`` are the repeats.
 
 Defined cases: a null text is empty; matches never cross documents and overlaps
-count; texts shorter than ``min_bytes`` lose nothing; two equal rows repeat each
-other; an empty table gives no rows. Other columns are ignored.
+count; texts shorter than ``min_bytes`` lose nothing; long texts are read whole;
+two equal rows repeat each other; an empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .repeats import GROUP_ROWS, byte_alphabet, with_spans
 
 MIN_BYTES = 200
 GRAM = 64
-#: Bytes that multikey quicksort sorts before blind tries take over.
+#: Bytes that are sorted before shared bytes are skipped.
 SHALLOW = 16
 
 
@@ -50,7 +51,7 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth
         heads = np.flatnonzero(new)
         if d < SHALLOW:
             todo = np.arange(len(active))
-        else:  # blind trie: an edge that all members share is skipped unsorted
+        else:  # bytes that all members share are skipped unsorted
             branch = np.logical_or.reduceat(key != key[heads][segment], heads)
             todo = np.flatnonzero(branch[segment])
             if not len(todo):

@@ -1,7 +1,7 @@
 """Search for windows of ``m`` symbols that occur twice or more in a corpus.
 
 Shared by the suffix-sorting operators on bytes and on words. The corpus is
-far too large to sort all its suffixes, so each suffix first gets a prefix group
+far too large to sort all its suffixes, so suffixes are first put into groups
 that can be sorted in one task:
 
 * A window's signature is the smallest hash of the ``k``-grams inside it. Equal
@@ -10,17 +10,22 @@ that can be sorted in one task:
   their signature: such a run travels as one context (their symbols once).
 * Signatures are counted first (pre-aggregated by task). Contexts with a
   signature of up to ``GROUP_ROWS`` occurrences form one group, whose suffixes
-  are sorted by the operator's own method. The prefix of a more frequent
-  signature is lengthened to the whole window: its windows travel singly, keyed
-  by the window's 128-bit hash and dealt over as many parts as the count
-  demands; what is single in its part is compared across parts afterwards.
+  are sorted by the operator's own method. Groups are made by that hash, not by
+  a prefix of the suffix. The windows of a more frequent signature travel
+  singly, keyed by the window's 128-bit hash and dealt over as many parts as the
+  count demands; what is single in its part is compared across parts afterwards.
+  These are decided by the hash and reach no sort. A key that a context holds
+  more than once is sent once. A run that is longer than a signature can reach
+  (a rule of dashes, a repeated phrase) counts as that many occurrences, so
+  groups are bounded in windows, too.
 * Of equal contexts that a task meets, only the first is sent: that the windows
-  of all of them repeat is known on the spot.
+  of all of them repeat is known on the spot, by a 128-bit hash of the context.
 
-No group, list or task holds more than ``GROUP_ROWS`` rows of one key, except
-lists per document, which are as long as the document. Nothing is sampled or
-dropped: signatures only rule out windows that can't have a copy, and every
-repeat is established on the windows themselves.
+No group or task holds more than ``GROUP_ROWS`` rows of one key. Lists per
+document hold different spans only, so they are as long as the document, however
+often its row is repeated. Nothing is sampled or dropped: signatures only rule
+out windows that can't have a copy. Texts are read whole, ``SEGMENT`` windows at
+a time.
 
 Rows are identified by a hash of id and text along with the id itself, so null
 and repeated ids need no care; rows equal in both are separate documents that
@@ -122,7 +127,7 @@ def window_minimum(v: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(codes: np.ndarray, m: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of windows with one signature: signature, first window, windows, and
-    in how many places the signature lies (2: or more)."""
+    in how many places the signature lies (from 2 on: or more)."""
     w = m - k + 1
     with np.errstate(over="ignore"):
         for at in range(0, len(codes) - m + 1, SEGMENT):
@@ -130,7 +135,8 @@ def runs(codes: np.ndarray, m: int, k: int) -> Iterator[tuple[np.ndarray, np.nda
             low, tied = window_minimum(v, w)
             first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
             n = np.diff(np.append(first, len(low)))
-            places = 1 + (np.maximum.reduceat(tied, first) | (n > w))
+            # a place lies in w windows, so n windows hold n / w of them at least
+            places = np.maximum(1 + np.maximum.reduceat(tied, first), -(-n // w))
             yield low[first].view(np.int64), at + first, n, places
 
 
@@ -139,6 +145,20 @@ def window_keys(codes: np.ndarray, more: np.ndarray, m: int) -> tuple[np.ndarray
         return gram_hashes(codes, m, _BASES[0]).view(np.int64), gram_hashes(more, m, _BASES[1]).view(np.int64)
 
 
+def own_copies(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Of the windows of one context, given their keys: the first of each key,
+    and the stretches of windows whose key the context holds twice or more (a
+    periodic stretch holds as many keys as its period is long)."""
+    order = np.argsort(one, kind="stable")
+    x, y = one[order], two[order]
+    new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    n = np.diff(np.append(np.flatnonzero(new), len(order)))
+    again = np.zeros(len(order) + 2, np.int8)
+    again[1 + order] = np.repeat(n > 1, n)
+    edge = np.diff(again)
+    return order[new], (np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+
+
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of intervals as maximal intervals."""
     if not len(start):
@@ -221,7 +241,9 @@ def repeated_spans(docs: DataFrame, alphabet: Callable[[], Alphabet], m: int, k:
                             else:
                                 one, two = window_keys(codes[a : a + c + m - 1], alpha.codes(units[a : a + c + m - 1], 1), m)
                                 share = (rid ^ a) % -(-many * 2 // group_rows)
-                                rows = [(x, y, share, rid, doc_id, a + j, 1, None) for j, (x, y) in enumerate(zip(one.tolist(), two.tolist()))]
+                                once, (x, z) = own_copies(one, two)
+                                rows = [repeated(rid, doc_id, a + i, j - i) for i, j in zip(x.tolist(), z.tolist())]
+                                rows += [(one[j].item(), two[j].item(), share, rid, doc_id, a + j, 1, None) for j in once.tolist()]
                         for row in rows:
                             for column, value in zip(out, row):
                                 column.append(value)
@@ -293,7 +315,8 @@ def repeated_spans(docs: DataFrame, alphabet: Callable[[], Alphabet], m: int, k:
     # a window that was single in its part repeats if another part holds it too
     across = F.sum(F.when(F.col("state") > 0, 1).otherwise(0)).over(Window.partitionBy("k1", "k2"))
     sure = spans.withColumn("across", across).where("state = 0 or (state = 1 and across > 1)")
-    return sure.groupBy("rid").agg(F.collect_list(F.struct("doc_id", "a", "z")).alias("spans"))
+    # as a set: rows equal in id and text report the same spans, merged before the shuffle
+    return sure.groupBy("rid").agg(F.collect_set(F.struct("doc_id", "a", "z")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, key: str, text: str, alphabet, m: int, k: int, sort, finish, schema: str, group_rows: int = GROUP_ROWS) -> DataFrame:

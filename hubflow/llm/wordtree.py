@@ -1,15 +1,15 @@
-"""Removal of repeated word strings by prefix-partitioned suffix trees.
+"""Removal of repeated word strings by suffix subtrees.
 
 A word is removed if a window of ``min_words`` words that covers it also starts
 anywhere else in the corpus. Suffixes are split into memory-sized groups by
-prefixes of variable length (see ``repeats``); for each group a subtree of the
-suffix tree is built top down, and the leaves below its internal nodes of depth
-``min_words`` are the repeats.
+signature (see ``repeats``); for each group a subtree of the suffix tree is built
+top down, and the leaves below its internal nodes of depth ``min_words`` are the
+repeats.
 
 Words are compared by 64-bit hashes. Defined cases: a null text has no words;
 windows lie within one document; texts with fewer words than a window lose
-nothing; two equal rows repeat each other; an empty table gives no rows. Other
-columns are ignored.
+nothing; long texts are read whole; two equal rows repeat each other; an empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

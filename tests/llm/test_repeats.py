@@ -6,7 +6,7 @@ import pytest
 
 from hubflow.llm import bytesuffix, wordtree
 from hubflow.llm.queries import LLM_QUERIES
-from hubflow.llm.repeats import merged, runs, window_minimum
+from hubflow.llm.repeats import merged, own_copies, runs, window_minimum
 
 DOCS = "doc_id long, text string, rid string, spans int, a string"
 
@@ -121,3 +121,28 @@ def test_signatures_and_intervals():
     assert sum(int(n.sum()) for _, _, n, _ in got) == 31
     a, z = merged(np.array([5, 0, 9, 20]), np.array([8, 6, 12, 21]))
     assert a.tolist() == [0, 9, 20] and z.tolist() == [8, 12, 21]
+
+
+def test_copies_of_windows_within_a_context():
+    once, (a, z) = own_copies(np.array([5, 7, 5, 7, 9, 7, 4, 4]), np.array([0, 1, 0, 1, 0, 2, 0, 0]))
+    assert sorted(once.tolist()) == [0, 1, 4, 5, 6]
+    assert (a.tolist(), z.tolist()) == ([0, 6], [4, 8])
+
+
+@pytest.mark.parametrize("rows", [20_000, 300])
+def test_long_rules_and_a_third_of_all_rows_equal(spark, rows):
+    """Rules of one character and repeated phrases, as long contexts and split;
+    equal rows report each span once."""
+    own = [f"{i * 7919 % 1000:03d} own words of document {i} {chr(65 + i)}" for i in range(12)]  # borders differ
+    texts = [own[i] + "-" * (50_000 + 1000 * i) + chr(97 + i) for i in range(6)] + [own[6 + i] + " ab cd" * 8000 for i in range(6)]
+    table = [(i, t, "x", 1, "y") for i, t in enumerate(texts)]
+    alike = " ".join(f"w{i}" for i in range(600))
+    table += [(50, alike, "x", 1, "y")] * 90
+    got = bytesuffix.strip_repeats(spark.createDataFrame(table, DOCS), bytesuffix.digest, bytesuffix.DIGEST, group_rows=rows).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(table) and {(r.n_removed, r.n_spans) for r in got if r.doc_id == 50} == {(len(alike), 1)}
+    assert [(by[i].n_removed, by[i].n_spans) for i in range(12)] == [(50_000 + 1000 * i, 1) for i in range(6)] + [(48_000, 1)] * 6
+    got = wordtree.strip_repeats(spark.createDataFrame(table, DOCS), wordtree.digest, wordtree.DIGEST, group_rows=rows).collect()
+    by = {r.doc_id: r for r in got}
+    assert {r.n_removed for r in got if r.doc_id == 50} == {600}
+    assert [by[i].n_removed for i in range(12)] == [0] * 6 + [16_000] * 6
